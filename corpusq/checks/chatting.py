@@ -9,7 +9,7 @@ from corpusq.checks.derived import sql
 from corpusq.operators import chat
 from corpusq.streaming.streams import chat_memory_stream, dedup_stream
 
-_NOW = 36000
+_NOW = 7200
 
 
 def _now(t):
@@ -20,7 +20,7 @@ def _second(t, c):
     return F.unix_seconds(c) - F.unix_seconds(t.day0)
 
 
-@check("f12_expired", sql("SELECT session_id, last_second < 36000 - 3600 AS expired FROM chat_sessions", "chat_sessions"))
+@check("f12_expired", sql("SELECT session_id, last_second < 7200 - 3600 AS expired FROM chat_sessions", "chat_sessions"))
 def _(t):
     return t.chat_sessions.select("session_id", chat.expired(F.col("last_access"), _now(t)).alias("expired"))
 
@@ -50,7 +50,7 @@ def _(t):
 
 
 @check("h1_session_history", sql("""SELECT s.session_id, s.user_id, coalesce(string_agg(role || ': ' || content, '|' ORDER BY second, id)
-    FILTER (WHERE n <= 20 AND last_second >= 32400), '') AS history FROM chat_sessions s LEFT JOIN numbered m USING (session_id)
+    FILTER (WHERE n <= 20 AND last_second >= 3600), '') AS history FROM chat_sessions s LEFT JOIN numbered m USING (session_id)
     GROUP BY 1, 2""", "chat_messages", "chat_sessions", numbered=_NUMBERED))
 def _(t):
     h = chat.session_history(t.chat_sessions, t.chat_messages, _now(t))
@@ -59,7 +59,7 @@ def _(t):
 
 
 _EXCHANGES = """SELECT item_id + 100000000000 AS x, CAST(item_id * 3 AS VARCHAR) AS session_id, text AS question,
-    upper(text) AS answer, 86400 + item_id AS second FROM benchmark"""
+    reverse(text) AS answer, 86400 + item_id AS second FROM benchmark"""
 _ADDED = """SELECT id, session_id, role, content, second FROM chat_messages UNION ALL
     SELECT x * 2, session_id, 'human', question, second FROM exchanges UNION ALL
     SELECT x * 2 + 1, session_id, 'ai', answer, second FROM exchanges"""
@@ -69,7 +69,7 @@ def _appended(t):
     x = t.benchmark.select(
         (F.col("item_id") + 100000000000).alias("exchange_id"),
         (F.col("item_id") * 3).cast("string").alias("session_id"), F.col("text").alias("question"),
-        F.upper("text").alias("answer"),
+        F.reverse("text").alias("answer"),
         F.timestamp_seconds(F.unix_seconds(t.day0) + 86400 + F.col("item_id")).alias("at"))
     return chat.append_exchanges(t.chat_sessions, t.chat_messages, x, 4)
 
@@ -91,7 +91,7 @@ def _(t):
 
 
 @check("h4_expire_sessions", sql("""SELECT session_id, id FROM chat_messages JOIN chat_sessions USING (session_id)
-    WHERE last_second >= 32400""", "chat_messages", "chat_sessions"))
+    WHERE last_second >= 3600""", "chat_messages", "chat_sessions"))
 def _(t):
     return chat.expire_sessions(t.chat_sessions, t.chat_messages, _now(t))[1].select("session_id", "id")
 
@@ -141,7 +141,8 @@ def _work_folder(spark) -> str:
 def _(t):
     """All events as a stream; the last state of each session."""
     folder = _work_folder(t.spark)
-    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet")
+    source = (t.spark.readStream.schema(t.events.schema)
+              .option("pathGlobFilter", "events.parquet").parquet(t.folder))
     log = source.select(F.col("user_id").cast("string").alias("session_id"),
                         F.col("ts").cast("timestamp").alias("ts"),
                         F.col("event_id").alias("id"), F.col("event_type").alias("content"))
@@ -164,7 +165,8 @@ def _(t):
 def _(t):
     """Events as uploads: each (user, content) once inside a horizon longer than the data."""
     folder = _work_folder(t.spark)
-    source = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet")
+    source = (t.spark.readStream.schema(t.events.schema)
+              .option("pathGlobFilter", "events.parquet").parquet(t.folder))
     uploads = source.select(
         F.col("event_id").cast("string").alias("doc_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),

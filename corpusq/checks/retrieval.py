@@ -22,7 +22,7 @@ def _ranked(scored: str, k: str = "top_k") -> str:
 
 def _dense(metric: str) -> str:
     f = {"cosine": "list_cosine_similarity(v, e)", "dot": "list_dot_product(v, e)",
-         "l2": "-list_distance(v, e)"}[metric]
+         "l2": "0.0 - list_distance(v, e)"}[metric]
     return sql(_ranked(f"""SELECT query_id, chunk_id, top_k, round({f}, 6) AS score
         FROM vector_queries, vectors"""), "vectors", "vector_queries")
 
@@ -252,12 +252,12 @@ def _(t):
     || 'human: ' || question AS prompt, coalesce(sources, '') AS sources FROM valid_passage_queries q
     LEFT JOIN cited USING (query_id) LEFT JOIN (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY second, id) AS past
     FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY second DESC, id DESC) AS n FROM chat_messages)
-    JOIN chat_sessions USING (session_id) WHERE n <= 20 AND last_second >= 32400 GROUP BY 1) h ON h.session_id = q.query_id""",
-    *_PASSAGE_CTES, "chat_messages", "chat_sessions", ranked=_ranked("SELECT * FROM fused_scored"),
-    **{k: v for k, v in {**_fused(1), **_CONTEXT_SQL}.items()}).replace("ranked AS (" , "ranked AS (", 1))
+    JOIN chat_sessions USING (session_id) WHERE n <= 20 AND last_second >= 3600 GROUP BY 1) h ON h.session_id = q.query_id""",
+    *_PASSAGE_CTES, "chat_messages", "chat_sessions",
+    **{**_fused(1), "ranked": "SELECT * FROM fused", **_CONTEXT_SQL}))
 def _(t):
     """Hybrid retrieval with the history of the session named like the query."""
-    now = F.timestamp_seconds(F.unix_seconds(t.day0) + 36000)
+    now = F.timestamp_seconds(F.unix_seconds(t.day0) + 7200)
     past = session_history(t.chat_sessions, t.chat_messages, now).drop("user_id")
     queries = t.passage_queries.withColumn("session_id", F.col("query_id"))
     return _context_rows(retrieve_context(queries, _store(t), EngineConfig(hybrid_enabled=True), past))

@@ -55,7 +55,8 @@ ALL_WORDS = sorted({w for p in PRIMARIES for w in primary_words(p)})
 
 
 def _literal(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Constant array; the names hold no commas."""
+    return F.split(F.lit(",".join(values)), ",")
 
 
 def suggest_labels(tokens: Column) -> Column:
@@ -64,6 +65,11 @@ def suggest_labels(tokens: Column) -> Column:
     `tokens` should already be cut down to ALL_WORDS (see `taxonomy_tokens`), so the
     comparisons below run on short arrays. Ties go to the earlier taxonomy entry.
     """
+    # the lambda binds the tokens, so that they are computed once per document
+    return F.transform(F.array(tokens), _best_labels)[0]
+
+
+def _best_labels(tokens: Column) -> Column:
     def shared(names: list[str]) -> Column:
         return F.size(F.array_intersect(tokens, _literal(names)))
 

@@ -27,8 +27,10 @@ def dedup_decisions(incoming: DataFrame, registry: DataFrame, isolated: bool = T
         known.select(*keys, F.lit(0).alias("batch"), *holder)
         .unionByName(narrow.select(*keys, F.lit(1).alias("batch"), *holder))
         .groupBy(*keys)
-        .agg(F.min(F.struct("batch", *holder)).alias("first_holder")))
-    found = lookup_join(narrow, holders, keys, spread="doc_id", how="left", hot_rows=hot_rows)
+        .agg(F.min(F.struct("batch", *holder)).alias("first_holder"),
+             F.sum("batch").alias("n")))
+    found = lookup_join(narrow, holders.drop("n"), keys, spread="doc_id", how="left",
+                        hot_rows=hot_rows, counts=holders.select(*keys, "n"))
     is_copy = (F.col("first_holder.batch") == 0) | (F.col("first_holder.doc_id") != F.col("doc_id"))
     return found.select(
         *narrow.columns,

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
-from corpusq.operators.skew import lookup_join
 from corpusq.operators.topk import SCORE_DIGITS, rank_per_query
 
 
@@ -21,8 +20,8 @@ def fuse(lexical: DataFrame, dense: DataFrame, queries: DataFrame,
     scored = (votes(lexical, weight).unionByName(votes(dense, 1.0 - weight))
               .groupBy("query_id", "chunk_id", "doc_id")
               .agg(F.round(F.sum("vote"), SCORE_DIGITS).alias("score")))
-    wanted = lookup_join(scored, queries.select("query_id", "top_k"), ["query_id"],
-                         spread="chunk_id", how="inner")
+    # at most two lists of max_k rows per query: no key can be hot here
+    wanted = scored.join(queries.select("query_id", "top_k"), "query_id")
     return rank_per_query(wanted, max_k, F.col("top_k")).drop("top_k")
 
 

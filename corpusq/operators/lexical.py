@@ -88,17 +88,18 @@ def weigh_queries(queries: DataFrame, tokens: DataFrame, scopes: Scopes | None,
     terms = query_terms(queries)
     pieces = []
     own = scopes is not None and stats == "scope"
-    store_terms = terms.where(F.col("scope_id").isNull()) if own else terms
-    df, size = store_statistics(store_terms, tokens)
-    # one row of corpus totals, attached to each term
-    pieces.append(lookup_join(store_terms, df, ["term"], spread="query_id", how="inner")
-                  .join(F.broadcast(size), F.lit(True)))
+    columns = ["query_id", "scope_id", "term", "qtf", "df", "n_chunks", "mean_length"]
+    if not (own and scopes.all_scoped):
+        free = terms.where(F.col("scope_id").isNull()) if own else terms
+        df, size = store_statistics(free, tokens)
+        # one row of corpus totals, attached to each term
+        pieces.append(lookup_join(free, df, ["term"], spread="query_id", how="inner")
+                      .join(F.broadcast(size), F.lit(True)).select(*columns))
     if own:
         df, size = scope_statistics(terms, tokens, scopes.docs)
-        scoped = lookup_join(terms.where(F.col("scope_id").isNotNull()), df,
-                             ["scope_id", "term"], spread="query_id", how="inner")
-        pieces.append(lookup_join(scoped, size, ["scope_id"], spread="query_id", how="inner")
-                      .select(*pieces[0].columns))
+        scoped = terms.where(F.col("scope_id").isNotNull())
+        pieces.append(lookup_join(scoped, df.join(size, "scope_id"), ["scope_id", "term"],
+                                  spread="query_id", how="inner").select(*columns))
     every = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
     weighed = every.withColumn("weight", F.col("qtf") * _idf(F.col("n_chunks"), F.col("df")))
     packed = (weighed.groupBy("query_id")

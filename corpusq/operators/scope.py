@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.config import EngineConfig
+from corpusq.operators.registry import current_user
 from corpusq.operators.skew import lookup_join
 
 
@@ -23,13 +24,16 @@ class Scopes:
 
     queries: DataFrame
     docs: DataFrame
+    all_scoped: bool = False   # no query is unrestricted
 
 
 def name_scopes(queries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Queries + scope parts and id. An empty id list or collection name counts as absent."""
+    """Queries + scope parts and id. An empty id list or collection name counts as absent;
+    under isolation a query without a user is the default user's."""
     ids = F.array_sort(F.array_distinct(F.col("doc_ids")))
     out = queries.withColumns({
-        "_owner": F.col("user_id") if config.isolated else F.lit(None).cast("string"),
+        "_owner": current_user(F.col("user_id"), config.default_user) if config.isolated
+        else F.lit(None).cast("string"),
         "_collection": F.nullif(F.col("collection"), F.lit("")),
         "_ids": F.when(F.size("doc_ids") > 0, ids),
     })
@@ -80,7 +84,7 @@ def resolve_scope(queries: DataFrame, registry: DataFrame, collections: DataFram
             .union(named_docs.select("scope_id", "doc_id")))
     if owner_docs is not None:
         docs = docs.union(owner_docs)
-    return Scopes(named.drop("_owner", "_collection", "_ids"), docs)
+    return Scopes(named.drop("_owner", "_collection", "_ids"), docs, config.isolated)
 
 
 def scope_sizes(scopes: Scopes) -> DataFrame:

@@ -41,7 +41,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, metric: str = "cosine",
 
 def post_filter(found: DataFrame, queries: DataFrame, scopes: Scopes, max_k: int) -> DataFrame:
     """Keep the hits inside each query's scope and rank them again."""
-    wanted = lookup_join(found.drop("rank"), queries, ["query_id"], spread="chunk_id", how="inner")
+    wanted = found.drop("rank").join(queries, "query_id")
     free = wanted.where(F.col("scope_id").isNull())
     inside = lookup_join(wanted.where(F.col("scope_id").isNotNull()), scopes.docs,
                          ["scope_id", "doc_id"], spread="chunk_id", how="left_semi")

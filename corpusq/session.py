@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union that claims the partitioning of its inputs does not survive a checkpoint
+    # under AQE in 4.1 (partitions are zipped wrongly), so it is told not to.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -40,6 +43,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     A folder of our own is set only when the session names none (local tests).
     """
+    safe = "spark.sql.unionOutputPartitioning"
+    df.sparkSession.conf.set(safe, RUNTIME_CONF[safe])
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir")
