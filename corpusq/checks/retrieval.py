@@ -181,6 +181,16 @@ def _(t):
     return retrieve(t.passage_queries, _store(t)).select(*_HITS)
 
 
+@check("r3_bm25_topk_stored_statistics", sql("SELECT * FROM lex", "chunks", "scoped_queries",
+                                             bq=_BENCH_Q, **_bm25("bq", "chunks", None)))
+def _(t):
+    """The statistics come from index tables instead of a pass over the texts."""
+    from corpusq.functions.validate import accepted, check_queries
+    q = accepted(check_queries(t.scoped_queries))
+    stats = lexical.stored_statistics(lexical.term_frequencies(t.chunks), lexical.corpus_size(t.chunks))
+    return lexical.bm25_topk(q, t.chunks, statistics=stats).select(*_HITS)
+
+
 @check("r4_hybrid_topk", sql("SELECT * FROM fused", *_PASSAGE_CTES, **_fused(1)))
 def _(t):
     return retrieve(t.passage_queries, _store(t), EngineConfig(hybrid_enabled=True)).select(*_HITS)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
-from corpusq.operators.batch_topk import batch_topk
+from corpusq.operators.batch_topk import BROADCAST_QUERIES, batch_topk
 from corpusq.operators.scope import Scopes
 from corpusq.operators.skew import lookup_join
 
@@ -46,36 +47,59 @@ def query_terms(queries: DataFrame) -> DataFrame:
             .groupBy("query_id", "scope_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def scope_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame
-                     ) -> tuple[DataFrame, DataFrame]:
-    """(scope_id, term, df) and (scope_id, n_chunks, mean_length) of filtered sets.
+SIZE_MARK = ""   # not a token; stands for "any chunk" in the statistics pass
+
+
+def _said(terms: DataFrame, tokens: DataFrame, few_queries: bool) -> DataFrame:
+    """(doc_id, term, dl): distinct words asked for, chunk by chunk, and one SIZE_MARK row
+    per chunk, so that frequencies and lengths come from a single pass over the texts."""
+    mark = terms.sparkSession.createDataFrame([(SIZE_MARK,)], "term string")
+    vocabulary = terms.select("term").union(mark).distinct()
+    said = tokens.select(
+        "doc_id", "chunk_id", F.size("tokens").alias("dl"),
+        F.explode(F.array_append(F.array_distinct("tokens"), SIZE_MARK)).alias("term"))
+    if few_queries:
+        # at most BROADCAST_QUERIES questions of at most 2000 characters
+        return said.join(F.broadcast(vocabulary), "term", "left_semi")
+    return lookup_join(said, vocabulary, ["term"], spread="chunk_id", how="left_semi")
+
+
+def _with_sizes(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term, n, total) -> (keys, term, df, n_chunks, mean_length). A group has one
+    row per word asked for."""
+    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    is_size = F.col("term") == SIZE_MARK
+    sized = counted.withColumns({
+        "n_chunks": F.max(F.when(is_size, F.col("n"))).over(w),
+        "mean_length": F.max(F.when(is_size, F.col("total") / F.col("n"))).over(w)})
+    return sized.where(~is_size).select(*keys, "term", F.col("n").alias("df"),
+                                        "n_chunks", "mean_length")
+
+
+def scope_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame,
+                     few_queries: bool = False) -> DataFrame:
+    """(scope_id, term, df, n_chunks, mean_length) of filtered sets.
 
     Chunks are summed up per document before documents meet their scopes.
     """
-    vocabulary = terms.select("term").distinct()
-    said = tokens.select("doc_id", "chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    per_doc = (lookup_join(said, vocabulary, ["term"], spread="chunk_id", how="left_semi")
-               .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
-    wanted = terms.where(F.col("scope_id").isNotNull()).select("scope_id", "term").distinct()
-    df = (per_doc.join(scope_docs, "doc_id").groupBy("scope_id", "term")
-          .agg(F.sum("n").alias("df")).join(wanted, ["scope_id", "term"], "left_semi"))
-    lengths = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"),
-                                           F.sum(F.size("tokens")).alias("total"))
-    size = (lengths.join(scope_docs, "doc_id").groupBy("scope_id")
-            .agg(F.sum("n").alias("n_chunks"),
-                 (F.sum("total") / F.sum("n")).alias("mean_length")))
-    return df, size
-
-
-def store_statistics(terms: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, df) of the words asked for and one row (n_chunks, mean_length)."""
-    vocabulary = terms.select("term").distinct()
-    said = tokens.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    df = (lookup_join(said, vocabulary, ["term"], spread="chunk_id", how="left_semi")
-          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    size = tokens.agg(F.count(F.lit(1)).alias("n_chunks"),
-                      F.avg(F.size("tokens")).alias("mean_length"))
-    return df, size
+    per_doc = (_said(terms, tokens, few_queries).groupBy("doc_id", "term")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
+    counted = (per_doc.join(scope_docs, "doc_id").groupBy("scope_id", "term")
+               .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
+    return _with_sizes(counted, ["scope_id"])
+
+
+def store_statistics(terms: DataFrame, tokens: DataFrame, few_queries: bool = False
+                     ) -> DataFrame:
+    """(term, df, n_chunks, mean_length) of the words asked for, over the whole store."""
+    counted = (_said(terms, tokens, few_queries).groupBy("term")
+               .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
+    return _with_sizes(counted, [])
+
+
+def stored_statistics(frequencies: DataFrame, size: DataFrame) -> DataFrame:
+    """The same from tables kept with the index (term_frequencies, corpus_size)."""
+    return frequencies.join(F.broadcast(size.limit(1)), F.lit(True))
 
 
 def _idf(n, df):
@@ -83,23 +107,21 @@ def _idf(n, df):
 
 
 def weigh_queries(queries: DataFrame, tokens: DataFrame, scopes: Scopes | None,
-                  stats: str = "scope") -> DataFrame:
+                  statistics: DataFrame | None = None) -> DataFrame:
     """Queries as (query_id, scope_id, fetch_k, terms, weights, mean_length)."""
     terms = query_terms(queries)
+    few = queries.select("query_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    own = scopes is not None and statistics is None
     pieces = []
-    own = scopes is not None and stats == "scope"
-    columns = ["query_id", "scope_id", "term", "qtf", "df", "n_chunks", "mean_length"]
     if not (own and scopes.all_scoped):
         free = terms.where(F.col("scope_id").isNull()) if own else terms
-        df, size = store_statistics(free, tokens)
-        # one row of corpus totals, attached to each term
-        pieces.append(lookup_join(free, df, ["term"], spread="query_id", how="inner")
-                      .join(F.broadcast(size), F.lit(True)).select(*columns))
+        stats = statistics if statistics is not None else store_statistics(free, tokens, few)
+        pieces.append(lookup_join(free, stats, ["term"], spread="query_id", how="inner"))
     if own:
-        df, size = scope_statistics(terms, tokens, scopes.docs)
         scoped = terms.where(F.col("scope_id").isNotNull())
-        pieces.append(lookup_join(scoped, df.join(size, "scope_id"), ["scope_id", "term"],
-                                  spread="query_id", how="inner").select(*columns))
+        stats = scope_statistics(scoped, tokens, scopes.docs, few)
+        pieces.append(lookup_join(scoped, stats, ["scope_id", "term"], spread="query_id",
+                                  how="inner"))
     every = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
     weighed = every.withColumn("weight", F.col("qtf") * _idf(F.col("n_chunks"), F.col("df")))
     packed = (weighed.groupBy("query_id")
@@ -113,13 +135,15 @@ def weigh_queries(queries: DataFrame, tokens: DataFrame, scopes: Scopes | None,
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Scopes | None = None,
-              max_k: int = fv.MAX_TOP_K, stats: str = "scope", **limits) -> DataFrame:
+              max_k: int = fv.MAX_TOP_K, statistics: DataFrame | None = None,
+              **limits) -> DataFrame:
     """Best chunks per question by BM25; only chunks sharing a word with it.
 
     `queries`: query_id, question, top_k and, with `scopes`, scope_id. Statistics come
-    from the filtered set; stats='global' uses those of the whole store.
+    from the filtered set, in one pass over the texts; `statistics` replaces them by those
+    of the whole store (see stored_statistics), which saves that pass.
     """
     tokens = tokenised(chunks)
-    weighed = weigh_queries(queries, tokens, scopes, stats)
+    weighed = weigh_queries(queries, tokens, scopes, statistics)
     return batch_topk(weighed, tokens, "lexical", {}, max_k,
                       scopes.docs if scopes is not None else None, **limits)

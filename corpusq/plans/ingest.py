@@ -46,7 +46,8 @@ def ingest(uploads: DataFrame, registry: DataFrame, config: EngineConfig = Engin
 
     Only ids and hashes go through the duplicate search; the texts meet its outcome in one
     anti join with the rejected ids and never group by hash. `materialise` checkpoints the
-    split documents, which feed three outputs.
+    ids and hashes, read by each step of that search, and the split documents, which feed
+    three outputs; without it the texts are read and hashed again for each.
     """
     checked = validate.check_uploads(
         uploads.withColumn("doc_id", derived_doc_id(
@@ -54,6 +55,8 @@ def ingest(uploads: DataFrame, registry: DataFrame, config: EngineConfig = Engin
         config)
     narrow = checked.select("doc_id", "filename", "user_id", "uploaded_at", "error_code",
                             F.col("content_hash").alias("file_hash"))
+    if materialise:
+        narrow = cut_lineage(narrow)
     invalid = narrow.where(F.col("error_code").isNotNull())
     decided = dedup_decisions(validate.accepted(narrow), registry, config.isolated, hot_rows)
     copies = decided.where(F.col("error_code").isNotNull())

@@ -54,6 +54,8 @@ def retrieve(queries: DataFrame, store: Store, config: EngineConfig = EngineConf
         hits = fusion.fuse(words, hits, asked, config.bm25_weight, max_k)
     if not config.rerank_enabled:
         return hits
+    # short lists, read as candidates and for scoring: search once
+    hits = cut_lineage(hits)
     if scores is None:
         content = attach_chunks(hits, store.chunks, ["content"], valid, max_k)
         asked_text = content.join(valid.select("query_id", "question"), "query_id")
