@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.text import capitalize_name, content_hash, file_suffix
 from corpusq.functions.validate import map_role
+from corpusq.sources.tables import spread_small
 
 DAY0 = "2024-01-01 00:00:00"
 
@@ -21,7 +22,8 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._read[name] = spread_small(df) if name in ("documents", "pages") else df
         return self._read[name]
 
     @property

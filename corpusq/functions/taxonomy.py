@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,40 +61,48 @@ def _literal(values: list[str]) -> Column:
     return F.split(F.lit(",".join(values)), ",")
 
 
+_TREE_TYPE = ("array<struct<ordinal:int,name:string,words:array<string>,"
+              "domains:array<struct<ordinal:int,name:string,words:array<string>>>>>")
+
+
+def _tree() -> Column:
+    """The classifiable part of the taxonomy with its words, as one constant."""
+    return F.from_json(F.lit(json.dumps([
+        {"ordinal": i, "name": p, "words": primary_words(p), "domains": [
+            {"ordinal": j, "name": d, "words": domain_words(p, d)}
+            for j, (q, d) in enumerate(DOMAINS) if q == p]}
+        for i, p in enumerate(PRIMARIES) if p != fv.DEFAULT_COLLECTION])), _TREE_TYPE)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def suggest_labels(tokens: Column) -> Column:
     """Best primary category and its two best domains by distinct shared words.
 
     `tokens` should already be cut down to ALL_WORDS (see `taxonomy_tokens`), so the
     comparisons below run on short arrays. Ties go to the earlier taxonomy entry.
     """
-    # the lambda binds the tokens, so that they are computed once per document
-    return F.transform(F.array(tokens), _best_labels)[0]
-
-
-def _best_labels(tokens: Column) -> Column:
-    def shared(names: list[str]) -> Column:
-        return F.size(F.array_intersect(tokens, _literal(names)))
-
-    scored = F.array(*[
-        F.struct(
-            (-shared(primary_words(p))).alias("rank"),
-            F.lit(i).alias("ordinal"),
-            F.lit(p).alias("name"),
-            F.array(*[
-                F.struct((-shared(domain_words(p, d))).alias("rank"),
-                         F.lit(j).alias("ordinal"), F.lit(d).alias("name"))
-                for j, (q, d) in enumerate(DOMAINS) if q == p
-            ]).alias("domains"),
-        )
-        for i, p in enumerate(PRIMARIES) if p != fv.DEFAULT_COLLECTION
-    ])
-    best = F.array_min(scored)
-    domains = F.slice(
-        F.array_sort(F.filter(best["domains"], lambda d: d["rank"] < 0)), 1, 2)
-    labels = F.concat(F.array(best["name"]), F.transform(domains, lambda d: d["name"]))
-    return (F.when(F.size(tokens) == 0, F.array(F.lit(fv.DEFAULT_COLLECTION)))
-            .when(best["rank"] == 0, F.array(F.lit(fv.DEFAULT_COLLECTION)))
-            .otherwise(labels))
+    def label(words: Column) -> Column:
+        def rank(entry: Column) -> Column:
+            return (-F.size(F.array_intersect(words, entry["words"]))).alias("rank")
+
+        def named(best: Column) -> Column:
+            domains = F.transform(best["domains"], lambda d: F.struct(
+                rank(d), d["ordinal"].alias("ordinal"), d["name"].alias("name")))
+            top = F.slice(F.array_sort(F.filter(domains, lambda d: d["rank"] < 0)), 1, 2)
+            labels = F.concat(F.array(best["name"]), F.transform(top, lambda d: d["name"]))
+            return F.when(best["rank"] < 0, labels).otherwise(other)
+
+        scored = F.transform(_tree(), lambda p: F.struct(
+            rank(p), p["ordinal"].alias("ordinal"), p["name"].alias("name"),
+            p["domains"].alias("domains")))
+        return F.when(F.size(words) == 0, other).otherwise(_bound(F.array_min(scored), named))
+
+    other = F.array(F.lit(fv.DEFAULT_COLLECTION))
+    return _bound(tokens, label)
 
 
 def taxonomy_tokens(text: Column) -> Column:
