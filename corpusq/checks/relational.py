@@ -10,6 +10,7 @@ from corpusq.functions.text import iso_timestamp
 from corpusq.operators import dedup, mutations, registry as reg
 from corpusq.operators.scope import resolve_scope, scope_sizes
 from corpusq.plans.ingest import ingest
+from corpusq.schemas import REGISTRY
 
 _ISO = "strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(uploaded_second AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 _LISTS = "SELECT doc_id, string_agg(collection, '|' ORDER BY collection) AS names FROM collections GROUP BY doc_id"
@@ -261,7 +262,7 @@ _PLACED = """SELECT *, row_number() OVER w AS r, first_value(filename) OVER w AS
 
 
 def _ingested(t):
-    return ingest(_uploads(t), t.registry.limit(0), splitter="fixed")
+    return ingest(_uploads(t), t.spark.createDataFrame([], REGISTRY), splitter="fixed")
 
 
 @check("s10_ingest_registry", sql("""SELECT id AS doc_id, filename, '.txt' AS file_type, source AS user_id,

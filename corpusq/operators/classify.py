@@ -10,6 +10,7 @@ from corpusq.functions.taxonomy import suggest_labels, taxonomy_tokens
 from corpusq.functions.text import collections_csv, parse_label_reply
 from corpusq.operators import mutations
 from corpusq.operators.registry import without_chunks
+from corpusq.operators.skew import lookup_join
 
 
 def classification_excerpt(chunks: DataFrame) -> DataFrame:
@@ -43,7 +44,8 @@ def reclassify(requests: DataFrame, registry: DataFrame, collections: DataFrame,
     """
     checked = mutations.check_targets(requests, registry, isolated)
     good = checked.where(F.col("error_code").isNull()).select("doc_id").distinct()
-    labels = classify_documents(chunks.join(good, "doc_id", "left_semi"), replies)
+    labels = classify_documents(
+        lookup_join(chunks, good, ["doc_id"], spread="chunk_id", how="left_semi"), replies)
     updates = labels.select("doc_id", F.col("labels").alias("collections"))
     csv = labels.select("doc_id", F.create_map(
         F.lit("collections_csv"), collections_csv(F.col("labels"))).alias("updates"))

@@ -66,7 +66,7 @@ def _said(terms: DataFrame, tokens: DataFrame, few_queries: bool) -> DataFrame:
 
 def _with_sizes(counted: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, n, total) -> (keys, term, df, n_chunks, mean_length). A group has one
-    row per word asked for."""
+    row per word asked for in it."""
     w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     is_size = F.col("term") == SIZE_MARK
     sized = counted.withColumns({
@@ -94,12 +94,19 @@ def store_statistics(terms: DataFrame, tokens: DataFrame, few_queries: bool = Fa
     """(term, df, n_chunks, mean_length) of the words asked for, over the whole store."""
     counted = (_said(terms, tokens, few_queries).groupBy("term")
                .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
-    return _with_sizes(counted, [])
+    if few_queries:
+        return _with_sizes(counted, [])
+    size = tokens.agg(F.count(F.lit(1)).alias("n_chunks"),
+                      F.avg(F.size("tokens")).alias("mean_length"))
+    words = counted.where(F.col("term") != SIZE_MARK).select("term", F.col("n").alias("df"))
+    return stored_statistics(words, size)
 
 
 def stored_statistics(frequencies: DataFrame, size: DataFrame) -> DataFrame:
     """The same from tables kept with the index (term_frequencies, corpus_size)."""
-    return frequencies.join(F.broadcast(size.limit(1)), F.lit(True))
+    return frequencies.select(
+        "term", "df", size.select("n_chunks").scalar().alias("n_chunks"),
+        size.select("mean_length").scalar().alias("mean_length"))
 
 
 def _idf(n, df):

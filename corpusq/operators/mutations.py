@@ -60,7 +60,11 @@ def check_targets(requests: DataFrame, registry: DataFrame, isolated: bool = Tru
 def delete_documents(doc_ids: DataFrame, *tables: DataFrame) -> list[DataFrame]:
     """Remove documents from every given table that has a doc_id."""
     gone = doc_ids.select("doc_id").distinct()
-    return [t.join(gone, "doc_id", "left_anti").select(*t.columns) for t in tables]
+    return [
+        # one document may hold a large share of the chunks
+        (lookup_join(t, gone, ["doc_id"], spread="chunk_id", how="left_anti")
+         if "chunk_id" in t.columns else t.join(gone, "doc_id", "left_anti")).select(*t.columns)
+        for t in tables]
 
 
 def replace_collections(collections: DataFrame, registry: DataFrame, updates: DataFrame

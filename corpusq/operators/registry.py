@@ -83,7 +83,7 @@ def documents_by_id(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 def without_chunks(doc_ids: DataFrame, chunks: DataFrame) -> DataFrame:
     """404 for documents that have no stored chunk."""
-    return (doc_ids.join(chunks.select("doc_id"), "doc_id", "left_anti")
+    return (doc_ids.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
             .withColumn("error_code", F.lit(fv.NOT_FOUND)))
 
 

@@ -88,57 +88,80 @@ class BucketScorer(DenseScorer):
         return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices start..start+size of many ranges, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
 class LexicalScorer:
-    """BM25 with the idf weights and average length carried by each query."""
+    """BM25 with the idf weights and average length carried by each query.
+
+    Work per call follows the rows and queries of that call, so that very many small
+    scopes cost no more than a few large ones.
+    """
 
     def __init__(self, queries: pa.Table):
         terms = queries["terms"].combine_chunks()
-        weights = np.asarray(queries["weights"].combine_chunks().flatten(), dtype=np.float64)
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(terms), 0))
+        self.weight = np.asarray(queries["weights"].combine_chunks().flatten(), dtype=np.float64)
+        self.size = np.asarray(pc.fill_null(pc.list_value_length(terms), 0), dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
         words = terms.flatten()
         self.vocabulary = pc.unique(words)
-        code = np.asarray(pc.index_in(words, value_set=self.vocabulary), dtype=np.int64)
-        owner = np.repeat(np.arange(len(terms)), sizes)
-        order = np.argsort(code, kind="stable")
-        self.owner, self.weight = owner[order], weights[order]
-        self.begin = np.searchsorted(code[order], np.arange(len(self.vocabulary) + 1))
+        self.code = np.asarray(pc.index_in(words, value_set=self.vocabulary), dtype=np.int64)
         self.mean = np.asarray(queries["mean_length"], dtype=np.float64)
+        self.groups: dict[tuple[int, int], tuple] = {}
+
+    def _group(self, qs: np.ndarray) -> tuple:
+        """Terms of a group of queries, sorted, with the queries that use each."""
+        key = (int(qs[0]), len(qs))
+        if key not in self.groups:
+            at = _ranges(self.start[qs], self.size[qs])
+            local = np.repeat(np.arange(len(qs)), self.size[qs])
+            order = np.argsort(self.code[at], kind="stable")
+            terms, begin = np.unique(self.code[at][order], return_index=True)
+            self.groups[key] = (terms, np.append(begin, len(order)), local[order],
+                                self.weight[at][order])
+        return self.groups[key]
 
     def load(self, batch) -> None:
         tokens = batch["tokens"]
         if isinstance(tokens, pa.ChunkedArray):
             tokens = tokens.combine_chunks()
-        self.length = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.float64)
-        row = np.repeat(np.arange(len(tokens)), self.length.astype(np.int64))
+        n = len(tokens)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.int64)
+        self.length = sizes.astype(np.float64)
         found = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
         code = np.asarray(pc.fill_null(found, -1), dtype=np.int64)
         hit = code >= 0
-        n = len(tokens)
-        key, tf = np.unique(code[hit] * max(n, 1) + row[hit], return_counts=True)
-        self.term, self.row, self.tf = key // max(n, 1), key % max(n, 1), tf.astype(np.float64)
+        width = max(len(self.vocabulary), 1)
+        key, tf = np.unique(np.repeat(np.arange(n), sizes)[hit] * width + code[hit],
+                            return_counts=True)
+        row, self.term, self.tf = key // width, key % width, tf.astype(np.float64)
+        edges = np.searchsorted(row, np.arange(n + 1))
+        self.row_start, self.row_size = edges[:-1], np.diff(edges)
 
     def scores(self, qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
         out = np.zeros((len(qs), len(rows)))
-        q_at = np.full(len(self.mean), -1)
-        q_at[qs] = np.arange(len(qs))
-        r_at = np.full(len(self.length), -1)
-        r_at[rows] = np.arange(len(rows))
-        near = r_at[self.row] >= 0
-        term, row, tf = self.term[near], self.row[near], self.tf[near]
-        # queries of one call share a scope, hence one average length
-        mean = self.mean[qs[0]] if len(qs) else 1.0
-        damp = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * self.length[row] / mean)
-        part = tf * (fv.BM25_K1 + 1) / (tf + damp)
-        cuts = np.flatnonzero(np.diff(term)) + 1
-        starts = np.concatenate(([0], cuts)) if len(term) else np.array([], dtype=np.int64)
-        stops = np.concatenate((cuts, [len(term)])) if len(term) else starts
-        for a, b in zip(starts, stops):
-            lo, hi = self.begin[term[a]], self.begin[term[a] + 1]
-            q = q_at[self.owner[lo:hi]]
-            known = q >= 0
-            if known.any():
-                out[np.ix_(q[known], r_at[row[a:b]])] += np.outer(
-                    self.weight[lo:hi][known], part[a:b])
+        terms, begin, q_local, weight = self._group(qs)
+        sizes = self.row_size[rows]
+        at = _ranges(self.row_start[rows], sizes)
+        r_local = np.repeat(np.arange(len(rows)), sizes)
+        place = np.searchsorted(terms, self.term[at])
+        known = place < len(terms)
+        known[known] = terms[place[known]] == self.term[at][known]
+        at, r_local, place = at[known], r_local[known], place[known]
+        if len(at):
+            # queries of one call share a scope, hence one average length
+            damp = fv.BM25_K1 * (1 - fv.BM25_B
+                                 + fv.BM25_B * self.length[rows][r_local] / self.mean[qs[0]])
+            part = self.tf[at] * (fv.BM25_K1 + 1) / (self.tf[at] + damp)
+            order = np.argsort(place, kind="stable")
+            place, r_local, part = place[order], r_local[order], part[order]
+            edges = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
+            for a, b in zip(edges[:-1], edges[1:]):
+                lo, hi = begin[place[a]], begin[place[a] + 1]
+                out[np.ix_(q_local[lo:hi], r_local[a:b])] += np.outer(weight[lo:hi], part[a:b])
         return np.where(out > 0, out, -np.inf)
 
 
