@@ -20,18 +20,27 @@ BROADCAST_QUERIES = 10_000   # more queries than this are not sent to every task
 TILE_QUERIES = 5_000         # then: queries per tile ...
 TILE_ITEMS = 50_000          # ... and items per tile
 HELD_HITS = 400_000          # hits (queries x k) one task may hold
+BROADCAST_SCOPES = 500_000   # (scope, document) rows that may be sent to every task
 OUT_DDL = "query_id string, fetch_k int, chunk_id string, doc_id string, score double"
 
 
-def _scoped_items(items: DataFrame, scope_docs: DataFrame | None, on: list[str],
-                  all_scoped: bool) -> DataFrame:
+def few_scope_docs(scope_docs: DataFrame, limit: int = BROADCAST_SCOPES) -> bool:
+    """Whether the scopes are short enough to be broadcast; reads limit + 1 rows."""
+    return scope_docs.limit(limit + 1).count() <= limit
+
+
+def scoped_items(items: DataFrame, scope_docs: DataFrame | None, on: list[str],
+                 all_scoped: bool, few: bool = False) -> DataFrame:
     """Items + the list of scopes that may see them; unseen items go when no query is
-    unrestricted. The list is no longer than the block of queries."""
+    unrestricted. The list is no longer than the block of queries. With `few` the scopes
+    go to the items, which are then not shuffled."""
     if scope_docs is None:
         return items
+    how = "inner" if all_scoped else "left"
     allowed = scope_docs.groupBy(*on).agg(F.collect_set("scope_id").alias("scopes"))
-    return lookup_join(items, allowed, on, spread="chunk_id",
-                       how="inner" if all_scoped else "left")
+    if few:
+        return items.join(F.broadcast(allowed), on, how)
+    return lookup_join(items, allowed, on, spread="chunk_id", how=how)
 
 
 def batch_topk(queries: DataFrame, items: DataFrame, kind: str, options: dict, max_k: int,
@@ -63,11 +72,12 @@ def _broadcast_pass(few: pa.Table, items: DataFrame, kind: str, options: dict,
     if scope_docs is not None:
         all_scoped = few["scope_id"].null_count == 0
     # Spark's own broadcast, so that tasks on one machine share the copy
-    shared = items.sparkSession.sparkContext.broadcast(_to_bytes(few))
-    scoped = _scoped_items(items, scope_docs, ["doc_id"], all_scoped)
+    shared = items.sparkSession.sparkContext.broadcast(to_bytes(few))
+    scoped = scoped_items(items, scope_docs, ["doc_id"], all_scoped,
+                          few=scope_docs is not None and few_scope_docs(scope_docs))
 
     def run(batches):
-        block = make_block(_from_bytes(shared.value), kind, options)
+        block = make_block(from_bytes(shared.value), kind, options)
         for batch in batches:
             block.add(batch)
         yield block.result()
@@ -87,7 +97,7 @@ def _tiled_pass(queries: DataFrame, items: DataFrame, kind: str, options: dict,
              .withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))))
     if scope_docs is not None:
         tiles_of = dealt.where(F.col("scope_id").isNotNull()).select("scope_id", "q_tile").distinct()
-        right = _scoped_items(
+        right = scoped_items(
             right, lookup_join(scope_docs, tiles_of, ["scope_id"], spread="doc_id", how="inner"),
             ["doc_id", "q_tile"], all_scoped=False)
 
@@ -102,12 +112,12 @@ def _tiled_pass(queries: DataFrame, items: DataFrame, kind: str, options: dict,
             .applyInArrow(run, OUT_DDL))
 
 
-def _to_bytes(table: pa.Table) -> bytes:
+def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     return sink.getvalue().to_pybytes()
 
 
-def _from_bytes(data: bytes) -> pa.Table:
+def from_bytes(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.BufferReader(data)).read_all()

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
-from corpusq.operators.batch_topk import BROADCAST_QUERIES, batch_topk
+from corpusq.operators.batch_topk import (BROADCAST_QUERIES, batch_topk, few_scope_docs,
+                                         scoped_items)
 from corpusq.operators.scope import Scopes
+from corpusq.operators.scoring import WordCounter
 from corpusq.operators.skew import lookup_join
 
 
@@ -39,6 +41,9 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
                                      F.avg("dl").alias("mean_length"))
 
 
+SIZE_MARK = ""   # not a token; stands for "any chunk" in the statistics
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, scope_id, term, qtf); a word said twice counts twice."""
     scope = F.col("scope_id") if "scope_id" in queries.columns else F.lit(None).cast("string")
@@ -47,58 +52,73 @@ def query_terms(queries: DataFrame) -> DataFrame:
             .groupBy("query_id", "scope_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-SIZE_MARK = ""   # not a token; stands for "any chunk" in the statistics pass
-
-
-def _said(terms: DataFrame, tokens: DataFrame, few_queries: bool) -> DataFrame:
-    """(doc_id, term, dl): distinct words asked for, chunk by chunk, and one SIZE_MARK row
-    per chunk, so that frequencies and lengths come from a single pass over the texts."""
-    mark = terms.sparkSession.createDataFrame([(SIZE_MARK,)], "term string")
-    vocabulary = terms.select("term").union(mark).distinct()
-    said = tokens.select(
-        "doc_id", "chunk_id", F.size("tokens").alias("dl"),
-        F.explode(F.array_append(F.array_distinct("tokens"), SIZE_MARK)).alias("term"))
-    if few_queries:
-        # at most BROADCAST_QUERIES questions of at most 2000 characters
-        return said.join(F.broadcast(vocabulary), "term", "left_semi")
-    return lookup_join(said, vocabulary, ["term"], spread="chunk_id", how="left_semi")
-
-
-def _with_sizes(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, term, n, total) -> (keys, term, df, n_chunks, mean_length). A group has one
-    row per word asked for in it."""
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+def _with_sizes(counted: DataFrame) -> DataFrame:
+    """(scope_id, term, n, total) -> (scope_id, term, df, n_chunks, mean_length). A scope
+    has one row per word asked for."""
+    w = W.partitionBy("scope_id")
     is_size = F.col("term") == SIZE_MARK
     sized = counted.withColumns({
         "n_chunks": F.max(F.when(is_size, F.col("n"))).over(w),
         "mean_length": F.max(F.when(is_size, F.col("total") / F.col("n"))).over(w)})
-    return sized.where(~is_size).select(*keys, "term", F.col("n").alias("df"),
+    return sized.where(~is_size).select("scope_id", "term", F.col("n").alias("df"),
                                         "n_chunks", "mean_length")
 
 
-def scope_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame,
-                     few_queries: bool = False) -> DataFrame:
-    """(scope_id, term, df, n_chunks, mean_length) of filtered sets.
+def _summed(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("scope_id", "term").agg(F.sum("n").alias("n"),
+                                                   F.sum("total").alias("total"))
+
+
+def counted_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame | None
+                       ) -> DataFrame:
+    """Statistics of the words of few questions, of each scope or (None) of the store.
 
-    Chunks are summed up per document before documents meet their scopes.
+    One pass over the chunks without a shuffle: the words asked for go to every task, which
+    counts its own chunks and hands on one row per scope and word. For at most
+    BROADCAST_QUERIES questions of at most 2000 characters, and broadcast scopes.
     """
-    per_doc = (_said(terms, tokens, few_queries).groupBy("doc_id", "term")
-               .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
-    counted = (per_doc.join(scope_docs, "doc_id").groupBy("scope_id", "term")
-               .agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
-    return _with_sizes(counted, ["scope_id"])
+    words = terms.select("term").distinct().toArrow()["term"].combine_chunks()
+    scopes = None
+    if scope_docs is not None:
+        scopes = terms.select("scope_id").distinct().toArrow()["scope_id"].combine_chunks()
+    shared = tokens.sparkSession.sparkContext.broadcast((words, scopes))
+    items = scoped_items(tokens, scope_docs, ["doc_id"], all_scoped=True, few=True)
+
+    def run(batches):
+        counter = WordCounter(*shared.value)
+        for batch in batches:
+            counter.add(batch)
+        yield counter.result()
+
+    counted = items.mapInArrow(run, "scope_id string, term string, n long, total long")
+    return _with_sizes(_summed(counted))
 
 
-def store_statistics(terms: DataFrame, tokens: DataFrame, few_queries: bool = False
-                     ) -> DataFrame:
-    """(term, df, n_chunks, mean_length) of the words asked for, over the whole store."""
-    counted = (_said(terms, tokens, few_queries).groupBy("term")
+def scope_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame) -> DataFrame:
+    """The same for scopes of any number and length.
+
+    One pass too: a SIZE_MARK row per chunk stands beside its words. Chunks are summed up
+    per document before documents meet their scopes.
+    """
+    mark = terms.sparkSession.createDataFrame([(SIZE_MARK,)], "term string")
+    vocabulary = terms.select("term").union(mark).distinct()
+    said = tokens.select(
+        "doc_id", "chunk_id", F.size("tokens").alias("dl"),
+        F.explode(F.array_append(F.array_distinct("tokens"), SIZE_MARK)).alias("term"))
+    per_doc = (lookup_join(said, vocabulary, ["term"], spread="chunk_id", how="left_semi")
+               .groupBy("doc_id", "term")
                .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
-    if few_queries:
-        return _with_sizes(counted, [])
+    return _with_sizes(_summed(per_doc.join(scope_docs, "doc_id")))
+
+
+def store_statistics(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(term, df, n_chunks, mean_length) of any number of words, over the whole store."""
+    said = tokens.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    words = (lookup_join(said, terms.select("term").distinct(), ["term"], spread="chunk_id",
+                         how="left_semi")
+             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     size = tokens.agg(F.count(F.lit(1)).alias("n_chunks"),
                       F.avg(F.size("tokens")).alias("mean_length"))
-    words = counted.where(F.col("term") != SIZE_MARK).select("term", F.col("n").alias("df"))
     return stored_statistics(words, size)
 
 
@@ -114,19 +134,25 @@ def _idf(n, df):
 
 
 def weigh_queries(queries: DataFrame, tokens: DataFrame, scopes: Scopes | None,
-                  statistics: DataFrame | None = None) -> DataFrame:
+                  statistics: DataFrame | None = None,
+                  broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """Queries as (query_id, scope_id, fetch_k, terms, weights, mean_length)."""
     terms = query_terms(queries)
-    few = queries.select("query_id").limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+    few = queries.select("query_id").limit(broadcast_queries + 1).count() <= broadcast_queries
     own = scopes is not None and statistics is None
     pieces = []
     if not (own and scopes.all_scoped):
         free = terms.where(F.col("scope_id").isNull()) if own else terms
-        stats = statistics if statistics is not None else store_statistics(free, tokens, few)
+        stats = statistics
+        if stats is None:
+            stats = (counted_statistics(free, tokens, None).drop("scope_id") if few
+                     else store_statistics(free, tokens))
         pieces.append(lookup_join(free, stats, ["term"], spread="query_id", how="inner"))
     if own:
         scoped = terms.where(F.col("scope_id").isNotNull())
-        stats = scope_statistics(scoped, tokens, scopes.docs, few)
+        stats = (counted_statistics(scoped, tokens, scopes.docs)
+                 if few and few_scope_docs(scopes.docs)
+                 else scope_statistics(scoped, tokens, scopes.docs))
         pieces.append(lookup_join(scoped, stats, ["scope_id", "term"], spread="query_id",
                                   how="inner"))
     every = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
@@ -151,6 +177,7 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Scopes | None = Non
     of the whole store (see stored_statistics), which saves that pass.
     """
     tokens = tokenised(chunks)
-    weighed = weigh_queries(queries, tokens, scopes, statistics)
+    weighed = weigh_queries(queries, tokens, scopes, statistics,
+                            limits.get("broadcast_queries", BROADCAST_QUERIES))
     return batch_topk(weighed, tokens, "lexical", {}, max_k,
                       scopes.docs if scopes is not None else None, **limits)

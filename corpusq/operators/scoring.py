@@ -94,6 +94,60 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
+class WordCounter:
+    """Counts, per scope and vocabulary word, the items that hold the word; with an empty
+    word for all items and their total length."""
+
+    def __init__(self, vocabulary: pa.Array, scopes: pa.Array | None):
+        self.vocabulary, self.scopes = vocabulary, scopes
+        self.parts: list[tuple] = []
+
+    def add(self, batch) -> None:
+        tokens = batch["tokens"]
+        n, width = len(tokens), len(self.vocabulary) + 1
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.int64)
+        found = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
+        code = np.asarray(pc.fill_null(found, -1), dtype=np.int64)
+        hit = code >= 0
+        pairs = np.unique(np.repeat(np.arange(n), sizes)[hit] * width + code[hit])
+        row, code = pairs // width, pairs % width
+        if self.scopes is None:
+            item, scope = np.arange(n), np.zeros(n, dtype=np.int64)
+        else:
+            allowed = batch["scopes"]
+            many = np.asarray(pc.fill_null(pc.list_value_length(allowed), 0), dtype=np.int64)
+            item = np.repeat(np.arange(n), many)
+            scope = np.asarray(pc.index_in(allowed.flatten(), value_set=self.scopes),
+                               dtype=np.int64)
+        edges = np.searchsorted(row, np.arange(n + 1))
+        held = np.diff(edges)[item]
+        key = np.repeat(scope, held) * width + code[_ranges(edges[:-1][item], held)]
+        words, counts = np.unique(key, return_counts=True)
+        self.parts.append((words, counts, np.zeros(len(words))))
+        ends, at = np.unique(scope, return_inverse=True)
+        self.parts.append((ends * width + width - 1, np.bincount(at, minlength=len(ends)),
+                           np.bincount(at, weights=sizes[item], minlength=len(ends))))
+        if sum(len(p[0]) for p in self.parts) > 2_000_000:
+            self._merge()
+
+    def _merge(self) -> None:
+        if self.parts:
+            key, n, total = (np.concatenate(x) for x in zip(*self.parts))
+            keys, at = np.unique(key, return_inverse=True)
+            self.parts = [(keys, np.bincount(at, weights=n), np.bincount(at, weights=total))]
+
+    def result(self) -> pa.RecordBatch:
+        self._merge()
+        key, n, total = self.parts[0] if self.parts else (np.array([], dtype=np.int64),) * 3
+        width = len(self.vocabulary) + 1
+        words = pa.concat_arrays([self.vocabulary, pa.array([""], pa.string())])
+        scope = pa.nulls(len(key), pa.string()) if self.scopes is None \
+            else self.scopes.take(pa.array(key // width))
+        return pa.record_batch(
+            [scope, words.take(pa.array(key % width)), pa.array(n.astype(np.int64)),
+             pa.array(total.astype(np.int64))], names=["scope_id", "term", "n", "total"])
+
+
 class LexicalScorer:
     """BM25 with the idf weights and average length carried by each query.
 
