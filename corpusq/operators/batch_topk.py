@@ -20,15 +20,9 @@ BROADCAST_QUERIES = 10_000   # more queries than this are not sent to every task
 TILE_QUERIES = 5_000         # then: queries per tile ...
 TILE_ITEMS = 50_000          # ... and items per tile
 HELD_HITS = 400_000          # hits (queries x k) one task may hold
-BROADCAST_SCOPES = 500_000   # (scope, document) rows that may be sent to every task
 OUT_DDL = "query_id string, fetch_k int, chunk_id string, doc_id string, score double"
 
 
-def few_scope_docs(scope_docs: DataFrame, limit: int = BROADCAST_SCOPES) -> bool:
-    """Whether the scopes are short enough to be broadcast; reads limit + 1 rows."""
-    return scope_docs.limit(limit + 1).count() <= limit
-
-
 def scoped_items(items: DataFrame, scope_docs: DataFrame | None, on: list[str],
                  all_scoped: bool, few: bool = False) -> DataFrame:
     """Items + the list of scopes that may see them; unseen items go when no query is
@@ -44,7 +38,7 @@ def scoped_items(items: DataFrame, scope_docs: DataFrame | None, on: list[str],
 
 
 def batch_topk(queries: DataFrame, items: DataFrame, kind: str, options: dict, max_k: int,
-               scope_docs: DataFrame | None = None,
+               scope_docs: DataFrame | None = None, few_scopes: bool = False,
                broadcast_queries: int = BROADCAST_QUERIES,
                tile_queries: int = TILE_QUERIES, tile_items: int = TILE_ITEMS) -> DataFrame:
     """(query_id, chunk_id, doc_id, score, rank).
@@ -53,12 +47,13 @@ def batch_topk(queries: DataFrame, items: DataFrame, kind: str, options: dict, m
     `items`: chunk_id, doc_id, features.
     Reading one row more than the limit tells whether the queries are few enough to be
     broadcast; if not, queries and items are dealt into tiles of bounded size.
+    `few_scopes`: the caller measured that scope_docs can be broadcast.
     """
     broadcast_queries = max(1, min(broadcast_queries, HELD_HITS // max_k))
     tile_queries = max(1, min(tile_queries, HELD_HITS // max_k))
     few = queries.limit(broadcast_queries + 1).toArrow()
     if few.num_rows <= broadcast_queries:
-        best = _broadcast_pass(few, items, kind, options, scope_docs)
+        best = _broadcast_pass(few, items, kind, options, scope_docs, few_scopes)
     else:
         best = _tiled_pass(queries, items, kind, options, scope_docs, tile_queries, tile_items)
     # the tasks' lists are already cut to each query's k, so the k best of their union
@@ -67,14 +62,13 @@ def batch_topk(queries: DataFrame, items: DataFrame, kind: str, options: dict, m
 
 
 def _broadcast_pass(few: pa.Table, items: DataFrame, kind: str, options: dict,
-                    scope_docs: DataFrame | None) -> DataFrame:
+                    scope_docs: DataFrame | None, few_scopes: bool) -> DataFrame:
     all_scoped = False
     if scope_docs is not None:
         all_scoped = few["scope_id"].null_count == 0
     # Spark's own broadcast, so that tasks on one machine share the copy
     shared = items.sparkSession.sparkContext.broadcast(to_bytes(few))
-    scoped = scoped_items(items, scope_docs, ["doc_id"], all_scoped,
-                          few=scope_docs is not None and few_scope_docs(scope_docs))
+    scoped = scoped_items(items, scope_docs, ["doc_id"], all_scoped, few_scopes)
 
     def run(batches):
         block = make_block(from_bytes(shared.value), kind, options)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
-from corpusq.operators.batch_topk import (BROADCAST_QUERIES, batch_topk, few_scope_docs,
-                                         scoped_items)
+from corpusq.operators.batch_topk import BROADCAST_QUERIES, batch_topk, scoped_items
 from corpusq.operators.scope import Scopes
 from corpusq.operators.scoring import WordCounter
 from corpusq.operators.skew import lookup_join
@@ -151,7 +150,7 @@ def weigh_queries(queries: DataFrame, tokens: DataFrame, scopes: Scopes | None,
     if own:
         scoped = terms.where(F.col("scope_id").isNotNull())
         stats = (counted_statistics(scoped, tokens, scopes.docs)
-                 if few and few_scope_docs(scopes.docs)
+                 if few and scopes.few
                  else scope_statistics(scoped, tokens, scopes.docs))
         pieces.append(lookup_join(scoped, stats, ["scope_id", "term"], spread="query_id",
                                   how="inner"))
@@ -177,7 +176,10 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Scopes | None = Non
     of the whole store (see stored_statistics), which saves that pass.
     """
     tokens = tokenised(chunks)
+    if scopes is not None:
+        scopes = scopes.settled()
     weighed = weigh_queries(queries, tokens, scopes, statistics,
                             limits.get("broadcast_queries", BROADCAST_QUERIES))
     return batch_topk(weighed, tokens, "lexical", {}, max_k,
-                      scopes.docs if scopes is not None else None, **limits)
+                      scopes.docs if scopes is not None else None,
+                      scopes is not None and scopes.few, **limits)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from corpusq.config import EngineConfig
 from corpusq.operators.registry import current_user
 from corpusq.operators.skew import lookup_join
+from corpusq.session import settle
+
+BROADCAST_SCOPES = 500_000   # (scope, document) rows that may be sent to every task
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,14 @@ class Scopes:
     queries: DataFrame
     docs: DataFrame
     all_scoped: bool = False   # no query is unrestricted
+    few: bool | None = None    # `docs` is short enough to broadcast (None: not measured)
+
+    def settled(self) -> Scopes:
+        """The same with `docs` computed and measured once; every search reads it twice."""
+        if self.few is not None:
+            return self
+        docs, few = settle(self.docs, BROADCAST_SCOPES)
+        return replace(self, docs=docs, few=few)
 
 
 def name_scopes(queries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

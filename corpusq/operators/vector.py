@@ -30,9 +30,10 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, metric: str = "cosine",
     items = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "doc_id", "embedding")
     if scopes is None:
         return batch_topk(wanted.select(*columns), items, kind, options, max_k, **limits)
+    scopes = scopes.settled()
     if mode == "pre":
         return batch_topk(wanted.select("scope_id", *columns), items, kind, options, max_k,
-                          scopes.docs, **limits)
+                          scopes.docs, scopes.few, **limits)
     wide = wanted.withColumn("fetch_k", F.col("fetch_k") * fv.POST_FILTER_OVERFETCH)
     found = batch_topk(wide.select(*columns), items, kind, options,
                        max_k * fv.POST_FILTER_OVERFETCH, **limits)

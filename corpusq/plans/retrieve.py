@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from corpusq.operators.lexical import bm25_topk
 from corpusq.operators.scope import resolve_scope
 from corpusq.operators.skew import lookup_join
 from corpusq.operators.vector import vector_topk
-from corpusq.session import cut_lineage
+from corpusq.session import settle
 
 BROADCAST_HITS = 400_000   # rows of (query, chunk) that may be sent to every task
 
@@ -40,10 +40,7 @@ def retrieve(queries: DataFrame, store: Store, config: EngineConfig = EngineConf
     and keeps rerank_top_n, whatever top_k says.
     """
     valid = validate.accepted(validate.check_queries(queries, config))
-    scopes = resolve_scope(valid, store.registry, store.collections, config)
-    if config.hybrid_enabled:
-        # four readers: both item passes and the statistics of the scopes
-        scopes = replace(scopes, docs=cut_lineage(scopes.docs))
+    scopes = resolve_scope(valid, store.registry, store.collections, config).settled()
     factor = fv.RERANK_OVERFETCH if config.rerank_enabled else 1
     max_k = config.max_top_k * factor
     asked = scopes.queries.withColumn("top_k", F.col("top_k") * factor)
@@ -55,7 +52,7 @@ def retrieve(queries: DataFrame, store: Store, config: EngineConfig = EngineConf
     if not config.rerank_enabled:
         return hits
     # short lists, read as candidates and for scoring: search once
-    hits = cut_lineage(hits)
+    hits, _ = settle(hits, BROADCAST_HITS)
     if scores is None:
         content = attach_chunks(hits, store.chunks, ["content"], valid, max_k)
         asked_text = content.join(valid.select("query_id", "question"), "query_id")

@@ -54,3 +54,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """A result that is read several times, computed once; and whether it is short.
+
+    Up to `limit` rows come back as a local table (and are short enough to broadcast);
+    reading one row more tells. A longer result is checkpointed.
+    """
+    head = df.limit(limit + 1).toArrow()
+    if head.num_rows <= limit:
+        return df.sparkSession.createDataFrame(head, schema=df.schema), True
+    return cut_lineage(df), False
