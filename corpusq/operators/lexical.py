@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,10 +77,9 @@ def counted_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFram
     counts its own chunks and hands on one row per scope and word. For at most
     BROADCAST_QUERIES questions of at most 2000 characters, and broadcast scopes.
     """
-    words = terms.select("term").distinct().toArrow()["term"].combine_chunks()
-    scopes = None
-    if scope_docs is not None:
-        scopes = terms.select("scope_id").distinct().toArrow()["scope_id"].combine_chunks()
+    asked = terms.select("scope_id", "term").distinct().toArrow()
+    words = pc.unique(asked["term"])
+    scopes = None if scope_docs is None else pc.unique(asked["scope_id"])
     shared = tokens.sparkSession.sparkContext.broadcast((words, scopes))
     items = scoped_items(tokens, scope_docs, ["doc_id"], all_scoped=True, few=True)
 

@@ -11,6 +11,7 @@ from corpusq import fixed_values as fv
 from corpusq.config import EngineConfig
 from corpusq.functions import validate
 from corpusq.operators import context, fusion
+from corpusq.operators.batch_topk import BROADCAST_QUERIES
 from corpusq.operators.lexical import bm25_topk
 from corpusq.operators.scope import resolve_scope
 from corpusq.operators.skew import lookup_join
@@ -43,7 +44,9 @@ def retrieve(queries: DataFrame, store: Store, config: EngineConfig = EngineConf
     scopes = resolve_scope(valid, store.registry, store.collections, config).settled()
     factor = fv.RERANK_OVERFETCH if config.rerank_enabled else 1
     max_k = config.max_top_k * factor
-    asked = scopes.queries.withColumn("top_k", F.col("top_k") * factor)
+    # every step below reads the queries again
+    asked, _ = settle(scopes.queries.withColumn("top_k", F.col("top_k") * factor),
+                      BROADCAST_QUERIES)
     hits = vector_topk(asked, store.vectors, config.metric, scopes, config.filter_mode,
                        config.search, max_k)
     if config.hybrid_enabled:
@@ -54,8 +57,8 @@ def retrieve(queries: DataFrame, store: Store, config: EngineConfig = EngineConf
     # short lists, read as candidates and for scoring: search once
     hits, _ = settle(hits, BROADCAST_HITS)
     if scores is None:
-        content = attach_chunks(hits, store.chunks, ["content"], valid, max_k)
-        asked_text = content.join(valid.select("query_id", "question"), "query_id")
+        content = attach_chunks(hits, store.chunks, ["content"], asked, max_k)
+        asked_text = content.join(asked.select("query_id", "question"), "query_id")
         scores = fusion.overlap_scores(asked_text)
     return fusion.rerank(hits, scores, config.rerank_top_n)
 
