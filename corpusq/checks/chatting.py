@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from corpusq.checks.base import check
 from corpusq.checks.derived import sql
+from corpusq.checks.relational import INGESTED_CHUNKS, chunk_columns, uploads_of
 from corpusq.operators import chat
-from corpusq.streaming.streams import chat_memory_stream, dedup_stream
+from corpusq.streaming.streams import chat_memory_stream, dedup_stream, ingest_batches
 
 _NOW = 7200
 
@@ -160,6 +161,17 @@ def _(t):
         F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
+@check("x1_ingest_stream", INGESTED_CHUNKS)
+def _(t):
+    """Documents arriving as a stream of uploads; the chunks that were stored."""
+    folder = _work_folder(t.spark)
+    source = (t.spark.readStream.schema(t.documents.schema)
+              .option("pathGlobFilter", "documents.parquet").parquet(t.folder))
+    ingest_batches(uploads_of(source, t.day0), lambda batch: batch, f"{folder}/out",
+                   f"{folder}/checkpoint", splitter="fixed", available_now=True).awaitTermination()
+    return chunk_columns(t.spark.read.parquet(f"{folder}/out/chunks"))
+
+
 @check("x2_dedup_stream", """SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS user_id,
     sha256(event_type || props) AS file_hash FROM events""")
 def _(t):

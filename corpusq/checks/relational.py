@@ -241,17 +241,17 @@ def _(t):
 
 # --- ingestion ----------------------------------------------------------------------------
 
-def _uploads(t):
+def uploads_of(documents, day0):
     name = F.concat("source", F.lit("_"), F.col("doc_id").cast("string"),
                     F.when(F.col("lang") == "de", F.lit(".exe")).otherwise(F.lit(".txt")))
-    return t.documents.select(
+    return documents.select(
         F.col("doc_id").cast("string").alias("upload_id"), name.alias("filename"),
         F.col("source").alias("user_id"), F.array("text").alias("pages"), F.lit(False).alias("paged"),
         F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"),
         (F.col("n_chars") * 1000).alias("n_bytes"),
         F.when(F.col("lang") == "fr", F.concat(F.lit(" fr ,, "), "source", F.lit(",fr"))).alias("collections_raw"),
         F.lit(False).alias("auto_suggest"),
-        F.timestamp_seconds(F.unix_seconds(t.day0) + F.col("doc_id")).alias("uploaded_at"))
+        F.timestamp_seconds(F.unix_seconds(day0) + F.col("doc_id")).alias("uploaded_at"))
 
 
 _UPLOADS = """SELECT doc_id, source, lang, text, substr(sha256(source || '|' || CAST(doc_id AS VARCHAR) || '|' ||
@@ -262,7 +262,7 @@ _PLACED = """SELECT *, row_number() OVER w AS r, first_value(filename) OVER w AS
 
 
 def _ingested(t):
-    return ingest(_uploads(t), t.spark.createDataFrame([], REGISTRY), splitter="fixed")
+    return ingest(uploads_of(t.documents, t.day0), t.spark.createDataFrame([], REGISTRY), splitter="fixed")
 
 
 @check("s10_ingest_registry", sql("""SELECT id AS doc_id, filename, '.txt' AS file_type, source AS user_id,
@@ -279,15 +279,21 @@ def _(t):
     return _ingested(t)["document_collections"]
 
 
-@check("s10_p4_ingest_chunks", sql("""SELECT id || '_chunk_' || CAST(p // 800 AS VARCHAR) AS chunk_id, id AS doc_id,
+INGESTED_CHUNKS = sql("""SELECT id || '_chunk_' || CAST(p // 800 AS VARCHAR) AS chunk_id, id AS doc_id,
     p // 800 AS chunk_index, filename AS source_file, substr(text, CAST(p + 1 AS BIGINT), 1000) AS content,
     CASE lang WHEN 'fr' THEN 'fr|' || source ELSE 'other' END AS collections_csv FROM (
     SELECT *, unnest(range(0, greatest(length(text) - 201, 0) + 1, 800)) AS p FROM placed WHERE r = 1 AND length(text) > 0)""",
-    uploads=_UPLOADS, placed=_PLACED))
+    uploads=_UPLOADS, placed=_PLACED)
+
+
+def chunk_columns(chunks):
+    return chunks.select("chunk_id", "doc_id", "chunk_index", "source_file", "content",
+                         F.col("extra")["collections_csv"].alias("collections_csv"))
+
+
+@check("s10_p4_ingest_chunks", INGESTED_CHUNKS)
 def _(t):
-    return _ingested(t)["chunks"].select(
-        "chunk_id", "doc_id", "chunk_index", "source_file", "content",
-        F.col("extra")["collections_csv"].alias("collections_csv"))
+    return chunk_columns(_ingested(t)["chunks"])
 
 
 @check("s10_ingest_rejects", sql("""SELECT id AS doc_id, filename, source AS user_id, code AS error_code,

@@ -9,6 +9,7 @@ from corpusq.functions import chunking, text, validate
 from corpusq.functions.embed import embed_column
 from corpusq.functions.taxonomy import DOMAINS, PRIMARIES, ALL_WORDS, domain_words, primary_words, taxonomy_text
 from corpusq.operators import classify, context
+from corpusq.plans.ingest import build_vectors
 
 _STRIP = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -312,6 +313,15 @@ def _(t):
         "doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 6).cast("string")), ",").alias("embedding"))
 
 
+@check("e1_build_vectors", sql("""SELECT chunk_id, doc_id, 256 AS dims,
+    CAST(CASE WHEN len(list_filter(string_split_regex(lower(content), '\\s+'), lambda x: x <> '')) = 0 THEN 0.0 ELSE 1.0 END AS DOUBLE) AS norm
+    FROM chunks""", "chunks"))
+def _(t):
+    """Length and norm of every chunk's vector."""
+    return build_vectors(t.chunks).select("chunk_id", "doc_id", F.size("embedding").alias("dims"),
+                                          F.round("norm", 4).alias("norm"))
+
+
 # --- classification ----------------------------------------------------------------------
 
 def _labels_sql() -> str:

@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
-from corpusq.operators.skew import HOT_ROWS, lookup_join
+from corpusq.operators.skew import HOT_ROWS, SMALL_INPUT, input_bytes, lookup_join
+from corpusq.session import settle
+
+BROADCAST_KEYS = 500_000   # (owner, hash) pairs that may be sent to every task
+
+
+def _relevant(registry: DataFrame, incoming: DataFrame, keys: list[str],
+              small_input: int = SMALL_INPUT) -> DataFrame:
+    """Registry rows worth grouping. Against a large registry a small batch is sent to the
+    scan, so that only rows sharing a key with it are shuffled."""
+    known = registry.where(F.col("file_hash").isNotNull())
+    if input_bytes(registry) < small_input:
+        return known
+    wanted, few = settle(incoming.select(*keys).distinct(), BROADCAST_KEYS)
+    return known.join(F.broadcast(wanted), keys, "left_semi") if few else known
 
 
 def dedup_decisions(incoming: DataFrame, registry: DataFrame, isolated: bool = True,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int = HOT_ROWS, small_input: int = SMALL_INPUT) -> DataFrame:
     """Incoming (doc_id, filename, user_id, file_hash, uploaded_at) + error_code 409 and
     existing_filename for copies.
 
@@ -22,7 +36,7 @@ def dedup_decisions(incoming: DataFrame, registry: DataFrame, isolated: bool = T
     keys = ["user_id", "file_hash"] if isolated else ["file_hash"]
     narrow = incoming.select("doc_id", "filename", "user_id", "file_hash", "uploaded_at")
     holder = ["uploaded_at", "doc_id", "filename"]
-    known = registry.where(F.col("file_hash").isNotNull())
+    known = _relevant(registry, narrow, keys, small_input)
     holders = (
         known.select(*keys, F.lit(0).alias("batch"), *holder)
         .unionByName(narrow.select(*keys, F.lit(1).alias("batch"), *holder))
@@ -51,7 +65,7 @@ def duplicate_probe(requests: DataFrame, registry: DataFrame, isolated: bool = T
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Requests whose content is already registered, with the name it is stored under."""
     keys = ["user_id", "file_hash"] if isolated else ["file_hash"]
-    holders = (registry.where(F.col("file_hash").isNotNull()).groupBy(*keys)
+    holders = (_relevant(registry, requests, keys).groupBy(*keys)
                .agg(F.min(F.struct("uploaded_at", "doc_id", "filename")).alias("_h"))
                .select(*keys, F.col("_h.filename").alias("existing_filename")))
     return lookup_join(requests, holders, keys, spread="doc_id", how="inner",

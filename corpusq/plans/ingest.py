@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusq.config import EngineConfig
 from corpusq.functions import chunking, validate
+from corpusq.functions.embed import embed_column
 from corpusq.functions.taxonomy import suggest_labels, taxonomy_tokens
 from corpusq.functions.text import (chunk_id, collections_csv, content_hash, derived_doc_id,
                                     file_suffix, parse_collections, resolve_collections,
@@ -112,3 +113,12 @@ def uploads_from_files(files: DataFrame, user_id: str | None = None) -> DataFram
         content_hash(F.col("content")).alias("content_hash"), "n_bytes",
         raw.alias("collections_raw"), auto.alias("auto_suggest"),
         F.col("modified_at").alias("uploaded_at"))
+
+
+def build_vectors(chunks: DataFrame, dims: int = 256, model=None) -> DataFrame:
+    """(chunk_id, doc_id, embedding, norm) of chunks; see embed_column for `model`."""
+    embedded = embed_column(chunks.select("chunk_id", "doc_id", "content"), "content",
+                            dims=dims, model=model)
+    square = F.aggregate("embedding", F.lit(0.0),
+                         lambda s, x: s + x.cast("double") * x.cast("double"))
+    return embedded.select("chunk_id", "doc_id", "embedding", F.sqrt(square).alias("norm"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusq import fixed_values as fv
@@ -31,31 +32,42 @@ def _registry_before(spark: SparkSession, root: str, epoch: int) -> DataFrame:
             .where(F.col("batch") < epoch).drop("batch"))
 
 
+def ingest_batches(stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], root: str,
+                   checkpoint: str, config: EngineConfig = EngineConfig(),
+                   splitter: str = "recursive", available_now: bool = False) -> StreamingQuery:
+    """Ingest each micro-batch of a stream; `prepare` turns it into uploads.
+
+    A batch overwrites its own `batch=` folders, so one that runs again after a failure
+    leaves the same files. The registry is written last: it is what the next batch reads.
+    """
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        known = _registry_before(batch.sparkSession, root, epoch)
+        out = ingest(prepare(batch), known, config, splitter, materialise=True)
+        for table in ("document_collections", "chunks", "rejects", "registry"):
+            out[table].write.mode("overwrite").parquet(f"{root}/{table}/batch={epoch}")
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def ingest_stream(spark: SparkSession, landing: str, root: str, checkpoint: str,
                   config: EngineConfig = EngineConfig(), user_id: str = fv.DEFAULT_USER,
                   files_per_trigger: int = 1000, parsers: dict | None = None,
-                  available_now: bool = False):
-    """Ingest files as they land. Each micro-batch overwrites its own `batch=` folders, so
-    a batch that runs again after a failure leaves the same files."""
+                  available_now: bool = False) -> StreamingQuery:
+    """Ingest the files of a landing folder as they arrive."""
     files = (spark.readStream.format("binaryFile").schema(BINARY_FILES)
              .option("recursiveFileLookup", True)
              .option("maxFilesPerTrigger", files_per_trigger).load(landing))
 
-    def write_batch(batch: DataFrame, epoch: int) -> None:
+    def prepare(batch: DataFrame) -> DataFrame:
         name = F.regexp_extract("path", r"([^/]+)$", 1)
         named = batch.select(
-            "path", F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"),
-            "content", name.alias("filename"), file_suffix(name).alias("file_type"))
-        uploads = uploads_from_files(extract_text(named, parsers), user_id)
-        out = ingest(uploads, _registry_before(batch.sparkSession, root, epoch), config,
-                     materialise=True)
-        for table in ("document_collections", "chunks", "rejects", "registry"):
-            # the registry comes last: it is what the next batch reads
-            out[table].write.mode("overwrite").parquet(f"{root}/{table}/batch={epoch}")
+            "path", F.col("length").alias("n_bytes"),
+            F.col("modificationTime").alias("modified_at"), "content",
+            name.alias("filename"), file_suffix(name).alias("file_type"))
+        return uploads_from_files(extract_text(named, parsers), user_id)
 
-    writer = (files.writeStream.foreachBatch(write_batch)
-              .option("checkpointLocation", checkpoint))
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return ingest_batches(files, prepare, root, checkpoint, config, available_now=available_now)
 
 
 def dedup_stream(uploads: DataFrame, horizon: str, isolated: bool = True) -> DataFrame:

@@ -52,8 +52,8 @@ def plain_decisions(incoming, stored, isolated):
 
 
 @pytest.mark.parametrize("isolated", [True, False])
-@pytest.mark.parametrize("hot_rows", [20, 10**6])
-def test_dedup(spark, isolated, hot_rows):
+@pytest.mark.parametrize("hot_rows, small_input", [(20, 10**9), (10**6, 10**9), (10**6, 0)])
+def test_dedup(spark, isolated, hot_rows, small_input):
     rng = random.Random(2)
     ddl = "doc_id string, filename string, user_id string, file_hash string, at int"
     make = lambda p, n: [(f"{p}{i}", f"{p}{i}.txt", f"u{rng.randrange(3)}",
@@ -61,5 +61,5 @@ def test_dedup(spark, isolated, hot_rows):
     incoming, stored = make("n", 400), make("o", 60) + [("x", "x.txt", "u0", None, 0)]
     to_df = lambda data: spark.createDataFrame(data, ddl).withColumn("uploaded_at", F.timestamp_seconds("at")).drop("at")
     got = {r.doc_id: (r.error_code, r.existing_filename) for r in dedup.dedup_decisions(
-        to_df(incoming), to_df(stored), isolated, hot_rows).collect()}
+        to_df(incoming), to_df(stored), isolated, hot_rows, small_input).collect()}
     assert got == plain_decisions(incoming, stored, isolated)
