@@ -7,7 +7,7 @@ from corpusq.checks.base import check, quote
 from corpusq.checks.derived import sql
 from corpusq.checks.textual import TRUNCATE, TRUNCATE_FROM
 from corpusq.config import EngineConfig
-from corpusq.operators import context, fusion, lexical, vector
+from corpusq.operators import cells, context, fusion, lexical, vector
 from corpusq.operators.chat import session_history
 from corpusq.operators.scope import resolve_scope
 from corpusq.plans.retrieve import Store, retrieve, retrieve_context
@@ -54,6 +54,13 @@ def _(t):
     return vector.vector_topk(t.vector_queries, t.vectors, search="ann").select(*_HITS)
 
 
+@check("r8_cell_topk")
+def _(t):
+    """Approximate neighbours of every vector from an index by cells."""
+    model = cells.train_cells(t.vectors, 16)
+    return cells.cell_topk(t.vector_queries, cells.cell_index(t.vectors, model), model, 6).select(*_HITS)
+
+
 _ALLOWED = """(EXISTS (SELECT 1 FROM registry r WHERE r.doc_id = p.doc_id AND r.user_id = q.user_id)
     AND (q.collection IS NULL OR EXISTS (SELECT 1 FROM collections c WHERE c.doc_id = p.doc_id AND c.collection = q.collection)))"""
 _PRE = _ranked(f"""SELECT query_id, chunk_id, top_k, round(list_cosine_similarity(v, e), 6) AS score

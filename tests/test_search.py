@@ -110,6 +110,33 @@ def test_ann_recall(spark):
     assert same == 0
 
 
+@pytest.mark.parametrize("limits", PATHS)
+def test_cells(spark, tmp_path, limits):
+    from corpusq.checks.derived import Tables
+    from corpusq.operators import cells
+    t = Tables(spark, "/root/testdata/sf0.001")
+    q = t.vector_queries.withColumn("top_k", F.lit(4))
+    if limits:
+        q = q.where("label = 1")
+    exact = vector.vector_topk(q, t.vectors)
+    model = cells.train_cells(t.vectors, 12)
+    cells.save_cells(cells.cell_index(t.vectors, model), str(tmp_path / "ix"))
+    index = spark.read.parquet(str(tmp_path / "ix"))
+    assert index.count() == t.vectors.count()
+    everything = cells.cell_topk(q, index, model, 12, **({**limits, "tile_items": 300, "tile_queries": 200} if limits else {}))
+    assert ranked(everything) == ranked(exact)
+    # these vectors have no clusters; probing must still beat the share of cells it reads
+    found = [vector.recall(cells.cell_topk(q, index, model, n), exact).agg(F.avg("recall")).first()[0]
+             for n in (2, 5, 8)]
+    assert found == sorted(found) and all(r > 1.5 * n / 12 for r, n in zip(found[:2], (2, 5))) and found[2] > 0.9
+    one = plan_text(cells.cell_topk(q.where("query_id = '7'"), index, model, 1))
+    assert "PartitionFilters: [" in one and "cell#" in one.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def plan_text(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 WORDS = ["the"] * 12 + ["alpha", "beta", "gamma", "delta", "Beta", "x.", "zz"]
 
 
