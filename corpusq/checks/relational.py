@@ -2,11 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from corpusq.checks.base import check, quote, sql_list
+from corpusq.checks.base import check, sql_list
 from corpusq.checks.derived import sql
 from corpusq.config import EngineConfig
 from corpusq.functions.taxonomy import PRIMARIES
-from corpusq.functions.text import iso_timestamp
 from corpusq.operators import dedup, mutations, registry as reg
 from corpusq.operators.scope import resolve_scope, scope_sizes
 from corpusq.plans.ingest import ingest

@@ -7,7 +7,7 @@ from corpusq.checks.base import check, quote
 from corpusq.checks.derived import sql
 from corpusq.checks.textual import TRUNCATE, TRUNCATE_FROM
 from corpusq.config import EngineConfig
-from corpusq.operators import cells, context, fusion, lexical, vector
+from corpusq.operators import cells, context, lexical, vector
 from corpusq.operators.chat import session_history
 from corpusq.operators.scope import resolve_scope
 from corpusq.plans.retrieve import Store, retrieve, retrieve_context
