@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches handed to Python are bounded by rows and by bytes: texts may be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # A union that claims the partitioning of its inputs does not survive a checkpoint
     # under AQE in 4.1 (partitions are zipped wrongly), so it is told not to.
     "spark.sql.unionOutputPartitioning": "false",
