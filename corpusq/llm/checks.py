@@ -8,6 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusq.llm.bpe import bpe_round_trip
+from corpusq.llm.language import identify_language
+from corpusq.llm.minhash import near_duplicates
+from corpusq.llm.packing import pack
+from corpusq.llm.hamming import hamming_topk
+from corpusq.llm.pii import find_private
+from corpusq.llm.rabitq import ann_search
+from corpusq.llm.secrets import scan_secrets
 from corpusq.llm.token_fst import count_tokens
 from corpusq.session import apply_runtime_conf
 
@@ -40,3 +47,69 @@ def op7_token_count(spark, folder):
     """Tokens of every document under the byte-level vocabulary."""
     return count_tokens(table(spark, folder, "documents"),
                         public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_minhash_dedup(spark, folder):
+    """Near-duplicate components of all documents."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op6_packing(spark, folder):
+    """Batches of all documents under a token budget."""
+    return pack(table(spark, folder, "documents"))
+
+
+@query
+def op10_language_id(spark, folder):
+    """Language of every document."""
+    return identify_language(table(spark, folder, "documents"))
+
+
+@query
+def op5_secret_scan(spark, folder):
+    """Secrets in every document."""
+    return scan_secrets(table(spark, folder, "documents"))
+
+
+@query
+def op8_pii_disclosure(spark, folder):
+    """Personal data in every document, and the terms that give it away."""
+    return find_private(table(spark, folder, "documents"))
+
+
+@query
+def op3_ann_search(spark, folder):
+    """Five nearest vectors of every fiftieth, by rotated one-bit codes."""
+    rows = table(spark, folder, "embeddings")
+    return ann_search(rows, rows.where("vec_id % 50 = 0"))
+
+
+@query
+def op4_hamming_topk(spark, folder):
+    """Ten nearest sign codes of every twentieth vector, exactly."""
+    rows = table(spark, folder, "embeddings")
+    return hamming_topk(rows, rows.where("vec_id % 20 = 0"))
+
+
+ORACLES["op4_hamming_topk"] = """
+WITH coded AS (
+  SELECT DISTINCT vec_id, list_sum(list_transform(range(1, 33), lambda i:
+           CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (32 - i) ELSE 0 END))::BIGINT AS hi,
+         list_sum(list_transform(range(33, 65), lambda i:
+           CASE WHEN embedding[i] > 0 THEN 1::BIGINT << (64 - i) ELSE 0 END))::BIGINT AS lo
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) >= 64
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         min(bit_count(xor(q.hi, c.hi)) + bit_count(xor(q.lo, c.lo)))::BIGINT AS distance
+  FROM coded q JOIN coded c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 20 = 0
+  GROUP BY ALL)
+SELECT query_id, row_number() OVER w AS rank, vec_id, distance FROM near
+WINDOW w AS (PARTITION BY query_id ORDER BY distance, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
