@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusq.llm.bpe import bpe_round_trip
 from corpusq.llm.language import identify_language
+from corpusq.llm.licenses import scan_licenses
 from corpusq.llm.minhash import near_duplicates
 from corpusq.llm.packing import pack
 from corpusq.llm.hamming import hamming_topk
@@ -113,3 +114,9 @@ SELECT query_id, row_number() OVER w AS rank, vec_id, distance FROM near
 WINDOW w AS (PARTITION BY query_id ORDER BY distance, vec_id)
 QUALIFY row_number() OVER w <= 10
 """
+
+
+@query
+def op9_license_scan(spark, folder):
+    """Licence families of every document."""
+    return scan_licenses(table(spark, folder, "documents"))
