@@ -1,6 +1,6 @@
 """Chat sessions, replay, and the streaming forms."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,6 +8,7 @@ from corpusq.checks.base import check
 from corpusq.checks.derived import sql
 from corpusq.checks.relational import INGESTED_CHUNKS, chunk_columns, uploads_of
 from corpusq.operators import chat
+from corpusq.session import shared_folder
 from corpusq.streaming.streams import chat_memory_stream, dedup_stream, ingest_batches
 
 _NOW = 7200
@@ -130,12 +131,8 @@ def _(t):
 # --- streams ---------------------------------------------------------------------------------
 
 def _work_folder(spark) -> str:
-    """A fresh folder below the shared one of the cluster; a local one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared}/corpusq-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-")
+    """A fresh folder below the shared one."""
+    return f"{shared_folder(spark)}/corpusq-{uuid.uuid4().hex}"
 
 
 @check("x3_chat_memory_stream", sql(_FINAL, "log", islands=_ISLANDS))
