@@ -21,9 +21,9 @@ from corpusq.llm.arrow_text import by_slice
 
 # Bounds of the labelled sample the dictionaries are made of, for each language: documents
 # (chosen by a hash of their id), and characters of each.
-SAMPLE_DOCS = 96
+SAMPLE_DOCS = 256
 SAMPLE_CHARS = 1200
-LEVEL = 3
+LEVEL = 6
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
 
