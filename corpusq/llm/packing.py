@@ -90,7 +90,7 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
                            (deal % shards).alias("shard"))
     inside = Window.partitionBy("bucket", "shard").orderBy(
         F.col("doc_id").asc_nulls_first(), "n_tokens")
-    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket")))
+    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1))))
     full = placed.where("bucket > 0").withColumn("i", F.row_number().over(inside) - 1).select(
         "doc_id", "n_tokens", "bucket",
         F.concat_ws("-", "bucket", "shard", F.floor(F.col("i") / room).cast("string")
