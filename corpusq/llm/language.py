@@ -53,10 +53,15 @@ def learn_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
                           & F.col(id_col).isNotNull())
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = (labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
-                              F.xxhash64(F.col(id_col)).alias("h"))
-              .withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= sample_docs))
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 32)), "id")
+    named = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
+                            F.xxhash64(F.col(id_col)).alias("h"))
+    # hashes are even: twice the wanted share of them holds enough rows, and few
+    size = named.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    few = named.join(size, "lang").where(
+        F.pmod("h", F.lit(1 << 32)) * F.col("c") <= (1 << 33) * (sample_docs + 20))
+    chosen = few.withColumn("n", F.row_number().over(by_hash)).where(
+        F.col("n") <= sample_docs)
     ids = [r["id"] for r in chosen.select("id").collect()]
     if not ids:
         return {}
