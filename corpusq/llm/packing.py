@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from corpusq.session import cut_lineage
+
 BUCKETS = 8
 BUDGET = 8192
 SHARD_ROWS = 1000
@@ -22,8 +24,8 @@ FINE = 128          # bins per doubling of the length
 
 def word_count(text: Column) -> Column:
     """Words between white space; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")),
-                      F.lit(0)).cast("bigint")
+    plain = F.translate(text, "\t\n\x0b\x0c\r", " " * 5)
+    return F.coalesce(F.size(F.array_remove(F.split(plain, " "), "")), F.lit(0)).cast("bigint")
 
 
 def bin_top(length: Column, fine: int = FINE) -> Column:
@@ -71,8 +73,8 @@ def pack(docs: DataFrame, length: Column | None = None, id_col: str = "doc_id",
     their shard; repeated ids and rows stay separate entries. An empty table gives no rows.
     """
     size = word_count(F.col("text")) if length is None else length
-    sized = docs.select(F.col(id_col).alias("doc_id"),
-                        F.coalesce(size, F.lit(0)).cast("bigint").alias("n_tokens"))
+    sized = cut_lineage(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(
+        size, F.lit(0)).cast("bigint").alias("n_tokens")))   # texts are read once
     binned = sized.withColumn("top", bin_top(F.col("n_tokens")))
     bins = (binned.where("n_tokens > 0").groupBy("top").agg(F.count(F.lit(1)).alias("c"))
             .orderBy("top").toPandas())
