@@ -52,7 +52,7 @@ def _(t):
 
 
 @check("h1_session_history", sql("""SELECT s.session_id, s.user_id, coalesce(string_agg(role || ': ' || content, '|' ORDER BY second, id)
-    FILTER (WHERE n <= 20 AND last_second >= 3600), '') AS history FROM chat_sessions s LEFT JOIN numbered m USING (session_id)
+    FILTER (WHERE last_second >= 3600), '') AS history FROM chat_sessions s LEFT JOIN numbered m USING (session_id)
     GROUP BY 1, 2""", "chat_messages", "chat_sessions", numbered=_NUMBERED))
 def _(t):
     h = chat.session_history(t.chat_sessions, t.chat_messages, _now(t))
@@ -60,6 +60,16 @@ def _(t):
         "history", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "|"))
 
 
+@check("q11_refresh_access", sql("""SELECT session_id, greatest(last_second, coalesce(second, 0)) AS last_second
+    FROM chat_sessions LEFT JOIN (SELECT session_id, max(second) AS second FROM chat_messages GROUP BY 1)
+    USING (session_id)""", "chat_messages", "chat_sessions"))
+def _(t):
+    """Every message as a read of its session."""
+    asked = t.chat_messages.select("session_id", F.col("created_at").alias("at"))
+    return chat.refresh_access(t.chat_sessions, asked).select(
+        "session_id", _second(t, F.col("last_access")).alias("last_second"))
+
+
 _EXCHANGES = """SELECT item_id + 100000000000 AS x, CAST(item_id * 3 AS VARCHAR) AS session_id, text AS question,
     reverse(text) AS answer, 86400 + item_id AS second FROM benchmark"""
 _ADDED = """SELECT id, session_id, role, content, second FROM chat_messages UNION ALL

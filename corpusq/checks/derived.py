@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 from corpusq.functions.text import capitalize_name, content_hash, file_suffix
 from corpusq.functions.validate import map_role
-from corpusq.sources.tables import spread_small
 
 DAY0 = "2024-01-01 00:00:00"
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table given as fewer files than there are cores would be few tasks' work: one small
+    file is often one row group. Tables of many files are read as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 class Tables:
     """Given parquet tables of one folder, and what is derived from them."""
 
@@ -23,7 +29,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._read:
             df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            self._read[name] = spread_small(df) if name in ("documents", "pages") else df
+            self._read[name] = _dealt(df) if name in ("documents", "pages") else df
         return self._read[name]
 
     @property

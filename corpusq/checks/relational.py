@@ -150,10 +150,8 @@ def _(t):
 
 # --- scopes ---------------------------------------------------------------------------
 
-_SCOPE_PARTS = """SELECT *, 'u:' || coalesce({owner}, '') || '|c:' || coalesce(collection, '') || '|d:' ||
-    coalesce(array_to_string(list_sort(list_distinct(doc_ids)), ','), '') AS parts,
-    substr(sha256('u:' || coalesce({owner}, '') || '|c:' || coalesce(collection, '') || '|d:' ||
-    coalesce(array_to_string(list_sort(list_distinct(doc_ids)), ','), '')), 1, 32) AS sid FROM scoped_queries"""
+_SCOPE_PARTS = """SELECT *, substr(sha256(CAST(to_json({{'_owner': CAST({owner} AS VARCHAR), '_collection': collection,
+    '_ids': list_sort(list_distinct(doc_ids))}}) AS VARCHAR)), 1, 32) AS sid FROM scoped_queries"""
 _SCOPED = """SELECT DISTINCT q.sid AS scope_id, r.doc_id FROM named q JOIN registry r ON r.user_id = q.user_id
     WHERE (q.collection IS NULL OR EXISTS (SELECT 1 FROM collections c WHERE c.doc_id = r.doc_id
     AND c.collection = q.collection)) AND (q.doc_ids IS NULL OR list_contains(q.doc_ids, r.doc_id))"""
@@ -253,8 +251,8 @@ def uploads_of(documents, day0):
         F.timestamp_seconds(F.unix_seconds(day0) + F.col("doc_id")).alias("uploaded_at"))
 
 
-_UPLOADS = """SELECT doc_id, source, lang, text, substr(sha256(source || '|' || CAST(doc_id AS VARCHAR) || '|' ||
-    sha256(text)), 1, 12) AS id, source || '_' || CAST(doc_id AS VARCHAR) || CASE lang WHEN 'de' THEN '.exe' ELSE '.txt' END
+_UPLOADS = """SELECT doc_id, source, lang, text, substr(sha256(length(source) || ':' || source || '|' ||
+    length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR) || '|64:' || sha256(text)), 1, 32) AS id, source || '_' || CAST(doc_id AS VARCHAR) || CASE lang WHEN 'de' THEN '.exe' ELSE '.txt' END
     AS filename, CASE WHEN lang = 'de' THEN 400 WHEN n_chars * 1000 > 52428800 THEN 413 ELSE 0 END AS code FROM documents"""
 _PLACED = """SELECT *, row_number() OVER w AS r, first_value(filename) OVER w AS head FROM uploads WHERE code = 0
     WINDOW w AS (PARTITION BY source, sha256(text) ORDER BY doc_id)"""

@@ -1,5 +1,7 @@
 """Search, fusion, re-ranking, context."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
@@ -7,10 +9,12 @@ from corpusq.checks.base import check, quote
 from corpusq.checks.derived import sql
 from corpusq.checks.textual import TRUNCATE, TRUNCATE_FROM
 from corpusq.config import EngineConfig
+from corpusq.functions.validate import accepted, check_queries
 from corpusq.operators import cells, context, lexical, vector
 from corpusq.operators.chat import session_history
 from corpusq.operators.scope import resolve_scope
 from corpusq.plans.retrieve import Store, retrieve, retrieve_context
+from corpusq.session import keep
 
 _HITS = ["query_id", "chunk_id", "score", "rank"]
 
@@ -48,28 +52,59 @@ def _(t):
     return vector.nearest(t.vectors, [1.0] * 64, 10)
 
 
-@check("r8_ann_topk")
-def _(t):
-    """Approximate neighbours of every vector."""
-    return vector.vector_topk(t.vector_queries, t.vectors, search="ann").select(*_HITS)
+def _cells(t, n=16, probes=8):
+    model = cells.train_cells(t.vectors, n)
+    return cells.CellIndex(cells.cell_index(t.vectors, model), model, probes)
 
 
-@check("r8_cell_topk")
+@check("r8_cell_topk", sql("""SELECT (SELECT count(*) FROM embeddings) AS queries, 0 AS wrong_scores, true AS recall_is_half,
+    true AS reads_less"""))
+def _(t):
+    """Approximate neighbours of every vector from an index by cells: all scores are the exact
+    cosine, recall is at least a half with half of the cells probed (these vectors have no
+    clusters), and fewer pairs than all are scored."""
+    index = _cells(t)
+    found = keep(cells.cell_topk(t.vector_queries, index))
+    exact = vector.vector_topk(t.vector_queries, t.vectors)
+    recall = vector.recall(found, exact).agg(F.avg("recall")).select(F.col("avg(recall)").alias("r"))
+    pair = found.join(t.vectors.select("chunk_id", F.col("embedding").alias("e")), "chunk_id").join(
+        t.vector_queries.select("query_id", F.col("vector").alias("v")), "query_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y),
+                                   F.lit(0.0), lambda s, x: s + x)
+    true = dot(F.col("v"), F.col("e")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("e"), F.col("e")))
+    wrong = pair.agg(F.count_if(F.abs(true - F.col("score")) > 1e-6).alias("wrong_scores"))
+    probed = cells.probed_cells(t.vector_queries, index).groupBy("scope_id").agg(F.count(F.lit(1)).alias("q"))
+    held = index.rows.groupBy(F.col("cell").cast("string").alias("scope_id")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = probed.join(held, "scope_id").agg(F.sum(F.col("q") * F.col("n")).alias("pairs"))
+    size = t.vectors.agg(F.count(F.lit(1)).alias("queries"))
+    return size.crossJoin(wrong).crossJoin(recall).crossJoin(pairs).select(
+        "queries", "wrong_scores", (F.col("r") >= 0.5).alias("recall_is_half"),
+        (F.col("pairs") < 0.8 * F.col("queries") * F.col("queries")).alias("reads_less"))
+
+
+@check("r8_e4_ann_retrieve", sql("""SELECT count(*) AS queries, 0 AS outside FROM valid_passage_queries""", "docs", "vectors",
+    "passages", "passage_queries", "valid_passage_queries"))
 def _(t):
-    """Approximate neighbours of every vector from an index by cells."""
-    model = cells.train_cells(t.vectors, 16)
-    return cells.cell_topk(t.vector_queries, cells.cell_index(t.vectors, model), model, 6).select(*_HITS)
+    """Retrieval through the cells of the store: no hit lies outside its question's scope."""
+    config = EngineConfig(search="ann")
+    store = replace(_store(t), cells=_cells(t))
+    hits = retrieve(t.passage_queries, store, config)
+    q = accepted(check_queries(t.passage_queries))
+    s = resolve_scope(q, t.registry, t.collections)
+    placed = hits.join(s.queries.select("query_id", "scope_id"), "query_id")
+    outside = placed.join(s.docs, ["scope_id", "doc_id"], "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+    return q.agg(F.count(F.lit(1)).alias("queries")).crossJoin(outside)
 
 
 _ALLOWED = """(EXISTS (SELECT 1 FROM registry r WHERE r.doc_id = p.doc_id AND r.user_id = q.user_id)
     AND (q.collection IS NULL OR EXISTS (SELECT 1 FROM collections c WHERE c.doc_id = p.doc_id AND c.collection = q.collection)))"""
+_LISTED = f"({_ALLOWED} AND (q.doc_ids IS NULL OR list_contains(q.doc_ids, p.doc_id)))"
 _PRE = _ranked(f"""SELECT query_id, chunk_id, top_k, round(list_cosine_similarity(v, e), 6) AS score
     FROM valid_passage_queries q, passages p WHERE {_ALLOWED}""")
 _PASSAGE_CTES = ("docs", "registry", "collections", "vectors", "passages", "passage_queries", "valid_passage_queries")
 
 
 def _scoped(t, mode):
-    from corpusq.functions.validate import accepted, check_queries
     q = accepted(check_queries(t.passage_queries))
     s = resolve_scope(q, t.registry, t.collections)
     return vector.vector_topk(s.queries, t.passage_vectors, scopes=s, mode=mode).select(*_HITS)
@@ -116,23 +151,20 @@ def _bm25(queries: str, chunks: str, allowed: str | None, factor: int = 1) -> di
         lex=_ranked("SELECT * FROM lex_scored", f"{factor} * top_k"))
 
 
-_BENCH_Q = "SELECT query_id, question, top_k, user_id, collection FROM scoped_queries WHERE length(question) BETWEEN 1 AND 2000"
+_BENCH_Q = "SELECT query_id, question, top_k, user_id, collection, doc_ids FROM scoped_queries WHERE length(question) BETWEEN 1 AND 2000"
 
 
 @check("r3_j6_bm25_topk", sql("SELECT * FROM lex", "chunks", "scoped_queries",
                               bq=_BENCH_Q, **_bm25("bq", "chunks", None)))
 def _(t):
-    from corpusq.functions.validate import accepted, check_queries
     q = accepted(check_queries(t.scoped_queries))
     return lexical.bm25_topk(q, t.chunks).select(*_HITS)
 
 
 @check("r3_a8_bm25_topk_scoped", sql("SELECT * FROM lex", "chunks", "registry", "collections", "scoped_queries",
-                                     bq=_BENCH_Q, **_bm25("bq", "chunks", _ALLOWED)))
+                                     bq=_BENCH_Q, **_bm25("bq", "chunks", _LISTED)))
 def _(t):
-    from corpusq.functions.validate import accepted, check_queries
-    q = accepted(check_queries(t.scoped_queries)).drop("doc_ids").withColumn(
-        "doc_ids", F.lit(None).cast("array<string>"))
+    q = accepted(check_queries(t.scoped_queries))
     s = resolve_scope(q, t.registry, t.collections)
     return lexical.bm25_topk(s.queries, t.chunks, s).select(*_HITS)
 
@@ -146,7 +178,7 @@ def _(t):
 @check("a8_postings", sql("SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM tok) GROUP BY 1, 2",
                           "chunks", tok=_TOKENS.format(chunks="chunks")))
 def _(t):
-    return lexical.postings(t.chunks)
+    return lexical.postings(t.chunks).select("term", "chunk_id", "tf")
 
 
 @check("a8_corpus_size", sql("SELECT count(*) AS n_chunks, round(avg(len(w)), 6) AS mean_length FROM tok",
@@ -191,11 +223,11 @@ def _(t):
 @check("r3_bm25_topk_stored_statistics", sql("SELECT * FROM lex", "chunks", "scoped_queries",
                                              bq=_BENCH_Q, **_bm25("bq", "chunks", None)))
 def _(t):
-    """The statistics come from index tables instead of a pass over the texts."""
-    from corpusq.functions.validate import accepted, check_queries
+    """Postings and statistics are index tables; no text is read."""
     q = accepted(check_queries(t.scoped_queries))
     stats = lexical.stored_statistics(lexical.term_frequencies(t.chunks), lexical.corpus_size(t.chunks))
-    return lexical.bm25_topk(q, t.chunks, statistics=stats).select(*_HITS)
+    index = lexical.LexicalIndex(keep(lexical.postings(t.chunks)), lexical.chunk_lengths(t.chunks))
+    return lexical.bm25_topk(q, index, statistics=stats).select(*_HITS)
 
 
 @check("r4_hybrid_topk", sql("SELECT * FROM fused", *_PASSAGE_CTES, **_fused(1)))
@@ -250,7 +282,7 @@ _CONTEXT_SQL = dict(
 
 
 def _context_rows(df):
-    return df.select(
+    return df.where(F.col("error_code").isNull()).select(
         "query_id",
         F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("prompt"),
         F.array_join(F.transform("sources", lambda s: F.concat(s["source_file"], F.lit(":"), s["content"])), "|").alias("sources"))
@@ -268,8 +300,7 @@ def _(t):
     f"""SELECT query_id, 'system: ' || {quote(_head)} || coalesce(context, '') || {quote(_tail)} || chr(10) || coalesce(past || chr(10), '')
     || 'human: ' || question AS prompt, coalesce(sources, '') AS sources FROM valid_passage_queries q
     LEFT JOIN cited USING (query_id) LEFT JOIN (SELECT session_id, string_agg(role || ': ' || content, chr(10) ORDER BY second, id) AS past
-    FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY second DESC, id DESC) AS n FROM chat_messages)
-    JOIN chat_sessions USING (session_id) WHERE n <= 20 AND last_second >= 3600 GROUP BY 1) h ON h.session_id = q.query_id""",
+    FROM chat_messages JOIN chat_sessions USING (session_id) WHERE last_second >= 3600 GROUP BY 1) h ON h.session_id = q.query_id""",
     *_PASSAGE_CTES, "chat_messages", "chat_sessions",
     **{**_fused(1), "ranked": "SELECT * FROM fused", **_CONTEXT_SQL}))
 def _(t):
@@ -278,3 +309,12 @@ def _(t):
     past = session_history(t.chat_sessions, t.chat_messages, now).drop("user_id")
     queries = t.passage_queries.withColumn("session_id", F.col("query_id"))
     return _context_rows(retrieve_context(queries, _store(t), EngineConfig(hybrid_enabled=True), past))
+
+
+@check("r7_rejected_queries", sql("""SELECT query_id, CASE WHEN length(question) BETWEEN 1 AND 2000 AND top_k + 8 <= 20
+    THEN NULL ELSE 422 END AS error_code, CASE WHEN length(question) BETWEEN 1 AND 2000 AND top_k + 8 <= 20 THEN 2 ELSE 0
+    END AS messages FROM passage_queries""", "docs", "vectors", "passages", "passage_queries"))
+def _(t):
+    """Every question has a row; those asking for too much are refused, not cut."""
+    asked = t.passage_queries.withColumn("top_k", F.col("top_k") + 8)
+    return retrieve_context(asked, _store(t)).select("query_id", "error_code", F.size("messages").alias("messages"))

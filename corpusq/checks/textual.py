@@ -72,7 +72,8 @@ def _(t):
 
 
 @check("p2_derived_doc_id", """SELECT doc_id AS given,
-    substr(sha256(source || '|' || CAST(doc_id AS VARCHAR) || '|' || lang), 1, 12) AS doc_id FROM documents""")
+    substr(sha256(length(source) || ':' || source || '|' || length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR)
+    || '|' || length(lang) || ':' || lang), 1, 32) AS doc_id FROM documents""")
 def _(t):
     return t.documents.select(F.col("doc_id").alias("given"), text.derived_doc_id(
         F.col("source"), F.col("doc_id").cast("string"), F.col("lang")).alias("doc_id"))

@@ -39,9 +39,9 @@ ROLES = ["human", "ai"]
 # --- Fixed values: column length caps, table -> column -> characters ----------
 COLUMN_CAPS = {
     "users": {"user_id": 50, "display_name": 100},
-    "registry": {"doc_id": 12, "filename": 500, "file_type": 20,
+    "registry": {"doc_id": 32, "filename": 500, "file_type": 20,
                  "user_id": 50, "file_hash": 64},
-    "document_collections": {"doc_id": 12, "collection": 200},
+    "document_collections": {"doc_id": 32, "collection": 200},
     "chat_sessions": {"session_id": 100, "user_id": 50},
     "chat_messages": {"session_id": 100, "role": 10},
 }
@@ -92,45 +92,95 @@ You are a document classifier. Analyze the document excerpt below and classify i
 
 JSON array:"""
 
-# --- Fixed values: taxonomy, one "primary / domain: sub-domains" line each -----
-TAXONOMY_TEXT = """\
-legal-compliance / contracts-agreements: employment-contract, sales-contract, service-agreement, nda, sla, terms-conditions
-legal-compliance / regulation-policy: regulatory-guidance, compliance-policy, standards-norms, government-regulation
-legal-compliance / litigation-disputes: court-decision, claims-pleadings, evidence-exhibits, settlement
-legal-compliance / intellectual-property: patent, trademark, copyright, licensing-agreement
-legal-compliance / legal-opinion: legal-memo, attorney-letter, due-diligence-report
-finance-accounting / banking: bank-statement, payment-confirmation, loan-documents, credit-card-statement
-finance-accounting / tax: tax-return, tax-notice, vat-gst-documents, tax-certificate
-finance-accounting / corporate-finance: financial-statements, audit-report, budget-reports, cash-flow-reports, management-reports
-finance-accounting / investment-markets: investment-research, portfolio-statement, prospectus, trading-statement
-finance-accounting / billing: invoice, receipt, expense-report, purchase-reconciliation
-business-operations / procurement-supply: purchase-order, quotation, delivery-note, vendor-contract
-business-operations / sales-customer: proposal, statement-of-work, customer-onboarding, support-summary
-business-operations / project-process: project-plan, meeting-minutes, process-documentation, kpi-reports
-business-operations / risk-governance: risk-assessment, internal-audit, board-materials, policy-pack
-technical-engineering / software-engineering: api-documentation, architecture-design, runbook, security-report, release-notes
-technical-engineering / it-infrastructure: network-diagram, system-specification, incident-postmortem, sop
-technical-engineering / mechanical-manufacturing: cad-drawing, process-sheet, cam-setup, quality-report, material-specification
-technical-engineering / electrical-electronics: circuit-diagram, test-report, compliance-certificate, component-datasheet
-medical-healthcare / clinical-documents: lab-results, imaging-reports, discharge-summary, prescription
-medical-healthcare / insurance-claims: claim-form, coverage-statement, billing-statement
-medical-healthcare / medical-research: clinical-protocol, investigator-brochure, safety-report
-government-administrative / immigration-residency: visa-documents, residence-permit, work-permit, appointment-notice
-government-administrative / public-services: official-notice, application-form, certificate, registration-document
-government-administrative / tax-social-security: tax-office-letters, social-insurance-records, benefits-notice
-hr-personal / employment: resume-cv, offer-letter, employment-contract, performance-review
-hr-personal / payroll: payslip, bonus-statement, annual-income-statement
-hr-personal / personal-records: identity-documents, utility-bills, insurance-policy, education-certificate
-marketing-media / brand-content: brochure, press-release, product-sheet, pitch-deck
-marketing-media / market-intelligence: market-report, competitor-analysis, customer-survey
-education-research / teaching-materials: lecture-notes, slides, assignments, course-handbook
-education-research / academic-administration: transcript, degree-certificate, enrollment-letter
-research-scientific / fundamental-science: physics, mathematics, chemistry, astronomy, geoscience
-research-scientific / computer-science-ai: machine-learning, nlp, computer-vision, distributed-systems, cybersecurity, software-engineering-research
-research-scientific / engineering-research: materials-science, control-systems, aerospace-engineering, robotics, manufacturing-cam-research
-research-scientific / life-science-biomedical: molecular-biology, neuroscience, genomics, public-health, clinical-trials-research
-research-scientific / environmental-energy: climate-research, renewable-energy, sustainability-studies, environmental-engineering
-research-scientific / social-science-economics: economics-research, finance-research, psychology, policy-research, legal-research
-research-scientific / interdisciplinary-science: complex-systems, computational-social-science, history-of-science, philosophy-of-science
-other / unclassified: low-ocr-quality, mixed-content, unreadable-documents
-"""
+# --- Fixed values: taxonomy, (primary, domain, sub-domains) -----------------------
+TAXONOMY = [
+    ("legal-compliance", "contracts-agreements",
+     ["employment-contract", "sales-contract", "service-agreement", "nda", "sla",
+      "terms-conditions"]),
+    ("legal-compliance", "regulation-policy",
+     ["regulatory-guidance", "compliance-policy", "standards-norms",
+      "government-regulation"]),
+    ("legal-compliance", "litigation-disputes",
+     ["court-decision", "claims-pleadings", "evidence-exhibits", "settlement"]),
+    ("legal-compliance", "intellectual-property",
+     ["patent", "trademark", "copyright", "licensing-agreement"]),
+    ("legal-compliance", "legal-opinion",
+     ["legal-memo", "attorney-letter", "due-diligence-report"]),
+    ("finance-accounting", "banking",
+     ["bank-statement", "payment-confirmation", "loan-documents", "credit-card-statement"]),
+    ("finance-accounting", "tax",
+     ["tax-return", "tax-notice", "vat-gst-documents", "tax-certificate"]),
+    ("finance-accounting", "corporate-finance",
+     ["financial-statements", "audit-report", "budget-reports", "cash-flow-reports",
+      "management-reports"]),
+    ("finance-accounting", "investment-markets",
+     ["investment-research", "portfolio-statement", "prospectus", "trading-statement"]),
+    ("finance-accounting", "billing",
+     ["invoice", "receipt", "expense-report", "purchase-reconciliation"]),
+    ("business-operations", "procurement-supply",
+     ["purchase-order", "quotation", "delivery-note", "vendor-contract"]),
+    ("business-operations", "sales-customer",
+     ["proposal", "statement-of-work", "customer-onboarding", "support-summary"]),
+    ("business-operations", "project-process",
+     ["project-plan", "meeting-minutes", "process-documentation", "kpi-reports"]),
+    ("business-operations", "risk-governance",
+     ["risk-assessment", "internal-audit", "board-materials", "policy-pack"]),
+    ("technical-engineering", "software-engineering",
+     ["api-documentation", "architecture-design", "runbook", "security-report",
+      "release-notes"]),
+    ("technical-engineering", "it-infrastructure",
+     ["network-diagram", "system-specification", "incident-postmortem", "sop"]),
+    ("technical-engineering", "mechanical-manufacturing",
+     ["cad-drawing", "process-sheet", "cam-setup", "quality-report",
+      "material-specification"]),
+    ("technical-engineering", "electrical-electronics",
+     ["circuit-diagram", "test-report", "compliance-certificate", "component-datasheet"]),
+    ("medical-healthcare", "clinical-documents",
+     ["lab-results", "imaging-reports", "discharge-summary", "prescription"]),
+    ("medical-healthcare", "insurance-claims",
+     ["claim-form", "coverage-statement", "billing-statement"]),
+    ("medical-healthcare", "medical-research",
+     ["clinical-protocol", "investigator-brochure", "safety-report"]),
+    ("government-administrative", "immigration-residency",
+     ["visa-documents", "residence-permit", "work-permit", "appointment-notice"]),
+    ("government-administrative", "public-services",
+     ["official-notice", "application-form", "certificate", "registration-document"]),
+    ("government-administrative", "tax-social-security",
+     ["tax-office-letters", "social-insurance-records", "benefits-notice"]),
+    ("hr-personal", "employment",
+     ["resume-cv", "offer-letter", "employment-contract", "performance-review"]),
+    ("hr-personal", "payroll",
+     ["payslip", "bonus-statement", "annual-income-statement"]),
+    ("hr-personal", "personal-records",
+     ["identity-documents", "utility-bills", "insurance-policy", "education-certificate"]),
+    ("marketing-media", "brand-content",
+     ["brochure", "press-release", "product-sheet", "pitch-deck"]),
+    ("marketing-media", "market-intelligence",
+     ["market-report", "competitor-analysis", "customer-survey"]),
+    ("education-research", "teaching-materials",
+     ["lecture-notes", "slides", "assignments", "course-handbook"]),
+    ("education-research", "academic-administration",
+     ["transcript", "degree-certificate", "enrollment-letter"]),
+    ("research-scientific", "fundamental-science",
+     ["physics", "mathematics", "chemistry", "astronomy", "geoscience"]),
+    ("research-scientific", "computer-science-ai",
+     ["machine-learning", "nlp", "computer-vision", "distributed-systems", "cybersecurity",
+      "software-engineering-research"]),
+    ("research-scientific", "engineering-research",
+     ["materials-science", "control-systems", "aerospace-engineering", "robotics",
+      "manufacturing-cam-research"]),
+    ("research-scientific", "life-science-biomedical",
+     ["molecular-biology", "neuroscience", "genomics", "public-health",
+      "clinical-trials-research"]),
+    ("research-scientific", "environmental-energy",
+     ["climate-research", "renewable-energy", "sustainability-studies",
+      "environmental-engineering"]),
+    ("research-scientific", "social-science-economics",
+     ["economics-research", "finance-research", "psychology", "policy-research",
+      "legal-research"]),
+    ("research-scientific", "interdisciplinary-science",
+     ["complex-systems", "computational-social-science", "history-of-science",
+      "philosophy-of-science"]),
+    ("other", "unclassified",
+     ["low-ocr-quality", "mixed-content", "unreadable-documents"]),
+]

@@ -10,16 +10,7 @@ from pyspark.sql import functions as F
 from corpusq import fixed_values as fv
 
 
-def _read_rows() -> list[tuple[str, str, str]]:
-    rows = []
-    for line in fv.TAXONOMY_TEXT.strip().splitlines():
-        place, leaves = line.split(": ", 1)
-        primary, domain = place.split(" / ")
-        rows += [(primary, domain, leaf) for leaf in leaves.split(", ")]
-    return rows
-
-
-ROWS = _read_rows()
+ROWS = [(p, d, leaf) for p, d, leaves in fv.TAXONOMY for leaf in leaves]
 PRIMARIES = list(dict.fromkeys(p for p, _, _ in ROWS))
 DOMAINS = list(dict.fromkeys((p, d) for p, d, _ in ROWS))
 

@@ -24,18 +24,21 @@ def file_suffix(name: Column) -> Column:
 
 
 def stored_doc_id(path: Column) -> Column:
-    """Document id of a stored file named `<12 hex chars>_<file name>`."""
-    return F.regexp_extract(path, r"([0-9a-f]{12})_[^/]*$", 1)
+    """Document id of a stored file named `<32 or 12 hex chars>_<file name>`."""
+    return F.regexp_extract(path, r"(?:^|/)([0-9a-f]{32}|[0-9a-f]{12})_[^/]*$", 1)
 
 
-def random_doc_id(length: int = 12) -> Column:
+def random_doc_id(length: int = 32) -> Column:
     return F.substring(F.regexp_replace(F.expr("uuid()"), "-", ""), 1, length)
 
 
-def derived_doc_id(*parts: Column, length: int = 12) -> Column:
-    """Id that a re-run derives again. 12 hex characters are 48 bits: pass a larger
-    `length` for more than some ten million documents."""
-    return F.substring(F.sha2(F.concat_ws("|", *parts).cast("binary"), 256), 1, length)
+def derived_doc_id(*parts: Column, length: int = 32) -> Column:
+    """Id that a re-run derives again. Parts go in with their lengths, so that no two lists
+    of parts read the same; a null part differs from an empty one. Of `length` hex characters
+    32 make a collision unthinkable; 12 are what imported registries have."""
+    marked = [F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("-"))
+              for p in parts]
+    return F.substring(F.sha2(F.concat_ws("|", *marked).cast("binary"), 256), 1, length)
 
 
 def content_hash(content: Column) -> Column:

@@ -31,8 +31,14 @@ def top_k_or_default(top_k: Column, default: int = fv.DEFAULT_TOP_K) -> Column:
     return F.coalesce(top_k, F.lit(default))
 
 
-def top_k_error(top_k: Column) -> Column:
-    return _code(~top_k_or_default(top_k).between(1, fv.MAX_TOP_K), fv.INVALID)
+def top_k_error(top_k: Column, most: int = fv.MAX_TOP_K,
+                default: int = fv.DEFAULT_TOP_K) -> Column:
+    return _code(~top_k_or_default(top_k, default).between(1, most), fv.INVALID)
+
+
+def user_id_error(user_id: Column) -> Column:
+    return _code(~(user_id.rlike(fv.USER_ID_PATTERN)
+                   & F.length(user_id).between(1, fv.MAX_USER_ID_CHARS)), fv.INVALID)
 
 
 def user_error(user_id: Column, display_name: Column) -> Column:
@@ -66,9 +72,17 @@ def length_error(df: DataFrame, table: str) -> Column:
 
 
 def check_queries(queries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """Queries + effective top_k + error_code (question and top_k limits)."""
+    """Queries + effective top_k + error_code (limits of question, top_k and user id).
+
+    A question without a user id is the default user's; one with an id no user can have is
+    refused.
+    """
+    user = (F.when(F.coalesce(F.col("user_id"), F.lit("")) != "", user_id_error(F.col("user_id")))
+            if "user_id" in queries.columns else F.lit(None).cast("int"))
     return queries.withColumns({
-        "error_code": F.coalesce(question_error(F.col("question")), top_k_error(F.col("top_k"))),
+        "error_code": F.coalesce(
+            question_error(F.col("question")),
+            top_k_error(F.col("top_k"), config.max_top_k, config.default_top_k), user),
         "top_k": top_k_or_default(F.col("top_k"), config.default_top_k),
     })
 

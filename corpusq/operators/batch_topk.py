@@ -1,109 +1,93 @@
-"""Top-k items for a table of queries in one pass over the items.
+"""Top-k items for a table of queries, in successive blocks of queries of bounded size.
 
-Every task scores its own items against a block of queries and keeps k per query, so
-only k rows per query and task are shuffled; scored pairs never leave a task.
+For every block each task scores its own items in place against the block's queries and keeps
+k per query, so only k rows per query and task are shuffled; items and scored pairs never
+leave a task. A block is bounded by its bytes, vectors and hits together, whatever the number
+of queries; only one block's vectors are on the driver at a time.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusq.operators.scoring import OUT_SCHEMA, make_block
-from corpusq.operators.skew import lookup_join
+from corpusq.operators.scoring import make_block
 from corpusq.operators.topk import rank_per_query
 
-BROADCAST_QUERIES = 10_000   # more queries than this are not sent to every task
-TILE_QUERIES = 5_000         # then: queries per tile ...
-TILE_ITEMS = 50_000          # ... and items per tile
-HELD_HITS = 400_000          # hits (queries x k) one task may hold
+BLOCK_BYTES = 64 * 1024 * 1024   # vectors and held hits of one block of queries
+HIT_BYTES = 200                  # one hit held for a query
 OUT_DDL = "query_id string, fetch_k int, chunk_id string, doc_id string, score double"
 
 
-def scoped_items(items: DataFrame, scope_docs: DataFrame | None, on: list[str],
-                 all_scoped: bool, few: bool = False) -> DataFrame:
+def scoped_items(items: DataFrame, scope_docs: DataFrame | None, all_scoped: bool) -> DataFrame:
     """Items + the list of scopes that may see them; unseen items go when no query is
-    unrestricted. The list is no longer than the block of queries. With `few` the scopes
-    go to the items, which are then not shuffled."""
+    unrestricted. Whether the list is broadcast is left to Spark, by its size."""
     if scope_docs is None:
         return items
-    how = "inner" if all_scoped else "left"
-    allowed = scope_docs.groupBy(*on).agg(F.collect_set("scope_id").alias("scopes"))
-    if few:
-        return items.join(F.broadcast(allowed), on, how)
-    return lookup_join(items, allowed, on, spread="chunk_id", how=how)
+    allowed = scope_docs.groupBy("doc_id").agg(F.collect_set("scope_id").alias("scopes"))
+    return items.join(allowed, "doc_id", "inner" if all_scoped else "left")
 
 
-def batch_topk(queries: DataFrame, items: DataFrame, kind: str, options: dict, max_k: int,
-               scope_docs: DataFrame | None = None, few_scopes: bool = False,
-               broadcast_queries: int = BROADCAST_QUERIES,
-               tile_queries: int = TILE_QUERIES, tile_items: int = TILE_ITEMS) -> DataFrame:
+def block_count(queries: DataFrame, block_bytes: int) -> tuple[int, int]:
+    """Number of blocks the queries need, and the largest number of hits asked for."""
+    row = queries.agg(F.count(F.lit(1)).alias("n"), F.max("fetch_k").alias("k"),
+                      F.max(F.size("vector")).alias("dims")).first()
+    if not row["n"]:
+        return 0, 0
+    size = row["n"] * (row["dims"] * 8 + row["k"] * HIT_BYTES)
+    return max(1, math.ceil(size / block_bytes)), row["k"]
+
+
+def batch_topk(queries: DataFrame, items: DataFrame | Callable[[pa.Table], DataFrame],
+               options: dict, scope_docs: DataFrame | None = None,
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, chunk_id, doc_id, score, rank).
 
-    `queries`: query_id, fetch_k, optional scope_id (NULL = unrestricted), features.
-    `items`: chunk_id, doc_id, features.
-    Reading one row more than the limit tells whether the queries are few enough to be
-    broadcast; if not, queries and items are dealt into tiles of bounded size.
-    `few_scopes`: the caller measured that scope_docs can be broadcast.
+    `queries`: query_id, fetch_k, vector, optional scope_id (NULL = unrestricted) and
+    optional `block` (0, 1, ...; dealt by a hash of the query otherwise). `items`: chunk_id,
+    doc_id, embedding and, unless `scope_docs` gives them, `scopes`; or a function from a
+    block's queries to its items.
     """
-    broadcast_queries = max(1, min(broadcast_queries, HELD_HITS // max_k))
-    tile_queries = max(1, min(tile_queries, HELD_HITS // max_k))
-    few = queries.limit(broadcast_queries + 1).toArrow()
-    if few.num_rows <= broadcast_queries:
-        best = _broadcast_pass(few, items, kind, options, scope_docs, few_scopes)
+    spark = queries.sparkSession
+    if "block" in queries.columns:
+        top = queries.agg(F.max("block").alias("b"), F.max("fetch_k").alias("k")).first()
+        blocks, max_k = (top["b"] + 1, top["k"]) if top["b"] is not None else (0, 0)
+        dealt = queries
     else:
-        best = _tiled_pass(queries, items, kind, options, scope_docs, tile_queries, tile_items)
+        blocks, max_k = block_count(queries, block_bytes)
+        dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1))))
+    parts = []
+    for b in range(blocks):
+        asked = dealt.where(F.col("block") == b).drop("block").toArrow()
+        if not asked.num_rows:
+            continue
+        own = items(asked) if callable(items) else items
+        all_scoped = "scope_id" in asked.column_names and asked["scope_id"].null_count == 0
+        parts.append(_one_block(spark, asked, scoped_items(own, scope_docs, all_scoped), options))
+    if not parts:
+        return spark.createDataFrame([], OUT_DDL + ", rank int").drop("fetch_k")
     # the tasks' lists are already cut to each query's k, so the k best of their union
     # follow from a rank bound that travels with the hit
+    best = reduce(DataFrame.union, parts)
     return rank_per_query(best, max_k, F.col("fetch_k")).drop("fetch_k")
 
 
-def _broadcast_pass(few: pa.Table, items: DataFrame, kind: str, options: dict,
-                    scope_docs: DataFrame | None, few_scopes: bool) -> DataFrame:
-    all_scoped = False
-    if scope_docs is not None:
-        all_scoped = few["scope_id"].null_count == 0
+def _one_block(spark, asked: pa.Table, items: DataFrame, options: dict) -> DataFrame:
     # Spark's own broadcast, so that tasks on one machine share the copy
-    shared = items.sparkSession.sparkContext.broadcast(to_bytes(few))
-    scoped = scoped_items(items, scope_docs, ["doc_id"], all_scoped, few_scopes)
+    shared = spark.sparkContext.broadcast(to_bytes(asked))
 
     def run(batches):
-        block = make_block(from_bytes(shared.value), kind, options)
+        block = make_block(from_bytes(shared.value), options)
         for batch in batches:
             block.add(batch)
         yield block.result()
 
-    return scoped.mapInArrow(run, OUT_DDL)
-
-
-def _tiled_pass(queries: DataFrame, items: DataFrame, kind: str, options: dict,
-                scope_docs: DataFrame | None, tile_queries: int, tile_items: int) -> DataFrame:
-    q_tiles = math.ceil(queries.count() / tile_queries)
-    i_tiles = max(1, math.ceil(items.count() / tile_items))
-    dealt = queries.withColumn(
-        "q_tile", F.pmod(F.xxhash64("query_id"), F.lit(q_tiles)).cast("int"))
-    left = dealt.withColumn("i_tile", F.explode(F.sequence(F.lit(0), F.lit(i_tiles - 1))))
-    right = (items
-             .withColumn("i_tile", F.pmod(F.xxhash64("chunk_id"), F.lit(i_tiles)).cast("int"))
-             .withColumn("q_tile", F.explode(F.sequence(F.lit(0), F.lit(q_tiles - 1)))))
-    if scope_docs is not None:
-        tiles_of = dealt.where(F.col("scope_id").isNotNull()).select("scope_id", "q_tile").distinct()
-        right = scoped_items(
-            right, lookup_join(scope_docs, tiles_of, ["scope_id"], spread="doc_id", how="inner"),
-            ["doc_id", "q_tile"], all_scoped=False)
-
-    def run(left_table: pa.Table, right_table: pa.Table) -> pa.Table:
-        if not left_table.num_rows or not right_table.num_rows:
-            return OUT_SCHEMA.empty_table()
-        block = make_block(left_table, kind, options)
-        block.add(right_table.combine_chunks())
-        return pa.Table.from_batches([block.result()])
-
-    return (left.groupBy("q_tile", "i_tile").cogroup(right.groupBy("q_tile", "i_tile"))
-            .applyInArrow(run, OUT_DDL))
+    return items.mapInArrow(run, OUT_DDL)
 
 
 def to_bytes(table: pa.Table) -> bytes:

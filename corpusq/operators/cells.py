@@ -3,19 +3,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusq.operators.batch_topk import BLOCK_BYTES, HIT_BYTES, batch_topk
+from corpusq.operators.scope import Scopes
+from corpusq.operators.vector import post_filter, query_columns, vector_topk
+from corpusq.session import keep
 from corpusq import fixed_values as fv
-from corpusq.operators.batch_topk import batch_topk
-from corpusq.operators.vector import vector_topk
 
 MAX_CELLS = 4096   # size bound of the centroid table and of the list of probed cells
 
 
+@dataclass(frozen=True)
+class CellIndex:
+    """`rows`: chunk_id, doc_id, embedding, cell. `probes`: cells a query looks into."""
+
+    rows: DataFrame
+    model: KMeansModel
+    probes: int = 8
+
+
 def _unit(vectors: DataFrame) -> DataFrame:
     wide = vectors.where(F.col("embedding").isNotNull()).withColumn(
         "_raw", array_to_vector(F.col("embedding").cast("array<double>")))
@@ -27,8 +41,9 @@ def train_cells(vectors: DataFrame, cells: int = 256, seed: int = 42, rounds: in
     """Cell centres of unit vectors."""
     if not 1 <= cells <= MAX_CELLS:
         raise ValueError(f"cells must be 1..{MAX_CELLS}")
+    unit = keep(_unit(vectors).select("_unit"))      # read once per round
     return KMeans(k=cells, seed=seed, maxIter=rounds, featuresCol="_unit",
-                  predictionCol="cell").fit(_unit(vectors))
+                  predictionCol="cell").fit(unit)
 
 
 def cell_index(vectors: DataFrame, model: KMeansModel) -> DataFrame:
@@ -42,25 +57,57 @@ def save_cells(index: DataFrame, path: str, files_per_cell: int = 4) -> None:
     index.repartition("cell", deal).write.mode("overwrite").partitionBy("cell").parquet(path)
 
 
-def cell_topk(queries: DataFrame, index: DataFrame, model: KMeansModel, probes: int = 8,
-              metric: str = "cosine", max_k: int = fv.MAX_TOP_K, **limits) -> DataFrame:
-    """Best chunks of the `probes` nearest cells of each query, scored exactly.
+def probed_cells(queries: DataFrame, index: CellIndex) -> DataFrame:
+    """(query_id, scope_id): the cells each query looks into, nearest centres first."""
+    centres = queries.sparkSession.createDataFrame(
+        [(str(i), str(i), [float(x) for x in c])
+         for i, c in enumerate(index.model.clusterCenters())],
+        "chunk_id string, doc_id string, embedding array<double>")
+    near = vector_topk(queries.select("query_id", "vector", F.lit(index.probes).alias("top_k")),
+                       centres)
+    return near.select("query_id", F.col("chunk_id").alias("scope_id"))
+
+
+def _blocks_by_cell(asked: DataFrame, block_bytes: int) -> DataFrame:
+    """Queries + the block that asks them. Blocks hold whole cells where they can, so that a
+    block reads few cells; the queries of a very popular cell are dealt over several blocks."""
+    per_cell = asked.groupBy("scope_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("fetch_k").alias("k"),
+        F.max(F.size("vector")).alias("dims")).orderBy("scope_id").collect()  # <= MAX_CELLS
+    first, many, block, filled = {}, {}, 0, 0
+    for r in per_cell:
+        size = r["n"] * (r["dims"] * 8 + r["k"] * HIT_BYTES)
+        if filled and filled + size > block_bytes:
+            block, filled = block + 1, 0
+        first[r["scope_id"]], many[r["scope_id"]] = block, max(1, -(-size // block_bytes))
+        block, filled = block + many[r["scope_id"]] - 1, filled + size % block_bytes
+    if not first:
+        return asked.withColumn("block", F.lit(0))
+    places = asked.sparkSession.createDataFrame(
+        [(c, first[c], many[c]) for c in first], "scope_id string, _first int, _many int")
+    return asked.join(F.broadcast(places), "scope_id").withColumn(
+        "block", (F.col("_first") + F.pmod(F.xxhash64("query_id"), F.col("_many"))).cast("int")
+    ).drop("_first", "_many")
+
+
+def cell_topk(queries: DataFrame, index: CellIndex, metric: str = "cosine",
+              scopes: Scopes | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Best chunks of the nearest cells of each query, scored exactly.
 
     Only the probed cells are read from a saved index. A query asks once per probed cell;
     a vector lies in one cell, so no hit comes twice. No row is grouped by cell, hence a
-    dominant cell is many tasks' work.
+    dominant cell is many tasks' work. With `scopes` five times top_k are fetched and those
+    outside dropped, so that fewer than top_k may remain.
     """
-    spark = index.sparkSession
-    centres = spark.createDataFrame(
-        [(str(i), str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "chunk_id string, doc_id string, embedding array<double>")
-    near = vector_topk(queries.select("query_id", "vector", F.lit(probes).alias("top_k")),
-                       centres, max_k=probes, **limits)
-    probed = near.select("query_id", F.col("chunk_id").alias("scope_id"))
-    asked = queries.join(probed, "query_id").select(
-        "query_id", "scope_id", F.col("top_k").alias("fetch_k"),
-        F.col("vector").cast("array<double>").alias("vector"))
-    cells = [int(r.scope_id) for r in probed.select("scope_id").distinct().collect()]
-    items = index.where(F.col("cell").isin(cells)).select(
-        "chunk_id", "doc_id", "embedding", F.array(F.col("cell").cast("string")).alias("scopes"))
-    return batch_topk(asked, items, "dense", {"metric": metric}, max_k, **limits)
+    factor = 1 if scopes is None else fv.POST_FILTER_OVERFETCH
+    wide = query_columns(queries, factor)
+    asked = keep(wide.join(probed_cells(queries, index), "query_id"))
+
+    def items(block: pa.Table) -> DataFrame:
+        cells = [int(c) for c in block["scope_id"].unique().to_pylist()]
+        return index.rows.where(F.col("cell").isin(cells)).select(
+            "chunk_id", "doc_id", "embedding",
+            F.array(F.col("cell").cast("string")).alias("scopes"))
+
+    found = batch_topk(_blocks_by_cell(asked, block_bytes), items, {"metric": metric})
+    return found if scopes is None else post_filter(found, queries, scopes)

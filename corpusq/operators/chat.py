@@ -50,14 +50,16 @@ def surplus(messages: DataFrame, max_messages: int = fv.MEMORY_MAX_MESSAGES) ->
 
 def session_history(sessions: DataFrame, messages: DataFrame, now: Column,
                     ttl: int = fv.MEMORY_TTL_SECONDS,
-                    max_messages: int = fv.MEMORY_MAX_MESSAGES) -> DataFrame:
+                    max_messages: int | None = None) -> DataFrame:
     """(session_id, user_id, history) of all sessions; expired ones have an empty list.
 
-    Appending keeps max_messages per session, so reading that many loses nothing and
-    bounds each list.
+    Every stored message is returned; appending keeps few per session, which bounds each
+    list. `max_messages` reads only the newest ones of sessions stored without that bound.
     """
+    if max_messages is not None:
+        messages = trim(messages, max_messages)
     turns = F.array_sort(F.collect_list(F.struct("created_at", "id", "role", "content")))
-    lists = trim(messages, max_messages).groupBy("session_id").agg(
+    lists = messages.groupBy("session_id").agg(
         F.transform(turns, lambda t: F.struct(
             t["role"].alias("role"), t["content"].alias("content"))).alias("_turns"))
     alive = ~expired(F.col("last_access"), now, ttl)
@@ -67,6 +69,15 @@ def session_history(sessions: DataFrame, messages: DataFrame, now: Column,
         F.coalesce(F.when(alive, F.col("_turns")), nothing).alias("history"))
 
 
+def refresh_access(sessions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Sessions with last_access moved forward to the newest read (session_id, at); reading a
+    history extends its session as appending does. Unknown sessions are not created."""
+    newest = asked.groupBy("session_id").agg(F.max("at").alias("_at"))
+    return sessions.join(newest, "session_id", "left").withColumn(
+        "last_access", F.coalesce(F.greatest("last_access", "_at"), "last_access", "_at")
+    ).select(*sessions.columns)
+
+
 def expire_sessions(sessions: DataFrame, messages: DataFrame, now: Column,
                     ttl: int = fv.MEMORY_TTL_SECONDS) -> tuple[DataFrame, DataFrame]:
     """Sessions still alive, and the messages of those."""

@@ -6,25 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
-from corpusq.operators.skew import HOT_ROWS, SMALL_INPUT, input_bytes, lookup_join
-from corpusq.session import settle
+from corpusq.operators.skew import lookup_join
 
-BROADCAST_KEYS = 500_000   # (owner, hash) pairs that may be sent to every task
 
-
-def _relevant(registry: DataFrame, incoming: DataFrame, keys: list[str],
-              small_input: int = SMALL_INPUT) -> DataFrame:
-    """Registry rows worth grouping. Against a large registry a small batch is sent to the
-    scan, so that only rows sharing a key with it are shuffled."""
-    known = registry.where(F.col("file_hash").isNotNull())
-    if input_bytes(registry) < small_input:
-        return known
-    wanted, few = settle(incoming.select(*keys).distinct(), BROADCAST_KEYS)
-    return known.join(F.broadcast(wanted), keys, "left_semi") if few else known
+def _relevant(registry: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """Registry rows that share a key with the batch; of a large registry only they are
+    grouped. A short list of keys is broadcast by its size."""
+    return registry.where(F.col("file_hash").isNotNull()).join(
+        incoming.select(*keys).distinct(), keys, "left_semi")
 
 
 def dedup_decisions(incoming: DataFrame, registry: DataFrame, isolated: bool = True,
-                    hot_rows: int = HOT_ROWS, small_input: int = SMALL_INPUT) -> DataFrame:
+                    hot_rows: int | None = None) -> DataFrame:
     """Incoming (doc_id, filename, user_id, file_hash, uploaded_at) + error_code 409 and
     existing_filename for copies.
 
@@ -34,9 +27,10 @@ def dedup_decisions(incoming: DataFrame, registry: DataFrame, isolated: bool = T
     salted because one hash may be very frequent. Only narrow columns travel.
     """
     keys = ["user_id", "file_hash"] if isolated else ["file_hash"]
-    narrow = incoming.select("doc_id", "filename", "user_id", "file_hash", "uploaded_at")
+    own = [c for c in ("upload_id",) if c in incoming.columns]
+    narrow = incoming.select(*own, "doc_id", "filename", "user_id", "file_hash", "uploaded_at")
     holder = ["uploaded_at", "doc_id", "filename"]
-    known = _relevant(registry, narrow, keys, small_input)
+    known = _relevant(registry, narrow, keys)
     holders = (
         known.select(*keys, F.lit(0).alias("batch"), *holder)
         .unionByName(narrow.select(*keys, F.lit(1).alias("batch"), *holder))
@@ -62,7 +56,7 @@ def first_copies(docs: DataFrame, isolated: bool = True) -> DataFrame:
 
 
 def duplicate_probe(requests: DataFrame, registry: DataFrame, isolated: bool = True,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int | None = None) -> DataFrame:
     """Requests whose content is already registered, with the name it is stored under."""
     keys = ["user_id", "file_hash"] if isolated else ["file_hash"]
     holders = (_relevant(registry, requests, keys).groupBy(*keys)

@@ -11,7 +11,7 @@ from corpusq.operators.topk import SCORE_DIGITS, rank_per_query
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, queries: DataFrame,
-         weight: float = fv.BM25_WEIGHT, max_k: int = fv.MAX_TOP_K) -> DataFrame:
+         weight: float = fv.BM25_WEIGHT) -> DataFrame:
     """Weighted reciprocal-rank fusion of two ranked lists, cut to each query's top_k."""
     def votes(ranked: DataFrame, w: float) -> DataFrame:
         return ranked.select("query_id", "chunk_id", "doc_id",
@@ -20,9 +20,9 @@ def fuse(lexical: DataFrame, dense: DataFrame, queries: DataFrame,
     scored = (votes(lexical, weight).unionByName(votes(dense, 1.0 - weight))
               .groupBy("query_id", "chunk_id", "doc_id")
               .agg(F.round(F.sum("vote"), SCORE_DIGITS).alias("score")))
-    # at most two lists of max_k rows per query: no key can be hot here
+    # at most two lists of top_k rows per query: no key can be hot here
     wanted = scored.join(queries.select("query_id", "top_k"), "query_id")
-    return rank_per_query(wanted, max_k, F.col("top_k")).drop("top_k")
+    return rank_per_query(wanted, None, F.col("top_k")).drop("top_k")
 
 
 def overlap_scores(candidates: DataFrame) -> DataFrame:

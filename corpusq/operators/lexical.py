@@ -1,32 +1,48 @@
-"""BM25 over chunks, with statistics of the whole store or of each query's scope."""
+"""BM25 as a join of question words with postings, with statistics of the whole store or of
+each question's scope."""
 
 from __future__ import annotations
 
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
-from corpusq.operators.batch_topk import BROADCAST_QUERIES, batch_topk, scoped_items
 from corpusq.operators.scope import Scopes
-from corpusq.operators.scoring import WordCounter
-from corpusq.operators.skew import lookup_join
+from corpusq.operators.topk import SCORE_DIGITS, rank_per_query
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", words(F.col("content")).alias("tokens"))
 
 
+def _word_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a chunk's words: stretches of equal words once sorted."""
+    def entries(sorted_words: Column) -> Column:
+        n = F.size(sorted_words)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & (
+            (i == 0) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1))))
+        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, i: F.struct(
+            F.get(sorted_words, at).alias("term"),
+            (F.coalesce(F.get(s, i + 1), n) - at).cast("bigint").alias("tf"))))[0]
+
+    return F.transform(F.array(F.array_sort(tokens)), entries)[0]
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf)."""
-    return (tokenised(chunks).select("chunk_id", F.explode("tokens").alias("term"))
-            .groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf")))
+    """(term, chunk_id, doc_id, tf, dl). Words are counted inside each chunk's row, so
+    nothing is shuffled."""
+    counted = tokenised(chunks).select(
+        "chunk_id", "doc_id", F.size("tokens").cast("bigint").alias("dl"),
+        F.explode(_word_counts(F.col("tokens"))).alias("e"))
+    return counted.select("e.term", "chunk_id", "doc_id", "e.tf", "dl")
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
-    return tokenised(chunks).select("chunk_id", F.size("tokens").cast("bigint").alias("dl"))
+    return tokenised(chunks).select("chunk_id", "doc_id",
+                                    F.size("tokens").cast("bigint").alias("dl"))
 
 
 def term_frequencies(chunks: DataFrame) -> DataFrame:
@@ -41,7 +57,17 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
                                      F.avg("dl").alias("mean_length"))
 
 
-SIZE_MARK = ""   # not a token; stands for "any chunk" in the statistics
+@dataclass(frozen=True)
+class LexicalIndex:
+    """What keyword search reads: postings and the length of every chunk. Saved with
+    `sources.tables.save_index`, postings lie in buckets of the term."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+    @classmethod
+    def of(cls, chunks: DataFrame) -> LexicalIndex:
+        return cls(postings(chunks), chunk_lengths(chunks))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -52,134 +78,76 @@ def query_terms(queries: DataFrame) -> DataFrame:
             .groupBy("query_id", "scope_id", "term").agg(F.count(F.lit(1)).alias("qtf")))
 
 
-def _with_sizes(counted: DataFrame) -> DataFrame:
-    """(scope_id, term, n, total) -> (scope_id, term, df, n_chunks, mean_length). A scope
-    has one row per word asked for."""
-    w = W.partitionBy("scope_id")
-    is_size = F.col("term") == SIZE_MARK
-    sized = counted.withColumns({
-        "n_chunks": F.max(F.when(is_size, F.col("n"))).over(w),
-        "mean_length": F.max(F.when(is_size, F.col("total") / F.col("n"))).over(w)})
-    return sized.where(~is_size).select("scope_id", "term", F.col("n").alias("df"),
-                                        "n_chunks", "mean_length")
-
+def stored_statistics(frequencies: DataFrame, size: DataFrame) -> DataFrame:
+    """(term, df, n_chunks, mean_length) from tables kept with the index (term_frequencies,
+    corpus_size)."""
+    return frequencies.select(
+        "term", "df", size.select("n_chunks").scalar().alias("n_chunks"),
+        size.select("mean_length").scalar().alias("mean_length"))
 
-def _summed(counted: DataFrame) -> DataFrame:
-    return counted.groupBy("scope_id", "term").agg(F.sum("n").alias("n"),
-                                                   F.sum("total").alias("total"))
 
+def store_statistics(held: DataFrame, lengths: DataFrame) -> DataFrame:
+    """The same for the words of `held` postings."""
+    size = lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("mean_length"))
+    return stored_statistics(
+        held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), size)
 
-def counted_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame | None
-                       ) -> DataFrame:
-    """Statistics of the words of few questions, of each scope or (None) of the store.
 
-    One pass over the chunks without a shuffle: the words asked for go to every task, which
-    counts its own chunks and hands on one row per scope and word. For at most
-    BROADCAST_QUERIES questions of at most 2000 characters, and broadcast scopes.
-    """
-    asked = terms.select("scope_id", "term").distinct().toArrow()
-    words = pc.unique(asked["term"])
-    scopes = None if scope_docs is None else pc.unique(asked["scope_id"])
-    shared = tokens.sparkSession.sparkContext.broadcast((words, scopes))
-    items = scoped_items(tokens, scope_docs, ["doc_id"], all_scoped=True, few=True)
+def scope_statistics(held: DataFrame, lengths: DataFrame, scope_docs: DataFrame) -> DataFrame:
+    """(scope_id, term, df, n_chunks, mean_length). Chunks are counted per document before
+    documents meet their scopes."""
+    per_doc = held.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    df = (per_doc.join(scope_docs, "doc_id").groupBy("scope_id", "term")
+          .agg(F.sum("n").alias("df")))
+    doc_size = lengths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"),
+                                             F.sum("dl").alias("total"))
+    sizes = (doc_size.join(scope_docs, "doc_id").groupBy("scope_id")
+             .agg(F.sum("n").alias("n_chunks"), (F.sum("total") / F.sum("n")).alias("mean_length")))
+    return df.join(sizes, "scope_id")
 
-    def run(batches):
-        counter = WordCounter(*shared.value)
-        for batch in batches:
-            counter.add(batch)
-        yield counter.result()
 
-    counted = items.mapInArrow(run, "scope_id string, term string, n long, total long")
-    return _with_sizes(_summed(counted))
+def _score(qtf: Column, tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column:
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    damp = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * dl / mean)
+    return qtf * idf * tf * (fv.BM25_K1 + 1) / (tf + damp)
 
 
-def scope_statistics(terms: DataFrame, tokens: DataFrame, scope_docs: DataFrame) -> DataFrame:
-    """The same for scopes of any number and length.
+def bm25_topk(queries: DataFrame, chunks: DataFrame | LexicalIndex, scopes: Scopes | None = None,
+              statistics: DataFrame | None = None) -> DataFrame:
+    """Best chunks per question by BM25; only chunks sharing a word with it.
 
-    One pass too: a SIZE_MARK row per chunk stands beside its words. Chunks are summed up
-    per document before documents meet their scopes.
+    `queries`: query_id, question, top_k and, with `scopes`, scope_id. Every question gets as
+    many hits as its top_k says. `chunks` may be an index made before; then no text is read,
+    and of a saved one only the asked words' buckets (see `sources.tables.load_index`).
+    Statistics come from the filtered set; `statistics` replaces them by those of the whole
+    store (see stored_statistics). Which side of a join is broadcast, and the splitting of
+    frequent words, is left to AQE.
     """
-    mark = terms.sparkSession.createDataFrame([(SIZE_MARK,)], "term string")
-    vocabulary = terms.select("term").union(mark).distinct()
-    said = tokens.select(
-        "doc_id", "chunk_id", F.size("tokens").alias("dl"),
-        F.explode(F.array_append(F.array_distinct("tokens"), SIZE_MARK)).alias("term"))
-    per_doc = (lookup_join(said, vocabulary, ["term"], spread="chunk_id", how="left_semi")
-               .groupBy("doc_id", "term")
-               .agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")))
-    return _with_sizes(_summed(per_doc.join(scope_docs, "doc_id")))
-
-
-def store_statistics(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(term, df, n_chunks, mean_length) of any number of words, over the whole store."""
-    said = tokens.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("term"))
-    words = (lookup_join(said, terms.select("term").distinct(), ["term"], spread="chunk_id",
-                         how="left_semi")
-             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    size = tokens.agg(F.count(F.lit(1)).alias("n_chunks"),
-                      F.avg(F.size("tokens")).alias("mean_length"))
-    return stored_statistics(words, size)
-
-
-def stored_statistics(frequencies: DataFrame, size: DataFrame) -> DataFrame:
-    """The same from tables kept with the index (term_frequencies, corpus_size)."""
-    return frequencies.select(
-        "term", "df", size.select("n_chunks").scalar().alias("n_chunks"),
-        size.select("mean_length").scalar().alias("mean_length"))
-
-
-def _idf(n, df):
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
-
-
-def weigh_queries(queries: DataFrame, tokens: DataFrame, scopes: Scopes | None,
-                  statistics: DataFrame | None = None,
-                  broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
-    """Queries as (query_id, scope_id, fetch_k, terms, weights, mean_length)."""
+    index = chunks if isinstance(chunks, LexicalIndex) else LexicalIndex.of(chunks)
     terms = query_terms(queries)
-    few = queries.select("query_id").limit(broadcast_queries + 1).count() <= broadcast_queries
+    held = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
     own = scopes is not None and statistics is None
-    pieces = []
-    if not (own and scopes.all_scoped):
-        free = terms.where(F.col("scope_id").isNull()) if own else terms
-        stats = statistics
-        if stats is None:
-            stats = (counted_statistics(free, tokens, None).drop("scope_id") if few
-                     else store_statistics(free, tokens))
-        pieces.append(lookup_join(free, stats, ["term"], spread="query_id", how="inner"))
-    if own:
-        scoped = terms.where(F.col("scope_id").isNotNull())
-        stats = (counted_statistics(scoped, tokens, scopes.docs)
-                 if few and scopes.few
-                 else scope_statistics(scoped, tokens, scopes.docs))
-        pieces.append(lookup_join(scoped, stats, ["scope_id", "term"], spread="query_id",
-                                  how="inner"))
-    every = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
-    weighed = every.withColumn("weight", F.col("qtf") * _idf(F.col("n_chunks"), F.col("df")))
-    packed = (weighed.groupBy("query_id")
-              .agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("_tw"),
-                   F.first("mean_length").alias("mean_length"),
-                   F.first("scope_id").alias("scope_id")))
-    return (packed.join(queries.select("query_id", F.col("top_k").alias("fetch_k")), "query_id")
-            .select("query_id", "scope_id", "fetch_k",
-                    F.transform("_tw", lambda t: t["term"]).alias("terms"),
-                    F.transform("_tw", lambda t: t["weight"]).alias("weights"), "mean_length"))
-
-
-def bm25_topk(queries: DataFrame, chunks: DataFrame, scopes: Scopes | None = None,
-              max_k: int = fv.MAX_TOP_K, statistics: DataFrame | None = None,
-              **limits) -> DataFrame:
-    """Best chunks per question by BM25; only chunks sharing a word with it.
-
-    `queries`: query_id, question, top_k and, with `scopes`, scope_id. Statistics come
-    from the filtered set, in one pass over the texts; `statistics` replaces them by those
-    of the whole store (see stored_statistics), which saves that pass.
-    """
-    tokens = tokenised(chunks)
+    parts = []
+    if not (scopes is not None and scopes.all_scoped):
+        free = terms.where(F.col("scope_id").isNull()).drop("scope_id")
+        stats = statistics if statistics is not None else store_statistics(held, index.lengths)
+        parts.append(_joined(free.join(stats, "term"), held))
     if scopes is not None:
-        scopes = scopes.settled()
-    weighed = weigh_queries(queries, tokens, scopes, statistics,
-                            limits.get("broadcast_queries", BROADCAST_QUERIES))
-    return batch_topk(weighed, tokens, "lexical", {}, max_k,
-                      scopes.docs if scopes is not None else None,
-                      scopes is not None and scopes.few, **limits)
+        scoped = terms.where(F.col("scope_id").isNotNull())
+        weighed = (scoped.join(scope_statistics(held, index.lengths, scopes.docs),
+                               ["scope_id", "term"]) if own else scoped.join(statistics, "term"))
+        # a document's scopes meet its postings first, then the questions of those scopes
+        seen = held.join(scopes.docs, "doc_id")
+        parts.append(_joined(weighed, seen, ["scope_id", "term"]))
+    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    wanted = scored.join(queries.select("query_id", "top_k"), "query_id")
+    return rank_per_query(wanted, None, F.col("top_k")).drop("top_k")
+
+
+def _joined(weighed: DataFrame, held: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """(query_id, chunk_id, doc_id, score). The shares of one chunk lie together in a task,
+    so most sums are done before the shuffle."""
+    part = _score(F.col("qtf"), F.col("tf"), F.col("dl"), F.col("df"), F.col("n_chunks"),
+                  F.col("mean_length"))
+    return (held.join(weighed, on or ["term"]).groupBy("query_id", "chunk_id", "doc_id")
+            .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")))

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from corpusq.config import EngineConfig
 from corpusq.operators.registry import current_user
 from corpusq.operators.skew import lookup_join
-from corpusq.session import settle
-
-BROADCAST_SCOPES = 500_000   # (scope, document) rows that may be sent to every task
-
+from corpusq.session import keep
 
 @dataclass(frozen=True)
 class Scopes:
@@ -28,14 +25,10 @@ class Scopes:
     queries: DataFrame
     docs: DataFrame
     all_scoped: bool = False   # no query is unrestricted
-    few: bool | None = None    # `docs` is short enough to broadcast (None: not measured)
 
-    def settled(self) -> Scopes:
-        """The same with `docs` computed and measured once; every search reads it twice."""
-        if self.few is not None:
-            return self
-        docs, few = settle(self.docs, BROADCAST_SCOPES)
-        return replace(self, docs=docs, few=few)
+    def kept(self) -> Scopes:
+        """The same with `docs` computed once; every search reads it."""
+        return replace(self, docs=keep(self.docs))
 
 
 def name_scopes(queries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
@@ -48,10 +41,7 @@ def name_scopes(queries: DataFrame, config: EngineConfig = EngineConfig()) -> Da
         "_collection": F.nullif(F.col("collection"), F.lit("")),
         "_ids": F.when(F.size("doc_ids") > 0, ids),
     })
-    parts = F.concat(
-        F.lit("u:"), F.coalesce("_owner", F.lit("")),
-        F.lit("|c:"), F.coalesce("_collection", F.lit("")),
-        F.lit("|d:"), F.coalesce(F.array_join("_ids", ","), F.lit("")))
+    parts = F.to_json(F.struct("_owner", "_collection", "_ids"), {"ignoreNullFields": "false"})
     free = F.col("_owner").isNull() & F.col("_collection").isNull() & F.col("_ids").isNull()
     return out.withColumn(
         "scope_id", F.when(~free, F.substring(F.sha2(parts.cast("binary"), 256), 1, 32)))
@@ -67,8 +57,12 @@ def resolve_scope(queries: DataFrame, registry: DataFrame, collections: DataFram
     scopes = (named.where(F.col("scope_id").isNotNull())
               .select("scope_id", "_owner", "_collection", "_ids")
               .dropDuplicates(["scope_id"]))
+    # only what some question asks for takes part in the joins below
     owned = registry.select("doc_id", F.col("user_id").alias("_owner"))
-    member = collections.select("doc_id", F.col("collection").alias("_collection"))
+    member = collections.select("doc_id", F.col("collection").alias("_collection")).join(
+        scopes.select("_collection").distinct(), "_collection", "left_semi")
+    if config.isolated:
+        owned = owned.join(scopes.select("_owner").distinct(), "_owner", "left_semi")
 
     by_ids = scopes.where(F.col("_ids").isNotNull()).select(
         "scope_id", "_owner", "_collection", F.explode("_ids").alias("doc_id"))

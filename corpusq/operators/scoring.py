@@ -10,8 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from corpusq import fixed_values as fv
-
 CELLS = 4_000_000  # scores held at once
 OUT_SCHEMA = pa.schema([("query_id", pa.string()), ("fetch_k", pa.int32()),
                         ("chunk_id", pa.string()), ("doc_id", pa.string()),
@@ -58,167 +56,6 @@ class DenseScorer:
         return s
 
 
-class BucketScorer(DenseScorer):
-    """Dense scores only where a query and an item share a bucket in any hash table
-    (p-stable projections: Datar, Immorlica, Indyk & Mirrokni 2004)."""
-
-    def __init__(self, queries: pa.Table, metric: str, tables: int, width: float, seed: int):
-        super().__init__(queries, metric)
-        rng = np.random.default_rng(seed)
-        dims = self.q.shape[1]
-        self.axes = rng.standard_normal((dims, tables))
-        self.shift = rng.uniform(0.0, width, tables)
-        self.width = width
-        self.qh = self._hash(self.q)
-
-    def _hash(self, m: np.ndarray) -> np.ndarray:
-        return np.floor((m @ self.axes + self.shift) / self.width).astype(np.int64)
-
-    def load(self, batch) -> None:
-        super().load(batch)
-        self.xh = self._hash(self.x)
-
-    def scores(self, qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        out = np.full((len(qs), len(rows)), -np.inf)
-        for t in range(self.axes.shape[1]):
-            qb, xb = self.qh[qs, t], self.xh[rows, t]
-            for bucket in np.intersect1d(qb, xb):
-                i, j = np.flatnonzero(qb == bucket), np.flatnonzero(xb == bucket)
-                out[np.ix_(i, j)] = super().scores(qs[i], rows[j])
-        return out
-
-
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices start..start+size of many ranges, one after the other."""
-    before = np.cumsum(sizes) - sizes
-    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
-
-
-class WordCounter:
-    """Counts, per scope and vocabulary word, the items that hold the word; with an empty
-    word for all items and their total length."""
-
-    def __init__(self, vocabulary: pa.Array, scopes: pa.Array | None):
-        self.vocabulary, self.scopes = vocabulary, scopes
-        self.parts: list[tuple] = []
-
-    def add(self, batch) -> None:
-        tokens = batch["tokens"]
-        n, width = len(tokens), len(self.vocabulary) + 1
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.int64)
-        found = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
-        code = np.asarray(pc.fill_null(found, -1), dtype=np.int64)
-        hit = code >= 0
-        pairs = np.unique(np.repeat(np.arange(n), sizes)[hit] * width + code[hit])
-        row, code = pairs // width, pairs % width
-        if self.scopes is None:
-            item, scope = np.arange(n), np.zeros(n, dtype=np.int64)
-        else:
-            allowed = batch["scopes"]
-            many = np.asarray(pc.fill_null(pc.list_value_length(allowed), 0), dtype=np.int64)
-            item = np.repeat(np.arange(n), many)
-            scope = np.asarray(pc.index_in(allowed.flatten(), value_set=self.scopes),
-                               dtype=np.int64)
-        edges = np.searchsorted(row, np.arange(n + 1))
-        held = np.diff(edges)[item]
-        key = np.repeat(scope, held) * width + code[_ranges(edges[:-1][item], held)]
-        words, counts = np.unique(key, return_counts=True)
-        self.parts.append((words, counts, np.zeros(len(words))))
-        ends, at = np.unique(scope, return_inverse=True)
-        self.parts.append((ends * width + width - 1, np.bincount(at, minlength=len(ends)),
-                           np.bincount(at, weights=sizes[item], minlength=len(ends))))
-        if sum(len(p[0]) for p in self.parts) > 2_000_000:
-            self._merge()
-
-    def _merge(self) -> None:
-        if self.parts:
-            key, n, total = (np.concatenate(x) for x in zip(*self.parts))
-            keys, at = np.unique(key, return_inverse=True)
-            self.parts = [(keys, np.bincount(at, weights=n), np.bincount(at, weights=total))]
-
-    def result(self) -> pa.RecordBatch:
-        self._merge()
-        key, n, total = self.parts[0] if self.parts else (np.array([], dtype=np.int64),) * 3
-        width = len(self.vocabulary) + 1
-        words = pa.concat_arrays([self.vocabulary, pa.array([""], pa.string())])
-        scope = pa.nulls(len(key), pa.string()) if self.scopes is None \
-            else self.scopes.take(pa.array(key // width))
-        return pa.record_batch(
-            [scope, words.take(pa.array(key % width)), pa.array(n.astype(np.int64)),
-             pa.array(total.astype(np.int64))], names=["scope_id", "term", "n", "total"])
-
-
-class LexicalScorer:
-    """BM25 with the idf weights and average length carried by each query.
-
-    Work per call follows the rows and queries of that call, so that very many small
-    scopes cost no more than a few large ones.
-    """
-
-    def __init__(self, queries: pa.Table):
-        terms = queries["terms"].combine_chunks()
-        self.weight = np.asarray(queries["weights"].combine_chunks().flatten(), dtype=np.float64)
-        self.size = np.asarray(pc.fill_null(pc.list_value_length(terms), 0), dtype=np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        words = terms.flatten()
-        self.vocabulary = pc.unique(words)
-        self.code = np.asarray(pc.index_in(words, value_set=self.vocabulary), dtype=np.int64)
-        self.mean = np.asarray(queries["mean_length"], dtype=np.float64)
-        self.groups: dict[tuple[int, int], tuple] = {}
-
-    def _group(self, qs: np.ndarray) -> tuple:
-        """Terms of a group of queries, sorted, with the queries that use each."""
-        key = (int(qs[0]), len(qs))
-        if key not in self.groups:
-            at = _ranges(self.start[qs], self.size[qs])
-            local = np.repeat(np.arange(len(qs)), self.size[qs])
-            order = np.argsort(self.code[at], kind="stable")
-            terms, begin = np.unique(self.code[at][order], return_index=True)
-            self.groups[key] = (terms, np.append(begin, len(order)), local[order],
-                                self.weight[at][order])
-        return self.groups[key]
-
-    def load(self, batch) -> None:
-        tokens = batch["tokens"]
-        if isinstance(tokens, pa.ChunkedArray):
-            tokens = tokens.combine_chunks()
-        n = len(tokens)
-        sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), dtype=np.int64)
-        self.length = sizes.astype(np.float64)
-        found = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
-        code = np.asarray(pc.fill_null(found, -1), dtype=np.int64)
-        hit = code >= 0
-        width = max(len(self.vocabulary), 1)
-        key, tf = np.unique(np.repeat(np.arange(n), sizes)[hit] * width + code[hit],
-                            return_counts=True)
-        row, self.term, self.tf = key // width, key % width, tf.astype(np.float64)
-        edges = np.searchsorted(row, np.arange(n + 1))
-        self.row_start, self.row_size = edges[:-1], np.diff(edges)
-
-    def scores(self, qs: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(qs), len(rows)))
-        terms, begin, q_local, weight = self._group(qs)
-        sizes = self.row_size[rows]
-        at = _ranges(self.row_start[rows], sizes)
-        r_local = np.repeat(np.arange(len(rows)), sizes)
-        place = np.searchsorted(terms, self.term[at])
-        known = place < len(terms)
-        known[known] = terms[place[known]] == self.term[at][known]
-        at, r_local, place = at[known], r_local[known], place[known]
-        if len(at):
-            # queries of one call share a scope, hence one average length
-            damp = fv.BM25_K1 * (1 - fv.BM25_B
-                                 + fv.BM25_B * self.length[rows][r_local] / self.mean[qs[0]])
-            part = self.tf[at] * (fv.BM25_K1 + 1) / (self.tf[at] + damp)
-            order = np.argsort(place, kind="stable")
-            place, r_local, part = place[order], r_local[order], part[order]
-            edges = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(place))
-            for a, b in zip(edges[:-1], edges[1:]):
-                lo, hi = begin[place[a]], begin[place[a] + 1]
-                out[np.ix_(q_local[lo:hi], r_local[a:b])] += np.outer(weight[lo:hi], part[a:b])
-        return np.where(out > 0, out, -np.inf)
-
-
 class Best:
     """Best `fetch` items per query seen so far, score descending then id ascending."""
 
@@ -316,9 +153,5 @@ class Block:
         return self.best.table(self.ids)
 
 
-def make_block(queries: pa.Table, kind: str, options: dict) -> Block:
-    if kind == "lexical":
-        return Block(queries, LexicalScorer(queries))
-    if kind == "bucket":
-        return Block(queries, BucketScorer(queries, **options))
+def make_block(queries: pa.Table, options: dict) -> Block:
     return Block(queries, DenseScorer(queries, **options))

@@ -5,49 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000             # rows of one key that one task should see
-MAX_HOT = 4096                   # size bound of the list of hot keys
-SMALL_INPUT = 256 * 1024 * 1024  # bytes below which no key can slow a task down
 
-
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the sources a DataFrame reads, as the optimiser sees them."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes())
-               for i in range(leaves.size()))
-
-
-def hot_keys(rows: DataFrame, on: list[str], hot_rows: int = HOT_ROWS,
+def hot_keys(rows: DataFrame, on: list[str], hot_rows: int,
              counts: DataFrame | None = None) -> DataFrame:
     """Keys with at least `hot_rows` rows and the number of salts each gets.
 
-    At most MAX_HOT rows by construction, whatever the size of the input; a key left out
-    holds under 1/MAX_HOT of all rows. The count is combined map-side, so a hot key costs
-    one row per task here. `counts` (keys, n) is used when the caller has it already.
+    The count is combined map-side, so a hot key costs one row per task here. `counts`
+    (keys, n) is used when the caller has it already.
     """
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    return (counts.where(F.col("n") >= hot_rows).orderBy(F.desc("n"), *on).limit(MAX_HOT)
-            .select(*on, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_salts")))
+    return counts.where(F.col("n") >= hot_rows).select(
+        *on, F.ceil(F.col("n") / F.lit(hot_rows)).cast("int").alias("_salts"))
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread: str,
-                how: str = "left", hot_rows: int = HOT_ROWS,
+                how: str = "left", hot_rows: int | None = None,
                 counts: DataFrame | None = None) -> DataFrame:
-    """Join many rows to a table with few rows per key, salting the hot keys only.
-
-    Without hot keys (or with small inputs) this is a plain join, left to AQE. Otherwise
-    the rows of a hot key are dealt over its salts by a hash of `spread`, which a repeated
-    task computes again, and the lookup rows of that key are copied once per salt; every
-    other key has the single salt 0. Rows with a NULL key cannot match, so they are dealt
-    out as well.
+    """Join many rows to a table with few rows per key.
+
+    By default this is a plain join: AQE broadcasts a short look-up and splits the rows of a
+    key that fill a partition. With `hot_rows` the rows of a key with that many are dealt
+    over salts by a hash of `spread`, which a repeated task computes again, and the look-up
+    rows of that key are copied once per salt; every other key has the single salt 0. Rows
+    with a NULL key cannot match, so they are dealt out as well. That form is for callers
+    that group by the key afterwards, where a split by AQE would cost another shuffle.
     """
-    if hot_rows >= HOT_ROWS and input_bytes(rows) < SMALL_INPUT:
-        return rows.join(lookup, on, how)
-    found = hot_keys(rows, on, hot_rows, counts).toArrow()
-    if not found.num_rows:
+    if hot_rows is None:
         return rows.join(lookup, on, how)
-    hot = F.broadcast(rows.sparkSession.createDataFrame(found))
+    hot = hot_keys(rows, on, hot_rows, counts)
     no_key = F.lit(False)
     for c in on:
         no_key = no_key | F.col(c).isNull()

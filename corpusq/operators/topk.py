@@ -14,17 +14,18 @@ def top_k(scored: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(k)
 
 
-def rank_per_query(scored: DataFrame, max_k: int, k: Column | None = None,
+def rank_per_query(scored: DataFrame, max_k: int | None, k: Column | None = None,
                    order: list[Column] | None = None) -> DataFrame:
     """Add rank 1..k per query and keep the first k.
 
-    The constant bound lets Spark cut every task's groups before the shuffle; `k` may
-    differ per row below it.
+    A constant bound lets Spark cut every task's groups before the shuffle; `k` may differ
+    per row and is never cut by more than a bound that all rows are known to keep.
     """
     order = order or [F.desc("score"), F.asc("chunk_id")]
     ranked = scored.withColumn("rank", F.row_number().over(
         W.partitionBy("query_id").orderBy(*order)))
-    ranked = ranked.where(F.col("rank") <= max_k)
+    if max_k is not None:
+        ranked = ranked.where(F.col("rank") <= max_k)
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusq.config import EngineConfig
@@ -14,7 +15,6 @@ from corpusq.functions.text import (chunk_id, collections_csv, content_hash, der
                                     upload_message)
 from corpusq import fixed_values as fv
 from corpusq.operators.dedup import dedup_decisions
-from corpusq.operators.skew import HOT_ROWS
 from corpusq.session import cut_lineage
 
 
@@ -36,8 +36,8 @@ def _first_chunks(chunks):
 
 
 def ingest(uploads: DataFrame, registry: DataFrame, config: EngineConfig = EngineConfig(),
-           splitter: str = "recursive", id_length: int = 12, materialise: bool = False,
-           hot_rows: int = HOT_ROWS) -> dict[str, DataFrame]:
+           splitter: str = "recursive", id_length: int = 32, materialise: bool = True,
+           hot_rows: int | None = None) -> dict[str, DataFrame]:
     """One batch of uploads.
 
     `uploads`: upload_id (unique), filename, user_id, pages ARRAY<STRING>, paged BOOLEAN,
@@ -45,27 +45,35 @@ def ingest(uploads: DataFrame, registry: DataFrame, config: EngineConfig = Engin
     uploaded_at. Returns registry, document_collections, chunks (new rows only), rejects
     and responses. Ids derive from the upload, so a re-run gives the same rows.
 
+    Every upload is in the registry or in the rejects. Uploads nobody could read (NULL
+    pages) are rejected, and so is one whose derived id is taken by an earlier upload of the
+    batch or by the registry. `id_length` 12 gives ids as imported registries have them.
+
     Only ids and hashes go through the duplicate search; the texts meet its outcome in one
-    anti join with the rejected ids and never group by hash. `materialise` checkpoints the
-    ids and hashes, read by each step of that search, and the split documents, which feed
-    three outputs; without it the texts are read and hashed again for each.
+    anti join on upload_id and never group by hash. `materialise` checkpoints the ids and
+    hashes, read by each step of that search, and the split documents, which feed three
+    outputs; without it the texts are read and hashed again for each.
     """
     checked = validate.check_uploads(
         uploads.withColumn("doc_id", derived_doc_id(
             F.col("user_id"), F.col("upload_id"), F.col("content_hash"), length=id_length)),
-        config)
-    narrow = checked.select("doc_id", "filename", "user_id", "uploaded_at", "error_code",
+        config).withColumn("error_code", F.coalesce("error_code", F.when(
+            F.col("pages").isNull(), F.lit(fv.UNSUPPORTED_TYPE))))
+    narrow = checked.select("upload_id", "doc_id", "filename", "user_id", "uploaded_at", "error_code",
                             F.col("content_hash").alias("file_hash"))
     if materialise:
         narrow = cut_lineage(narrow)
     invalid = narrow.where(F.col("error_code").isNotNull())
     decided = dedup_decisions(validate.accepted(narrow), registry, config.isolated, hot_rows)
-    copies = decided.where(F.col("error_code").isNotNull())
+    copies = decided.where(F.col("error_code").isNotNull()).unionByName(
+        _taken_ids(decided.where(F.col("error_code").isNull()), registry))
+    if materialise:
+        copies = cut_lineage(copies)
     rejects = (invalid.withColumn("existing_filename", F.lit(None).cast("string"))
                .select("doc_id", "filename", "user_id", "error_code", "existing_filename")
                .unionByName(copies.select("doc_id", "filename", "user_id", "error_code",
                                           "existing_filename")))
-    good = validate.accepted(checked).join(copies.select("doc_id"), "doc_id", "left_anti")
+    good = validate.accepted(checked).join(copies.select("upload_id"), "upload_id", "left_anti")
 
     split = good.withColumn("chunks", _split_pages(F.col("pages"), config, splitter)).drop("pages")
     split = split.withColumn("suggested", F.when(
@@ -93,6 +101,18 @@ def ingest(uploads: DataFrame, registry: DataFrame, config: EngineConfig = Engin
     }
 
 
+def _taken_ids(placed: DataFrame, registry: DataFrame) -> DataFrame:
+    """Uploads whose id another document already has: stored, or earlier in the batch."""
+    owner = registry.select("doc_id", F.col("filename").alias("_stored"))
+    first = W.partitionBy("doc_id").orderBy("uploaded_at", "upload_id")
+    seen = placed.join(owner, "doc_id", "left").withColumns({
+        "_n": F.row_number().over(first), "_head": F.first("filename").over(first)})
+    return seen.where((F.col("_n") > 1) | F.col("_stored").isNotNull()).select(
+        *[c for c in placed.columns if c not in ("error_code", "existing_filename")],
+        F.lit(fv.DUPLICATE).alias("error_code"),
+        F.coalesce("_stored", "_head").alias("existing_filename"))
+
+
 def _split_pages(pages, config: EngineConfig, splitter: str):
     if splitter == "fixed":
         return F.transform(pages, lambda p: chunking.chunk_fixed(
@@ -108,8 +128,7 @@ def uploads_from_files(files: DataFrame, user_id: str | None = None) -> DataFram
     auto = F.col("auto_suggest") if "auto_suggest" in files.columns else F.lit(False)
     return files.select(
         F.col("path").alias("upload_id"), "filename", owner.alias("user_id"),
-        F.coalesce("pages", F.array().cast("array<string>")).alias("pages"),
-        (F.size("pages") > 1).alias("paged"),
+        "pages", F.coalesce(F.size("pages") > 1, F.lit(False)).alias("paged"),
         content_hash(F.col("content")).alias("content_hash"), "n_bytes",
         raw.alias("collections_raw"), auto.alias("auto_suggest"),
         F.col("modified_at").alias("uploaded_at"))

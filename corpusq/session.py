@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Batches handed to Python are bounded by rows and by bytes: texts may be long.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
@@ -67,13 +69,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle(df: DataFrame, limit: int) -> tuple[DataFrame, bool]:
-    """A result that is read several times, computed once; and whether it is short.
+def keep(df: DataFrame) -> DataFrame:
+    """A result that is read several times, written once to a table in the shared folder.
 
-    Up to `limit` rows come back as a local table (and are short enough to broadcast);
-    reading one row more tells. A longer result is checkpointed.
+    Its files tell Spark its true size, by which joins then choose to broadcast it or not.
     """
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return df.sparkSession.createDataFrame(head, schema=df.schema), True
-    return cut_lineage(df), False
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

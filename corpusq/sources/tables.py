@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import capitalize_name
-from corpusq.operators.skew import SMALL_INPUT, input_bytes
 from corpusq.schemas import TABLES
 
 
@@ -28,14 +27,6 @@ def write_table(df: DataFrame, name: str, path: str, fmt: str = "parquet",
     writer.save() if fmt == "jdbc" else writer.save(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal a small input over all cores. A file of a few megabytes is often a single row
-    group and would be one task's work; large inputs come in enough pieces by themselves."""
-    if input_bytes(df) >= SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 # --- versions ------------------------------------------------------------------------
 
 def _fs(spark: SparkSession, path: str):

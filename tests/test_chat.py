@@ -66,6 +66,18 @@ def test_history_is_ordered_on_equal_times(spark):
     assert got == {"s": [("human", "a1"), ("ai", "a2"), ("human", "b")], "silent": []}
 
 
+def test_history_is_whole(spark):
+    sessions = spark.createDataFrame([("s", "u", at(0), at(5))],
+                                     "session_id string, user_id string, created_at timestamp, last_access timestamp")
+    messages = spark.createDataFrame([(i, "s", "human", str(i), at(i)) for i in range(30)],
+                                     "id long, session_id string, role string, content string, created_at timestamp")
+    read = lambda **k: [m.content for m in chat.session_history(sessions, messages, F.lit(at(6)), **k).first().history]
+    assert read() == [str(i) for i in range(30)]
+    assert read(max_messages=4) == ["26", "27", "28", "29"]
+    asked = spark.createDataFrame([("s", at(9)), ("s", at(7)), ("new", at(8))], "session_id string, at timestamp")
+    assert chat.refresh_access(sessions, asked).where(F.col("last_access") == F.lit(at(9))).count() == 1
+
+
 def test_surplus_is_the_complement(spark):
     rng = random.Random(3)
     data = [(i, "hot" if i % 3 else f"s{rng.randrange(5)}", "human", "x", at(rng.randrange(40))) for i in range(300)]

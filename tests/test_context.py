@@ -1,10 +1,13 @@
 """Prompts, citations and the whole retrieval plan."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusq.config import EngineConfig
 from corpusq.operators import context
+from corpusq.operators import cells
 from corpusq.plans.retrieve import Store, retrieve, retrieve_context
 
 
@@ -41,7 +44,9 @@ def test_retrieve_context(spark, store):
     past = spark.createDataFrame([("s", [("human", "before"), ("ai", "yes")])],
                                  "session_id string, history array<struct<role:string,content:string>>")
     got = {r.query_id: r for r in retrieve_context(q, store, histories=past).collect()}
-    assert set(got) == {"1", "2", "3"}
+    refused = {k: v for k, v in got.items() if v.error_code}
+    assert {"bad2"} <= set(refused) and set(got) - set(refused) == {"1", "2", "3"}
+    assert all((r.error_code, r.context, r.messages, r.sources) == (422, "", [], []) for r in refused.values())
     assert got["1"].context == "[Source 1: a.txt]\nalpha beta\n\n---\n\n[Source 2: b.txt (p.3)]\nalpha gamma"
     assert [(s.doc_id, s.page, s.content) for s in got["1"].sources] == [("a", None, "alpha beta"), ("b", 2, "alpha gamma")]
     assert [m.role for m in got["1"].messages] == ["system", "human"]
@@ -57,6 +62,11 @@ def test_retrieve_context(spark, store):
 def test_owner_never_sees_others(spark, store, config):
     q = asked(spark, ("1", "alpha", [1.0, 0.05], 4, "ann", None, None, None), ("2", "alpha", [1.0, 0.05], 4, "eve", None, None, None),
               ("3", "alpha", [1.0, 0.05], 4, "ann", ["a", "c"], None, None), ("4", "alpha", [1.0, 0.05], 4, "ann", None, "x", None))
+    if config.search == "ann":
+        with pytest.raises(ValueError):
+            retrieve(q, store, config)
+        model = cells.train_cells(store.vectors, 2)
+        store = replace(store, cells=cells.CellIndex(cells.cell_index(store.vectors, model), model, 2))
     seen = {}
     for r in retrieve(q, store, config).collect():
         seen.setdefault(r.query_id, set()).add(r.doc_id)

@@ -52,3 +52,15 @@ def test_same_scope_is_shared(spark):
     registry = spark.createDataFrame([(f"d{i}", "ann") for i in range(20)], "doc_id string, user_id string")
     members = spark.createDataFrame([], "doc_id string, collection string")
     assert resolve_scope(queries, registry, members).docs.count() == 20
+
+
+def test_names_with_marks_have_scopes_of_their_own(spark):
+    asked = [("1", "src1", "en|c:", None), ("2", "src1|c:en", None, None), ("3", "ann", None, ["a,b"]),
+             ("4", "ann", None, ["a", "b"]), ("5", "ann", "null", None), ("6", "ann", None, None)]
+    queries = spark.createDataFrame(asked, "query_id string, user_id string, collection string, doc_ids array<string>")
+    registry = spark.createDataFrame([("d", "src1|c:en")], "doc_id string, user_id string")
+    members = spark.createDataFrame([("d", "en|c:")], "doc_id string, collection string")
+    s = resolve_scope(queries, registry, members)
+    assert s.queries.select("scope_id").distinct().count() == len(asked)
+    mine = s.queries.where("query_id = '2'").first().scope_id
+    assert [tuple(r) for r in s.docs.collect()] == [(mine, "d")]

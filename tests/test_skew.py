@@ -32,10 +32,11 @@ def test_hot_key_is_dealt_out(skewed):
     assert "_salt" in plan
 
 
-def test_no_salt_without_hot_keys(skewed):
+def test_left_to_aqe_by_default(skewed):
     big, small = skewed
-    plan = lookup_join(big, small, ["k"], "id", "left", hot_rows=5000)._jdf.queryExecution().toString()
+    plan = lookup_join(big, small, ["k"], "id", "left")._jdf.queryExecution().toString()
     assert "_salt" not in plan
+    assert not hot_keys(big, ["k"], 5000).count()
 
 
 def plain_decisions(incoming, stored, isolated):
@@ -52,8 +53,8 @@ def plain_decisions(incoming, stored, isolated):
 
 
 @pytest.mark.parametrize("isolated", [True, False])
-@pytest.mark.parametrize("hot_rows, small_input", [(20, 10**9), (10**6, 10**9), (10**6, 0)])
-def test_dedup(spark, isolated, hot_rows, small_input):
+@pytest.mark.parametrize("hot_rows", [20, None])
+def test_dedup(spark, isolated, hot_rows):
     rng = random.Random(2)
     ddl = "doc_id string, filename string, user_id string, file_hash string, at int"
     make = lambda p, n: [(f"{p}{i}", f"{p}{i}.txt", f"u{rng.randrange(3)}",
@@ -61,5 +62,5 @@ def test_dedup(spark, isolated, hot_rows, small_input):
     incoming, stored = make("n", 400), make("o", 60) + [("x", "x.txt", "u0", None, 0)]
     to_df = lambda data: spark.createDataFrame(data, ddl).withColumn("uploaded_at", F.timestamp_seconds("at")).drop("at")
     got = {r.doc_id: (r.error_code, r.existing_filename) for r in dedup.dedup_decisions(
-        to_df(incoming), to_df(stored), isolated, hot_rows, small_input).collect()}
+        to_df(incoming), to_df(stored), isolated, hot_rows).collect()}
     assert got == plain_decisions(incoming, stored, isolated)

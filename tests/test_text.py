@@ -68,10 +68,13 @@ def test_truncate_cases(spark):
 
 def test_ids(spark):
     a, b = (apply(spark, ["x"], lambda c: text.derived_doc_id(c, F.lit("y"))) for _ in range(2))
-    assert a == b and len(a[0]) == 12
+    assert a == b and len(a[0]) == 32
     r = spark.range(50).select(text.random_doc_id().alias("i")).collect()
-    assert len({x.i for x in r}) == 50 and all(len(x.i) == 12 for x in r)
-    assert apply(spark, ["/u/0123456789ab_a_b.txt", "/u/zz_a.txt"], text.stored_doc_id) == ["0123456789ab", ""]
+    assert len({x.i for x in r}) == 50 and all(len(x.i) == 32 for x in r)
+    assert apply(spark, ["/u/0123456789ab_a_b.txt", "/u/zz_a.txt", "/u/" + "0f" * 16 + "_x"], text.stored_doc_id) == [
+        "0123456789ab", "", "0f" * 16]
+    pairs = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "c"), ("", "c")], "x string, y string")
+    assert pairs.select(text.derived_doc_id(F.col("x"), F.col("y"))).distinct().count() == 4
 
 
 def test_html(spark):

@@ -42,7 +42,7 @@ def test_roles_and_lists(spark):
 
 
 def test_length_caps(spark):
-    df = spark.createDataFrame([("a" * 12, "f" * 500), ("a" * 13, "f"), ("a", "f" * 501), (None, None)],
+    df = spark.createDataFrame([("a" * 32, "f" * 500), ("a" * 33, "f"), ("a", "f" * 501), (None, None)],
                                "doc_id string, filename string")
     got = [r[0] for r in df.select(validate.length_error(df, "registry")).collect()]
     assert got == [None, 422, 422, None]
@@ -60,3 +60,12 @@ def test_config_defaults():
     assert (c.chunk_size, c.chunk_overlap, c.default_top_k, c.rerank_top_n, c.max_messages, c.session_ttl,
             c.default_user, c.isolation, c.max_upload_bytes) == (1000, 200, 4, 4, 20, 3600, "admin", "all", 52428800)
     assert EngineConfig(isolation="documents").isolated and not EngineConfig(isolation="none").isolated
+
+
+def test_bound_of_top_k_is_the_configured_one(spark):
+    from corpusq.config import EngineConfig
+    asked = spark.createDataFrame([(15, "u"), (45, "u"), (51, "u"), (None, "u"), (3, "no/body"), (3, None), (3, "")],
+                                  "top_k int, user_id string").withColumn("question", F.lit("why"))
+    codes = lambda n: [r.error_code for r in validate.check_queries(asked, EngineConfig(max_top_k=n)).collect()]
+    assert codes(10) == [422, 422, 422, None, 422, None, None]
+    assert codes(50) == [None, None, 422, None, 422, None, None]
