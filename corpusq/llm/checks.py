@@ -11,7 +11,7 @@ from corpusq.llm.bpe import bpe_round_trip
 from corpusq.llm.language import identify_language
 from corpusq.llm.licenses import scan_licenses
 from corpusq.llm.minhash import near_duplicates
-from corpusq.llm.packing import pack
+from corpusq.llm.packing import BUCKETS, BUDGET, FINE, SHARD_ROWS, pack
 from corpusq.llm.hamming import hamming_topk
 from corpusq.llm.pii import find_private
 from corpusq.llm.rabitq import ann_search
@@ -120,3 +120,35 @@ QUALIFY row_number() OVER w <= 10
 def op9_license_scan(spark, folder):
     """Licence families of every document."""
     return scan_licenses(table(spark, folder, "documents"))
+
+
+def _packing_sql(buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS,
+                 fine: int = FINE) -> str:
+    """One step of the dynamic program for each bucket; `path` holds the boundaries so far."""
+    level = """SELECT j, cost, path FROM (SELECT h.j, d.cost + h.top * (h.upto - d.upto) AS cost,
+        list_append(d.path, h.top) AS path, d.upto, row_number() OVER (PARTITION BY h.j
+        ORDER BY d.cost + h.top * (h.upto - d.upto), d.j) AS r
+        FROM h JOIN (SELECT p.*, coalesce(x.upto, 0) AS upto FROM {before} p LEFT JOIN h x USING (j)) d
+        ON d.j < h.j) WHERE r = 1 UNION ALL SELECT 0, 0, []::BIGINT[]"""
+    levels = ", ".join(f"d{b} AS ({level.format(before=f'd{b - 1}')})" for b in range(1, buckets + 1))
+    return f"""WITH sized AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''),
+        '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents),
+    stepped AS (SELECT *, greatest(1, pow(2, floor(log2(greatest(n_tokens, 1) + 0.5) - log2({fine}))))::BIGINT
+        AS step FROM sized),
+    binned AS (SELECT doc_id, n_tokens, (ceil(n_tokens / step) * step)::BIGINT AS top FROM stepped),
+    bins AS (SELECT top, count(*) AS c FROM binned WHERE n_tokens > 0 GROUP BY 1),
+    h AS (SELECT top, row_number() OVER (ORDER BY top) AS j, sum(c) OVER (ORDER BY top)::BIGINT AS upto FROM bins),
+    d0 AS (SELECT 0 AS j, 0 AS cost, []::BIGINT[] AS path), {levels},
+    bounds AS (SELECT unnest(path) AS bucket FROM d{buckets} WHERE j = (SELECT max(j) FROM h)),
+    put AS (SELECT doc_id, n_tokens, CASE WHEN n_tokens = 0 THEN 0 ELSE (SELECT min(bucket) FROM bounds
+        WHERE bucket >= top) END AS bucket FROM binned),
+    dealt AS (SELECT *, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT
+        % greatest(1, ceil(count(*) OVER (PARTITION BY bucket) / {shard_rows}))::BIGINT AS shard FROM put),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS i,
+        greatest(1, {budget} // greatest(bucket, 1)) AS room FROM dealt)
+    SELECT doc_id, n_tokens, bucket::BIGINT AS bucket, CASE WHEN bucket > 0 THEN bucket || '-' || shard || '-' || (i // room)
+        END AS batch, CASE WHEN bucket > 0 THEN (i % room + 1)::BIGINT END AS slot,
+        CASE WHEN bucket > 0 THEN (bucket - n_tokens)::BIGINT ELSE 0 END AS padding FROM placed"""
+
+
+ORACLES["op6_packing"] = _packing_sql()
