@@ -2,8 +2,7 @@
 
 Patterns find e-mail and network addresses, card and phone numbers: the protected entities.
 A term that stands near an entity discloses it to the degree that the term says which entity
-is meant: pointwise mutual information of term and entity over the distinct texts of the
-whole corpus, as a share of the information the entity itself holds. It is 1 when the term
+is meant: pointwise mutual information of term and entity over all documents of the corpus, as a share of the information the entity itself holds. It is 1 when the term
 occurs only with the entity and 0 when the two are independent. Terms at or above the upper
 threshold are removed, those at or above the lower one generalised.
 """
@@ -36,13 +35,13 @@ TERM = re.compile(rb"[A-Za-z\x80-\xff]{3,}")
 BLANKS = b" \t\n\x0b\x0c\r"
 
 FOUND = ("struct<n_email: bigint, n_ip: bigint, n_card: bigint, n_phone: bigint, "
-         "base_sha256: string, spans: string, near: array<struct<entity: string, "
-         "term: bigint, first: bigint, last: bigint>>>")
+         "base_sha256: string, spans: string, entities: array<string>, near: "
+         "array<struct<entity: string, term: bigint, first: bigint, last: bigint>>>")
 _NEAR = pa.struct([("entity", pa.string()), ("term", pa.int64()), ("first", pa.int64()),
                    ("last", pa.int64())])
 _KIND = pa.struct([(f"n_{k}", pa.int64()) for k in KINDS]
                   + [("base_sha256", pa.string()), ("spans", pa.string()),
-                     ("near", pa.list_(_NEAR))])
+                     ("entities", pa.list_(pa.string())), ("near", pa.list_(_NEAR))])
 
 
 def entity_name(kind: str, raw: bytes) -> str:
@@ -80,7 +79,7 @@ def _near(layout: Layout, row: int, kind: str, span: tuple[int, int],
 def _scan(texts: pa.Array) -> pa.Array:
     layout = Layout.of(texts)
     base = {kind: by_row(layout, found) for kind, found in find_personal(layout).items()}
-    nothing = {"base_sha256": hashlib.sha256(b"").hexdigest(), "spans": "", "near": [],
+    nothing = {"base_sha256": hashlib.sha256(b"").hexdigest(), "spans": "", "entities": [], "near": [],
                **{f"n_{k}": 0 for k in KINDS}}
     out: list[dict] = [nothing] * len(texts)
     for row in sorted(set().union(*base.values())):
@@ -90,12 +89,14 @@ def _scan(texts: pa.Array) -> pa.Array:
                 for n in _near(layout, row, k, s, taken)]
         out[row] = {**{f"n_{k}": len(base[k].get(row, ())) for k in KINDS},
                     "base_sha256": hashlib.sha256(written(own).encode()).hexdigest(),
-                    "spans": written(own), "near": near}
+                    "spans": written(own), "near": near,
+                    "entities": [entity_name(k, layout.raw[a:b]) for k in KINDS
+                                 for a, b in base[k].get(row, ())]}
     return pa.array(out, _KIND)
 
 
 def personal(text: Column) -> Column:
-    """Counts, base spans, and the words near each entity."""
+    """Counts, base spans, the entities and the words near each."""
     @F.arrow_udf(FOUND)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
@@ -103,28 +104,42 @@ def personal(text: Column) -> Column:
     return scan(text)
 
 
-def distinct_words(text: Column, among: np.ndarray | None = None) -> Column:
-    """array<bigint>: hashes of a text's distinct words, all or those `among` given ones."""
-    @F.arrow_udf("array<bigint>")
-    def hashes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            done = []
-            for part in slices(texts):
-                value, row = words(*utf8(part))
-                value = value.view(np.int64)
-                if among is not None:
-                    at = np.minimum(np.searchsorted(among, value), max(len(among) - 1, 0))
-                    hit = among[at] == value if len(among) else np.zeros(len(value), bool)
-                    value, row = value[hit], row[hit]
-                order = np.lexsort((value, row))
-                value, row = value[order], row[order]
-                new = np.ones(len(value), bool)
-                new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-                at = np.searchsorted(row[new], np.arange(len(part) + 1))
-                done.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()),
-                                                     pa.array(value[new])))
-            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.int64()))
-    return hashes(text)
+def _distinct(texts: pa.Array, among: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word hashes of each text, all or those `among` given ones; and their texts."""
+    value, row = words(*utf8(texts))
+    value = value.view(np.int64)
+    if among is not None:
+        at = np.minimum(np.searchsorted(among, value), len(among) - 1)
+        hit = among[at] == value
+        value, row = value[hit], row[hit]
+    order = np.lexsort((value, row))
+    value, row = value[order], row[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[new], row[new]
+
+
+def document_counts(docs: DataFrame, among: np.ndarray | None) -> DataFrame:
+    """(term, n_term): documents that hold each term. Of few terms a task hands on one count
+    each; without such a list every slice of texts hands on its counts."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0 if among is None else len(among), np.int64)
+        for batch in batches:
+            for part in slices(batch["text"]):
+                value, _ = _distinct(part, among)
+                term, n = np.unique(value, return_counts=True)
+                if among is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=names)
+                else:
+                    total[np.searchsorted(among, term)] += n
+        if among is not None:
+            held = total > 0
+            yield pa.RecordBatch.from_arrays([pa.array(among[held]), pa.array(total[held])],
+                                             names=names)
+
+    names = ["term", "n"]
+    return docs.select("text").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(
+        F.sum("n").alias("n_term"))
 
 
 def text_print(text: Column) -> Column:
@@ -136,28 +151,29 @@ def disclosing_terms(found: DataFrame, docs: DataFrame,
                      least_texts: int = LEAST_TEXTS) -> DataFrame:
     """(entity, term, disclosure) of all pairs that stand together in enough distinct texts.
 
-    `found` has text prints `fp` and `near`; `docs` has `fp` and `text`. Copies of a text
-    count once.
+    `found` has, for every document, the print `fp` of its text, `entities` and `near`;
+    `docs` has `text`. All counts are of documents; copies of a text do not make a pair
+    frequent enough.
     """
-    near = found.where(F.size("near") > 0).select("fp", F.explode("near").alias("n")).select(
-        "fp", "n.entity", "n.term").distinct()
-    pairs = cut_lineage(near.groupBy("entity", "term").agg(
-        F.count(F.lit(1)).alias("both")).where(F.col("both") >= least_texts))
-    of_entity = near.select("fp", "entity").distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_entity"))
+    met = found.where(F.size("near") > 0).select("fp", F.explode(F.array_distinct(F.transform(
+        "near", lambda n: F.struct(n["entity"].alias("entity"), n["term"].alias("term"))
+    ))).alias("n")).select("fp", "n.*")
+    pairs = cut_lineage(met.groupBy("entity", "term", "fp").agg(F.count(F.lit(1)).alias("c"))
+                        .groupBy("entity", "term").agg(
+        F.sum("c").alias("both"), F.count(F.lit(1)).alias("texts"))
+        .where(F.col("texts") >= least_texts).drop("texts"))
+    of_entity = found.where(F.size("entities") > 0).select(F.explode(F.array_distinct(
+        "entities")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     terms = pairs.select("term").distinct()
     held = terms.limit(HELD_TERMS + 1).toPandas()["term"].to_numpy(np.int64)
     among = np.sort(held) if len(held) <= HELD_TERMS else None
     if among is not None and not len(among):
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    words_of = docs.select("fp", F.explode(distinct_words(F.col("text"), among)).alias("term"))
-    of_term = words_of.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    texts = docs.select("fp").distinct().agg(F.count(F.lit(1)).alias("texts"))
-    n = F.lit(texts.first()["texts"])
+    n = F.lit(found.count())
     info = F.log(n / F.col("n_entity"))
     shared = F.log(n * F.col("both") / (F.col("n_term") * F.col("n_entity")))
-    return pairs.join(of_entity, "entity").join(of_term, "term").select(
-        "entity", "term", F.when(info > 0, shared / info).otherwise(0.0).alias("disclosure"))
+    return (pairs.join(of_entity, "entity").join(document_counts(docs, among), "term").select(
+        "entity", "term", F.when(info > 0, shared / info).otherwise(0.0).alias("disclosure")))
 
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
