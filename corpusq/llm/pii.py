@@ -181,8 +181,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  remove: float = REMOVE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per input row.
 
-    Added spans are of kind `removed` or `generalised`, by start, behind the base spans; they
-    only occur in texts that hold the entity they disclose. A null or empty text has no
+    Added spans are of kind `generalised` or `removed`, in this order and by start, behind
+    the base spans; they only occur in texts that hold the entity they disclose. A null or empty text has no
     spans. Rows that repeat an id, or have none, are treated each by itself; rows with equal
     texts get equal spans. Other columns are not looked at.
     """
@@ -196,8 +196,8 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     added = (at.join(terms, ["entity", "term"])
              .groupBy("fp", "first", "last").agg(F.max("disclosure").alias("d"))
              .groupBy("fp").agg(F.sort_array(F.collect_list(F.struct(
-                 "first", "last", F.when(F.col("d") >= remove, "removed")
-                 .otherwise("generalised").alias("kind")))).alias("added")))
+                 F.when(F.col("d") >= remove, "removed").otherwise("generalised").alias("kind"),
+                 "first", "last"))).alias("added")))
     own = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256"]
     extra = F.concat_ws(",", F.transform("added", lambda s: F.concat_ws(
         ":", s["kind"], s["first"].cast("string"), s["last"].cast("string"))))
