@@ -4,8 +4,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from corpusq.llm.components import connected_components
-from corpusq.llm.minhash import near_duplicates
+from corpusq.llm.minhash import _signatures, near_duplicates
+from corpusq.llm.shingles import shingle_sets
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -89,3 +93,20 @@ def test_components_of_long_chain_and_star(spark):
     assert {r.node: r.component for r in got.collect()} == {
         **dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 160), 100)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_sketches_never_differ_more_than_the_sets():
+    """The bound by which pairs are left out, on texts of all degrees of likeness."""
+    dice = random.Random(4)
+    base = [str(dice.random()) for _ in range(400)]
+    texts = ["", "a b", " ".join(base)] + [
+        " ".join(w if dice.random() > p else f"x{dice.random()}" for w in base)
+        for p in (0, 0.01, 0.03, 0.05, 0.1, 0.5)]
+    value, at = shingle_sets(pa.array(texts))
+    sets = [set(value[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+    sketch = [np.array(x, np.int64).view(np.uint64)
+              for x in _signatures(pa.array(texts), 3, 5).field("sketch").to_pylist()]
+    for s, a in zip(sets, sketch, strict=True):
+        for t, b in zip(sets, sketch, strict=True):
+            apart = sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+            assert apart <= len(s ^ t)
