@@ -25,6 +25,7 @@ SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 1500
 WINDOW = 24             # tokens of a training sequence
 PLAIN_PER_SECRET = 10   # sequences without a secret for each one with
+SLICE_DOCS = 200        # sampled texts whose features are computed together
 LEAST = 12
 KINDS = ["assign", "access", "hex"]
 
@@ -51,24 +52,30 @@ def _labels(tokens: crf.Tokens, layout: Layout) -> np.ndarray:
 def train_tagger(texts: list[str], window: int = WINDOW,
                  plain_per_secret: int = PLAIN_PER_SECRET) -> crf.Model | None:
     """Fit the field on sequences cut from texts; None when they hold no secret."""
-    if not texts:
+    found: dict[bool, list] = {True: [], False: []}
+    for i in range(0, len(texts), SLICE_DOCS):
+        layout = Layout.of(pa.array(texts[i:i + SLICE_DOCS], pa.string()))
+        tokens = crf.tokens_of(layout)
+        n = len(tokens.start) // window
+        rows = _labels(tokens, layout)[:n * window].reshape(n, window)
+        features = tokens.features[:, :n * window].reshape(-1, n, window)
+        secret = rows.any(1)
+        for kind in (True, False):
+            on = secret == kind
+            found[kind].append((features[:, on], rows[on]))
+    many = sum(len(rows) for _, rows in found[True])
+    if not many:
         return None
-    layout = Layout.of(pa.array(texts, pa.string()))
-    tokens = crf.tokens_of(layout)
-    tags = _labels(tokens, layout)
-    n = len(tags) // window
-    if not n:
-        return None
-    rows = tags[:n * window].reshape(n, window)
-    secret = np.flatnonzero(rows.any(1))
-    if not len(secret):
-        return None
-    plain = np.flatnonzero(~rows.any(1))
-    many = min(len(plain), plain_per_secret * len(secret))
-    plain = plain[np.linspace(0, len(plain) - 1, many).astype(int)] if many else plain
-    chosen = np.concatenate([secret, plain])
-    features = tokens.features[:, :n * window].reshape(-1, n, window)[:, chosen]
-    return crf.train(features, rows[chosen])
+    parts = []
+    for kind, pieces in found.items():
+        features = np.concatenate([f for f, _ in pieces], 1)
+        rows = np.concatenate([r for _, r in pieces])
+        if not kind and len(rows) > plain_per_secret * many:
+            some = np.linspace(0, len(rows) - 1, plain_per_secret * many).astype(int)
+            features, rows = features[:, some], rows[some]
+        parts.append((features, rows))
+    return crf.train(np.concatenate([f for f, _ in parts], 1),
+                     np.concatenate([r for _, r in parts]))
 
 
 def _tagged(layout: Layout, model: crf.Model) -> list[tuple[int, int]]:
