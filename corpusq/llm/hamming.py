@@ -3,15 +3,16 @@
 A code of 64 bits is the signs of a vector's first 64 components. It is cut into four
 segments; each segment's value is an index key. Two codes at distance d differ by at most
 d // 4 bits in some segment, so once all segment values within radius r of the query's have
-been looked up, every code within 4 * (r + 1) - 1 is known (4 * r + j when radius r has been
-done for the first j segments only). Radii grow, and a query stops when its k-th verified
-distance lies within what is covered.
+been looked up, every code within 4 * (r + 1) - 1 is known. Radii grow, and a query stops when
+its k-th verified distance lies within what is covered.
 
 Equal codes are one index entry with the smallest ids that hold it, so copies cost nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,7 +23,7 @@ from corpusq.session import cut_lineage
 SEGMENTS = 4
 SEGMENT_BITS = 16
 BITS = SEGMENTS * SEGMENT_BITS
-WHOLE_ROUNDS = 4        # radii from here on are searched one segment at a time
+FIRST_RADII = 2         # radii 0 and 1 are one round
 
 
 def sign_code(vector: Column) -> Column:
@@ -49,59 +50,64 @@ def masks(radius: int) -> Column:
     return F.split(F.lit(",".join(map(str, found))), ",").cast("array<int>")
 
 
-def steps() -> list[tuple[list[int], list[int], int]]:
-    """(radii, segments, distance covered afterwards) of every round."""
-    every = list(range(SEGMENTS))
-    out = [([0, 1], every, 2 * SEGMENTS - 1)]
-    out += [([r], every, SEGMENTS * (r + 1) - 1) for r in range(2, WHOLE_ROUNDS)]
-    return out + [([r], [s], SEGMENTS * r + s)
-                  for r in range(WHOLE_ROUNDS, SEGMENT_BITS + 1) for s in every]
+def steps() -> list[tuple[list[int], int]]:
+    """(radii, distance covered afterwards) of every round."""
+    first = list(range(FIRST_RADII))
+    return [(first, SEGMENTS * FIRST_RADII - 1)] + [
+        ([r], SEGMENTS * (r + 1) - 1) for r in range(FIRST_RADII, SEGMENT_BITS + 1)]
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The nearest codes of every query code, enough to hold k documents besides itself: each
+    code holds one at least, so k + 1 codes are enough. `within` is the distance in which k + 1
+    documents have been found, `codes` the number of codes found."""
+    by_q = Window.partitionBy("q")
+    nearest = by_q.orderBy(F.col("d").asc_nulls_last(), "first")
+    so_far = nearest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (found.repartition("q").dropDuplicates(["q", "code"])
+            .withColumn("codes", F.count("code").over(by_q))
+            .withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 2)
+            .withColumn("sum", F.sum("held").over(so_far))
+            .withColumn("within", F.coalesce(F.min(F.when(
+                F.col("sum") >= k + 1, F.col("d"))).over(by_q), F.lit(BITS)))
+            .select("q", "code", "first", "held", "d", "n", "within", "codes"))
 
 
 def _by_code(asked: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(q, code, distance, first): the nearest codes of every distinct query code q, enough
-    to hold k neighbours besides the query itself."""
+    """(q, code, d): the codes among which the k nearest documents of each query code are.
+
+    What is known of a query travels in one table; a row without code stands for a query that
+    has found nothing yet. Each round is one join with the index and one exchange by query.
+    """
     entries = cut_lineage(index.select("code", "first", "held", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda s: F.struct(
             s.alias("s"), segment(F.col("code"), s).alias("v")))).alias("e")
     ).select("code", "first", "held", "e.*"))
-    codes = index.count()
-    active = cut_lineage(asked.select("q", F.lit(BITS).alias("within")))
-    done, hits = [], None
-    nearest = Window.partitionBy("q").orderBy("d", "first")
-    so_far = nearest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for radii, segments, covered in steps():
-        probes = active.select("q", "within", F.explode(F.array(*map(F.lit, segments))).alias("s"))
-        probes = probes.select("q", "within", "s", F.explode(F.concat(*[masks(r) for r in radii])
-                                                             ).alias("m"))
-        probes = probes.select("q", "within", "s",
-                               segment(F.col("q"), F.col("s")).bitwiseXOR(F.col("m")).alias("v"))
+    total = index.count()
+    row = ["q", "code", "first", "held", "d"]
+    active = cut_lineage(asked.select(
+        "q", F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("bigint").alias("first"),
+        F.lit(0).cast("bigint").alias("held"), F.lit(None).cast("int").alias("d"),
+        F.lit(1).alias("n"), F.lit(BITS).alias("within"), F.lit(0).cast("bigint").alias("codes")))
+    done = []
+    for radii, covered in steps():
+        probes = active.where("n = 1").select("q", "within", F.explode(
+            F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("s"))
+        probes = probes.select("q", "within", "s", F.explode(
+            F.concat(*[masks(r) for r in radii])).alias("m"))
+        probes = probes.select("q", "within", "s", segment(F.col("q"), F.col("s")).bitwiseXOR(
+            F.col("m")).alias("v"))
         found = probes.join(entries, ["s", "v"]).where(
             distance(F.col("q"), F.col("code")) <= F.col("within")).select(
             "q", "code", "first", "held", distance(F.col("q"), F.col("code")).alias("d"))
-        if hits is not None:
-            found = found.union(hits)
-        # each code holds a document, so no more than k + 1 codes can matter
-        ranked = found.distinct().withColumn("n", F.row_number().over(nearest)).where(
-            F.col("n") <= k + 1).withColumn("sum", F.sum("held").over(so_far))
-        hits = cut_lineage(ranked)
-        reach = hits.groupBy("q").agg(
-            F.min(F.when(F.col("sum") >= k + 1, F.col("d"))).alias("within"),
-            F.count(F.lit(1)).alias("codes"))
-        state = cut_lineage(active.select("q").join(reach, "q", "left").select(
-            "q", F.coalesce("within", F.lit(BITS)).alias("within"),
-            (F.coalesce(F.col("within") <= covered, F.lit(False))
-             | (F.coalesce("codes", F.lit(0)) >= codes)).alias("over")))
-        keep = hits.select("q", "code", "first", "held", "d")
-        done.append(keep.join(state.where("over"), "q", "left_semi"))
-        active = state.where("not over").select("q", "within")
-        hits = keep.join(active, "q", "left_semi")
+        state = cut_lineage(_ranked(found.union(active.select(*row)), k))
+        over = (F.col("within") <= covered) & (F.col("within") < BITS) | (F.col("codes") >= total)
+        done.append(state.where(over & F.col("code").isNotNull()).select("q", "code", "d"))
+        active = state.where(~over)
         if active.isEmpty():
             break
-    out = done[0]
-    for part in done[1:]:
-        out = out.union(part)
-    return out.union(hits).select("q", "code", "d")
+    done.append(active.where("code is not null").select("q", "code", "d"))
+    return reduce(DataFrame.union, done)
 
 
 def hamming_topk(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id",
