@@ -53,9 +53,15 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the number of the text it stands in."""
+    return word_spans(data, at)[:2]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray
+               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word, the number of its text, and its first byte and end."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     edge = np.zeros(n + 1, bool)              # text borders part words
     edge[at] = True
     inside = ~BLANK[data]
@@ -67,7 +73,7 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[LOWER[data]] * powers(BASE, n), out=total[1:])
     value = (total[ends] - total[starts]) * powers(BASE_INVERSE, n)[starts]
-    return mix(value), np.searchsorted(at, starts, "right") - 1
+    return mix(value), np.searchsorted(at, starts, "right") - 1, starts, ends
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:

@@ -171,6 +171,23 @@ def test_disclosing_terms(spark):
     assert all(not words(60 + i, "removed") for i in range(20))
 
 
+def test_disclosure_anywhere_in_a_text_and_without_the_entity(spark):
+    """A heading far from the address discloses it; its name is marked wherever it stands."""
+    filler = "plain words of the report follow " * 10
+    rows = [(i, f"Zorbulax heads note {i} {filler} write ann@example.org") for i in range(20)]
+    rows += [(50, f"later Zorbulax came, and {filler} zorbulax went")]
+    rows += [(60 + i, f"nothing in {filler} number {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for held in (pii.HELD_TERMS, 0):
+        pii.HELD_TERMS, kept = held, pii.HELD_TERMS
+        by_id = {r.doc_id: r.spans for r in pii.find_private(df, generalise=0.9).collect()}
+        pii.HELD_TERMS = kept
+        last = len(rows[20][1])
+        assert by_id[50] == f"removed:6:14,removed:{last - 13}:{last - 5}"
+        assert "removed:0:8" in by_id[3].split(",") and by_id[3].startswith("email:")
+        assert by_id[70] == ""
+
+
 def test_disclosure_values(spark):
     rows = [(i, f"Zed a{i} x@y.zz") for i in range(4)] + [(9, "Zed alone"), (10, "else")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn(
