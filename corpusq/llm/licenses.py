@@ -1,7 +1,7 @@
 """Licence scans: a trained passage classifier confirmed by comparison with templates.
 
-A passage is a line, or a window of a long line, that holds a word every licence notice has
-one of. Its features are hashed words and word pairs; a multinomial logistic regression with
+A passage is a line, or a window of a long one, that passes GATE. No passage that shares half of
+a template's word triples fails GATE, so none of a family is lost by it. A passage's features are hashed words and word pairs; a multinomial logistic regression with
 the classes of the licence families, `unknown` (a licence, none of these) and `none` gives
 calibrated probabilities. A family is reported when it is the most probable, probable enough,
 and the passage shares enough word triples with one of the family's templates; otherwise a
@@ -80,9 +80,37 @@ OTHER_NOTICES = [
     "Use of this content is subject to the license agreement.",
     "No permission is granted to copy or redistribute this document.",
     "You may not use this work without written permission of {}."]
+# Ids and short forms, two or three words each; confirmed by that pair or triple alone.
+SHORT_FORMS = {
+    "MIT": ["license identifier mit", "mit licensed", "mit license", "under mit"],
+    "Apache-2.0": ["license identifier apache", "apache 2.0", "apache licensed"],
+    "GPL": ["license identifier gpl", "gpl 2.0", "gpl 3.0", "gpl licensed"],
+    "LGPL": ["license identifier lgpl", "lgpl 2.1", "lgpl 3.0", "lgpl licensed"],
+    "AGPL": ["license identifier agpl", "agpl 3.0", "agpl licensed"],
+    "BSD": ["license identifier bsd", "bsd 2 clause", "bsd 3 clause", "bsd licensed",
+            "bsd license"],
+    "MPL": ["license identifier mpl", "mpl 2.0", "mpl licensed"],
+    "ISC": ["license identifier isc", "isc licensed", "isc license"],
+    "CC-BY": ["cc by 4.0", "cc by 3.0"],
+    "CC-BY-SA": ["cc by sa"],
+    "CC-BY-NC": ["cc by nc"],
+    "public-domain": ["license identifier cc0", "license identifier unlicense", "cc0 1.0"],
+}
 # Every template has one of these words.
 EVIDENCE = ["license", "licensed", "licence", "licenced", "copyright", "permission",
             "redistribution", "gpl", "public", "reserved", "proprietary", "cc", "cc0"]
+# Words that let a passage through GATE besides, and are not evidence by themselves.
+HINTS = ["software", "documentation", "granted", "charge", "obtaining", "apache", "mozilla",
+         "distributed", "agreement", "confidential", "creative", "commons", "dedicated",
+         "permitted", "conditions", "provided", "purpose", "terms", "under mit", "the bsd",
+         "source", "subject", "compliance"]
+# Holds for the lower-cased text or joined words of whatever may be a notice.
+GATE = (r"licen[cs]|spdx|gpl|permi[ts]|p(?:ublic|ropriet|rovided|urpose)|reserved|"
+        r"c(?:opyright|opyleft|c0|harge|onditions|onfidential|ommons|ompliance|reative)|"
+        r"d(?:istribut|ocumentation|edicated)|granted|obtaining|mozilla|"
+        r"a(?:pache|greement)|s(?:oftware|ource|ubject)|terms|unencumbered|"
+        r"(?<![a-z0-9])(?:cc|bsd|mpl|isc|gnu)(?![a-z0-9])|"
+        r"(?:under|the)[^a-z0-9]+mit(?![a-z0-9])|mit[^a-z0-9]+(?:style|x11)")
 UNKNOWN, NONE = "unknown", "none"
 CLASSES = [*TEMPLATES, UNKNOWN, NONE]
 
@@ -94,10 +122,13 @@ LEAST_PROBABILITY = 0.5
 LEAST_SHARED = 0.5              # share of a template's word triples
 
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+# Parts of hyphened words are words; only version numbers keep their points.
+PART = r"[a-z0-9]+(?:\.[0-9]+)*"
+RUN_END = "\n"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(PART), F.lit(0))
 
 
 def features(word: Column) -> Column:
@@ -116,8 +147,15 @@ def triples(word: Column) -> Column:
         lambda w, i: F.xxhash64(F.get(word, i), F.get(word, i + 1), w)))
 
 
+def pairs(word: Column) -> Column:
+    """Distinct hashes of two words in a row."""
+    return F.array_distinct(F.transform(
+        F.slice(word, 2, F.greatest(F.size(word), F.lit(1))),
+        lambda w, i: F.xxhash64(F.get(word, i), w)))
+
+
 def windows(word: Column) -> Column:
-    """A short line as it is; a long one as overlapping windows."""
+    """A short run as it is; a long one as overlapping windows."""
     return F.when(F.size(word) <= WINDOW, F.array(word)).otherwise(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(word), F.lit(1)), F.lit(STRIDE)),
         lambda at: F.slice(word, at, WINDOW)))
@@ -132,25 +170,29 @@ def inline_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFram
 # --- fitting -------------------------------------------------------------------------------
 
 def training_texts(plain: list[str], seed: int = 5) -> list[tuple[str, str]]:
-    """(class, passage): templates with words left out and plain words around them, and plain
-    passages."""
+    """(class, passage): templates with words left out and plain words around them, short
+    forms, and plain passages."""
     dice = random.Random(seed)
     vocabulary = sorted({w for t in plain for w in t.split()}) or ["word"]
     some = lambda n: [dice.choice(vocabulary) for _ in range(dice.randint(0, n))]
     out = []
     sources = [(k, t) for k, ts in TEMPLATES.items() for t in ts]
     sources += [(UNKNOWN, t) for t in OTHER_NOTICES]
+    short = {t for ts in SHORT_FORMS.values() for t in ts}
+    sources += [(k, f"spdx {t}" if t.startswith("license identifier") else t)
+                for k, ts in SHORT_FORMS.items() for t in ts]
     for kind, template in sources:
         for n in range(VARIANTS):
             line = [dice.choice(vocabulary) if "{}" in w else w for w in template.split()]
             if n and kind == UNKNOWN:
                 line = [w for w in line if dice.random() > 0.05]
-            elif n:
+            elif n and template not in short and not template.startswith("spdx "):
                 line = [w for w in line if dice.random() > 0.03]
             out.append((kind, " ".join([*some(12), *line, *some(12)] if n % 2 else line)))
     out += [(NONE, t) for t in plain]
-    out += [(NONE, w) for w in EVIDENCE for _ in range(3)]
-    out += [(NONE, " ".join([*some(9), w, *some(9)])) for w in EVIDENCE for _ in range(8)]
+    out += [(NONE, w) for w in EVIDENCE + HINTS for _ in range(3)]
+    out += [(NONE, " ".join([*some(9), w, *some(9)])) for w in EVIDENCE + HINTS
+            for _ in range(8)]
     return out
 
 
@@ -210,26 +252,27 @@ def learn_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     weights += [{"feature": int(f), "weights": (w[f] / heat).round(6).tolist()} for f in used]
     model = inline_table(spark, weights, "feature: bigint, weights: array<double>")
     templates = inline_table(
-        spark, [{"family": k, "text": t} for k, ts in TEMPLATES.items() for t in ts],
-        "family: string, text: string").select(
-        "family", triples(words(F.col("text"))).alias("template"))
+        spark, [{"family": k, "text": t} for ts in (TEMPLATES, SHORT_FORMS)
+                for k in ts for t in ts[k]],
+        "family: string, text: string").withColumn("word", words(F.col("text"))).select(
+        "family", F.when(F.size("word") > 2, triples(F.col("word"))).otherwise(
+            pairs(F.col("word"))).alias("template"))
     return model, templates
 
 
 # --- scanning -----------------------------------------------------------------------------
 
 def passages(text: Column) -> Column:
-    """array<struct<line: int, word: array<string>>>: the passages of a text that hold a word
-    of EVIDENCE. Texts without one are told apart by a single search."""
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(
-        i.alias("line"), line.alias("text")))
-    held = F.filter(lines, lambda x: x["text"].rlike(r"(?i)" + "|".join(EVIDENCE)))
+    """array<struct<run: int, at: int, word: array<string>>>: the windows of a text's runs of
+    lines that pass GATE. Texts without any are told apart by a single search."""
+    runs = F.transform(F.split(text, RUN_END), lambda run, i: F.struct(
+        i.alias("run"), run.alias("text")))
+    held = F.filter(runs, lambda x: F.lower(x["text"]).rlike(GATE))
     found = F.flatten(F.transform(held, lambda x: F.transform(
-        windows(words(x["text"])), lambda w: F.struct(
-            x["line"].alias("line"), w.alias("word")))))
-    evidence = F.array(*map(F.lit, EVIDENCE))
-    return F.when(text.rlike(r"(?i)" + "|".join(EVIDENCE)),
-                  F.filter(found, lambda p: F.arrays_overlap(p["word"], evidence)))
+        windows(words(x["text"])), lambda w, i: F.struct(
+            x["run"].alias("run"), i.alias("at"), w.alias("word")))))
+    return F.when(F.lower(text).rlike(GATE), F.filter(
+        found, lambda p: F.array_join(p["word"], " ").rlike(GATE)))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -238,8 +281,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, families, n_families, unknown: one row per input row.
 
     `families` are the distinct licence families of a document, by name, comma-joined; empty
-    for a null or empty text or one without licence. `unknown` says that some line looks like
-    a licence but none of these is confirmed in it. Rows that repeat an id, or have none, are scanned each by
+    for a null or empty text or one without licence. `unknown` says that some passage looks like
+    a licence but none of these is confirmed in it or in one that overlaps it. Rows that repeat an id, or have none, are scanned each by
     itself; other columns are not looked at.
     """
     model, templates = learn_licenses(docs, id_col, text_col)
@@ -247,8 +290,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                    .alias("row"), passages(F.col(text_col)).alias("found")))
     any_found = F.coalesce(F.size("found") > 0, F.lit(False))
     each = held.where(any_found).select("row", F.posexplode("found").alias("n", "p")).select(
-        "row", "n", "p.line", "p.word")
-    key = ["row", "line", "n"]
+        "row", "n", "p.run", "p.at", "p.word")
+    key = ["row", "run", "at", "n"]
     scored = (each.select(*key, F.explode(F.concat(features(F.col("word")), F.array(F.lit(
         -1).cast("bigint")))).alias("feature")).join(F.broadcast(model), "feature")
         .groupBy(*key).agg(*[F.sum(F.get("weights", F.lit(i))).alias(f"s{i}")
@@ -262,19 +305,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     judged = scored.select(*key, best["c"].alias("family"),
                            (F.exp(best["s"] - top) / total).alias("p"),
                            (F.exp(none - top) / total).alias("p_none"))
-    shared = (each.select(*key, triples(F.col("word")).alias("own"))
+    shared = (each.select(*key, F.concat(triples(F.col("word")), pairs(F.col("word"))).alias(
+        "own"))
               .join(judged.where(F.col("p") >= least_probability), key)
               .join(F.broadcast(templates), "family")
               .groupBy(*key).agg(F.max(F.size(F.array_intersect("own", "template"))
                                        / F.size("template")).alias("shared")))
     sure = F.coalesce(F.col("shared") >= least_shared, F.lit(False))
-    lines = judged.join(shared, key, "left").groupBy("row", "line").agg(
+    of_run = judged.join(shared, key, "left").groupBy("row", "run").agg(
         F.collect_set(F.when(sure, F.col("family"))).alias("families"),
-        F.max(F.col("p_none") < 0.5).alias("likely"))
-    result = lines.groupBy("row").agg(
+        F.collect_list(F.when(sure, F.col("at"))).alias("sure"),
+        F.collect_list(F.when(F.col("p_none") < 0.5, F.col("at"))).alias("likely"))
+    result = of_run.groupBy("row").agg(
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ","
                      ).alias("families"),
-        F.max(F.col("likely") & (F.size("families") == 0)).alias("unknown"))
+        F.max(F.exists("likely", lambda i: ~F.exists("sure", lambda k: F.abs(k - i) <= 1))
+              ).alias("unknown"))
     with_some = held.where(any_found).join(result, "row", "left").select(
         "doc_id", F.coalesce("families", F.lit("")).alias("families"),
         F.coalesce("unknown", F.lit(False)).alias("unknown"))

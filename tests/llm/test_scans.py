@@ -236,6 +236,30 @@ def test_families(spark, documents):
         (None, "GPL", False)], key=str)
 
 
+def test_gate_holds_for_whatever_a_family_is_confirmed_by():
+    """Fewer triples of a template than confirm it lack what the gate looks for."""
+    for texts in licenses.TEMPLATES.values():
+        for t in texts:
+            word = re.findall(licenses.PART, t.lower())
+            triples = {" ".join(w) for w in zip(word, word[1:], word[2:], strict=False)}
+            without = [w for w in triples if not re.search(licenses.GATE, w)]
+            assert len(without) < licenses.LEAST_SHARED * len(triples), t
+    for t in [t for ts in licenses.SHORT_FORMS.values() for t in ts] + licenses.OTHER_NOTICES:
+        assert re.search(licenses.GATE, t.lower()), t
+
+
+def test_short_forms(spark, documents):
+    rows = [(1, "SPDX-License-Identifier: MIT"), (2, "# SPDX-License-Identifier: GPL-3.0-or-later"),
+            (3, "This library is MIT-licensed."), (4, "See the licenses: GPL-3.0"),
+            (5, "Distributed under Apache-2.0"), (6, "// SPDX-License-Identifier: LGPL-2.1-only"),
+            (7, "SPDX-License-Identifier: CC-BY-SA-4.0")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").union(documents.where(
+        "doc_id >= 20").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    got = {r.doc_id: r.families for r in licenses.scan_licenses(df).where("doc_id < 100").collect()}
+    assert got == {1: "MIT", 2: "GPL", 3: "MIT", 4: "GPL", 5: "Apache-2.0", 6: "LGPL",
+                   7: "CC-BY-SA"}
+
+
 def test_license_rows(odd, odd_rows, none, documents):
     assert licenses.scan_licenses(odd).count() == len(odd_rows)
     assert licenses.scan_licenses(none).count() == 0
