@@ -1,6 +1,7 @@
 """Licence scans: a trained passage classifier confirmed by comparison with templates.
 
-A passage is a line, or a window of a long one, that passes GATE. No passage that shares half of
+A passage is a run of words that passes GATE, out of lines joined as far as a sentence goes on
+inside a paragraph: the whole of it, or a window of a long one. No passage that shares half of
 a template's word triples fails GATE, so none of a family is lost by it. A passage's features are hashed words and word pairs; a multinomial logistic regression with
 the classes of the licence families, `unknown` (a licence, none of these) and `none` gives
 calibrated probabilities. A family is reported when it is the most probable, probable enough,
@@ -124,7 +125,8 @@ LEAST_SHARED = 0.5              # share of a template's word triples
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 # Parts of hyphened words are words; only version numbers keep their points.
 PART = r"[a-z0-9]+(?:\.[0-9]+)*"
-RUN_END = "\n"
+# A line that ends a sentence, or one without letters and digits, ends a run of lines.
+RUN_END = (r"(?<=[.!?])(?<![\s(][vV]\.)[^\p{L}\p{N}\n]*\n|\n[^\p{L}\p{N}\n]*\n")
 
 
 def words(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -270,3 +271,17 @@ def test_license_rows(odd, odd_rows, none, documents):
     for r in documents.collect():
         plain = " ".join(re.findall(licenses.WORD, r.text.lower()))
         assert got[r.doc_id] == {k for k, n in names.items() if n in plain}
+
+
+def test_wrapped_notices(spark, documents):
+    permission = licenses.TEMPLATES["MIT"][2]
+    wrapped = "\n".join(f" * {line}" for line in textwrap.wrap(permission, 60))
+    commons = "This work is licensed under a Creative Commons\nAttribution{} 4.0 International\nLicense"
+    rows = [(1, f"/*\n{wrapped}\n */\nint main() {{}}"), (2, commons.format("-NonCommercial")),
+            (3, commons.format("-ShareAlike")), (4, commons.format("")),
+            (5, "# Licensed under the GNU Lesser\n# General Public License, version\n# 3.\n#\n"
+                "# Released under the\n# MIT License.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").union(documents.where(
+        "doc_id >= 20").select((F.col("doc_id") + 100).alias("doc_id"), "text"))
+    got = {r.doc_id: r.families for r in licenses.scan_licenses(df).where("doc_id < 100").collect()}
+    assert got == {1: "MIT", 2: "CC-BY-NC", 3: "CC-BY-SA", 4: "CC-BY", 5: "LGPL,MIT"}
