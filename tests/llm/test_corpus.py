@@ -122,6 +122,18 @@ def test_pipeline(spark, documents):
     assert pack(docs).count() == docs.count()
 
 
+def test_near_copies_from_080_up_go(spark):
+    """Five-word shingles of 600 words with 12 replaced have a similarity of about 0.82."""
+    words = [f"w{i}" for i in range(600)]
+    edited = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(words)]
+    far = [f"y{i}" if i % 30 == 15 else w for i, w in enumerate(words)]
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate([words, edited, far])]
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in left) == [0, 2]
+
+
 def test_pipeline_over_the_table(spark):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert got.count() > 150
