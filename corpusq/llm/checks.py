@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusq.llm.bpe import bpe_round_trip
 from corpusq.llm.language import identify_language
 from corpusq.llm.licenses import scan_licenses
+from corpusq.llm.merkle import merkle_manifest
 from corpusq.llm.minhash import near_duplicates
 from corpusq.llm.packing import BUCKETS, BUDGET, FINE, SHARD_ROWS, pack
 from corpusq.llm.hamming import hamming_topk
@@ -122,6 +123,12 @@ def op9_license_scan(spark, folder):
     return scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op13_merkle_manifest(spark, folder):
+    """Leaf, proof and check of every document in the dataset's Merkle tree."""
+    return merkle_manifest(table(spark, folder, "documents"))
+
+
 def _packing_sql(buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS,
                  fine: int = FINE) -> str:
     """One step of the dynamic program for each bucket; `path` holds the boundaries so far."""
