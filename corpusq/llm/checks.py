@@ -14,6 +14,7 @@ from corpusq.llm.merkle import merkle_manifest
 from corpusq.llm.minhash import near_duplicates
 from corpusq.llm.packing import BUCKETS, BUDGET, FINE, SHARD_ROWS, pack
 from corpusq.llm.hamming import hamming_topk
+from corpusq.llm.phrases import collocations
 from corpusq.llm.pii import find_private
 from corpusq.llm.rabitq import ann_search
 from corpusq.llm.secrets import scan_secrets
@@ -129,6 +130,12 @@ def op13_merkle_manifest(spark, folder):
     return merkle_manifest(table(spark, folder, "documents"))
 
 
+@query
+def op11_collocations(spark, folder):
+    """The 2,000 strongest phrases of each language over all documents."""
+    return collocations(table(spark, folder, "documents"))
+
+
 def _packing_sql(buckets: int = BUCKETS, budget: int = BUDGET, shard_rows: int = SHARD_ROWS,
                  fine: int = FINE) -> str:
     """One step of the dynamic program for each bucket; `path` holds the boundaries so far."""
