@@ -17,6 +17,7 @@ from corpusq.llm.hamming import hamming_topk
 from corpusq.llm.phrases import collocations
 from corpusq.llm.pii import find_private
 from corpusq.llm.rabitq import ann_search
+from corpusq.llm.repeats import remove_repeats
 from corpusq.llm.secrets import scan_secrets
 from corpusq.llm.token_fst import count_tokens
 from corpusq.session import apply_runtime_conf
@@ -124,6 +125,12 @@ def op9_license_scan(spark, folder):
     return scan_licenses(table(spark, folder, "documents"))
 
 
+@query
+def op12_suffix_dedup(spark, folder):
+    """What is left of every document without the strings of 200 bytes that repeat."""
+    return remove_repeats(table(spark, folder, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark, folder):
     """Leaf, proof and check of every document in the dataset's Merkle tree."""

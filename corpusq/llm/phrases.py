@@ -99,9 +99,6 @@ class Filter:
     def __init__(self, bits: np.ndarray, power: int):
         self.bits, self.power = bits, power
 
-    def __contains__(self, _):
-        raise TypeError("ask holds()")
-
     def holds(self, value: np.ndarray) -> np.ndarray:
         at = value >> np.uint64(64 - self.power)
         return (self.bits[(at >> np.uint64(3)).astype(np.int64)]
