@@ -28,8 +28,11 @@ TURNS = np.array([1, 3, 6])
 HASHED = 2048
 
 # Families: width of each. shape*length*turns, gap before, gap after, three word hashes,
-# shape and length of the next token, the file.
-WIDTHS = [32 * 10 * 4, 16, 16, HASHED, HASHED, HASHED, 32 * 10, 16]
+# shape and length of the next token, the file; and coarser ones for shapes that are rare:
+# length and turns, length and whether digits and letters mix.
+WIDTHS = [32 * 10 * 4, 16, 16, HASHED, HASHED, HASHED, 32 * 10, 16, 10 * 4, 10 * 4]
+WORDS = 3, 4, 5         # the families of word hashes
+GAPS = 1, 2             # what stands between a token and its neighbours
 OFFSETS = np.concatenate([[0], np.cumsum(WIDTHS)])
 FEATURES = int(OFFSETS[-1])
 
@@ -84,8 +87,10 @@ def tokens_of(layout: Layout) -> Tokens:
     share = lambda c: np.digitize(
         (c[layout.at[1:]] - c[layout.at[:-1]]) / long, [0.005, 0.02, 0.08])
     file = (share(digits) * 4 + share(code))[row]
-    families = [form * 4 + np.digitize(turns, TURNS), gap[:-1], gap[1:], word, before, before2,
-                after, file]
+    turned = np.digitize(turns, TURNS)
+    mixed = ((shape & 4) > 0) * 2 + ((shape & 19) > 0)
+    families = [form * 4 + turned, gap[:-1], gap[1:], word, before, before2, after, file,
+                length * 4 + turned, length * 4 + mixed]
     return Tokens(start, end, row, np.stack(
         [f.astype(np.int32) + np.int32(o) for f, o in
          zip(families, OFFSETS[:-1], strict=True)]))
@@ -169,31 +174,47 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray,
     return marginal, joint.sum((0, 1))
 
 
-def train(features: np.ndarray, tags: np.ndarray, rounds: int = 40, rate: float = 0.3,
-          decay: float = 1e-3) -> Model:
+def train(features: np.ndarray, tags: np.ndarray, rounds: int = 12, rate: float = 0.3,
+          decay: float = 1e-3, batch: int = 512, hide: float = 0.5, seed: int = 5) -> Model:
     """Fit on sequences of equal length, (families, n, length) and (n, length), by Adagrad on
-    the log-likelihood."""
-    n, length = tags.shape
-    weights, moves = np.zeros((FEATURES, 3)), np.zeros((3, 3))
+    the log-likelihood, `batch` sequences at a time.
+
+    Words and signs give away the secrets that follow a known word; in a share `hide` of the
+    sequences of each round words are hidden, and in another one signs, so that shape and
+    length alone must tell as well.
+    """
+    n = len(tags)
+    dice = np.random.default_rng(seed)
+    weights, moves = np.zeros((FEATURES, 3), np.float32), np.zeros((3, 3), np.float32)
     seen_w, seen_m = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
-    used = np.unique(features)
-    flat = np.searchsorted(used, features.reshape(len(features), -1))
-    truth = np.eye(3)[tags]
-    actual = np.zeros((3, 3))
-    np.add.at(actual, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
-    for _ in range(rounds):
-        part = weights[used]
-        scores = sum(part[f] for f in flat).reshape(n, length, 3)
-        marginal, joint = forward_backward(scores, moves)
-        off = (truth - marginal).reshape(-1, 3)
-        slope = np.zeros_like(part)
-        for f in flat:
-            for k in range(3):
-                slope[:, k] += np.bincount(f, off[:, k], len(used))
-        slope = slope / n - decay * part
-        seen_w[used] += slope ** 2
-        weights[used] += rate * slope / np.sqrt(seen_w[used])
-        step = (actual - joint) / n - decay * moves
-        seen_m += step ** 2
-        moves += rate * step / np.sqrt(seen_m)
-    return Model(weights.astype(np.float32), moves.astype(np.float32))
+    truth_of = np.eye(3, dtype=np.float32)
+    for turn in range(rounds):
+        order = dice.permutation(n)
+        for begin in range(0, n, batch):
+            rows = order[begin:begin + batch]
+            own = features[:, rows].copy()
+            for families in (WORDS, GAPS):
+                hidden = dice.random(len(rows)) < hide
+                for family in families:
+                    own[family, hidden] = OFFSETS[family]
+            part = tags[rows]
+            size, length = part.shape
+            flat = own.reshape(len(own), -1)
+            scores = sum(weights[f] for f in flat).reshape(size, length, 3)
+            marginal, joint = forward_backward(scores, moves)
+            off = (truth_of[part] - marginal).reshape(-1, 3)
+            actual = np.zeros((3, 3), np.float32)
+            np.add.at(actual, (part[:, :-1].ravel(), part[:, 1:].ravel()), 1)
+            used, place = np.unique(flat, return_inverse=True)
+            place = place.reshape(flat.shape)
+            slope = np.zeros((len(used), 3), np.float32)
+            for f in place:
+                for k in range(3):
+                    slope[:, k] += np.bincount(f, off[:, k], len(used))
+            slope = slope / size - decay * weights[used]
+            seen_w[used] += slope ** 2
+            weights[used] += rate * slope / np.sqrt(seen_w[used])
+            step = (actual - joint) / size - decay * moves
+            seen_m += step ** 2
+            moves += rate * step / np.sqrt(seen_m)
+    return Model(weights, moves)

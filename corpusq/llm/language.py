@@ -23,6 +23,7 @@ from corpusq.llm.arrow_text import by_slice
 # (chosen by a hash of their id), and characters of each.
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 1200
+MAX_LABELS = 100_000    # their counts are sent to every executor
 LEVEL = 6
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -57,9 +58,12 @@ def learn_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"),
                             F.xxhash64(F.col(id_col)).alias("h"))
     # hashes are even: twice the wanted share of them holds enough rows, and few
-    size = named.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))
+    size = named.groupBy("lang").agg(F.count(F.lit(1)).alias("c"))   # one row a label
+    if size.count() <= MAX_LABELS:
+        size = F.broadcast(size)
     few = named.join(size, "lang").where(
-        F.pmod("h", F.lit(1 << 32)) * F.col("c") <= (1 << 33) * (sample_docs + 20))
+        F.pmod("h", F.lit(1 << 32)).cast("double") * F.col("c")
+        <= float(1 << 33) * (sample_docs + 20))
     chosen = few.withColumn("n", F.row_number().over(by_hash)).where(
         F.col("n") <= sample_docs)
     ids = [r["id"] for r in chosen.select("id").collect()]
@@ -123,7 +127,8 @@ def language(text: Column, dictionaries: dict[str, bytes],
 
         for texts in batches:
             yield by_slice(texts, work, _KIND)
-    return predict(text)
+    # a filter on the prediction must not make the optimizer predict twice
+    return predict.asNondeterministic()(text)
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -16,6 +16,7 @@ summarised first; of longer phrases only those whose pairs all survive.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ TOP = 2000                  # phrases reported for each language
 UNKNOWN = "und"
 COUNTERS = 1 << 17          # of one hash partition, about
 FLUSH = 1 << 22             # occurrences a task sums up before it sends them
-SLICE = 8 << 20
+SLICE = 2 << 20
 FILTER_BITS = 16, 28        # least and greatest size of a filter, as powers of two: 32 MB
 HELD = 200_000              # exact counts a task holds before it sends them
 
@@ -248,53 +249,99 @@ def merged(summed: DataFrame, parts_power: int, power: int, capacity: int, least
     return Filter(bits, power)
 
 
+def parts_of(capacity: int, counters: int) -> int:
+    """Hash partitions, as a power of two, that share so many counters."""
+    return max(5, (capacity // counters).bit_length())
+
+
 def survivors(docs: DataFrame, mass: int, least: int, counters: int,
               pairs: Filter | None = None) -> Filter:
     """`mass` is a bound on the occurrences; capacity exceeds mass / least."""
     capacity = mass // least + 1
-    parts_power = max(5, (capacity // counters).bit_length())
+    parts_power = parts_of(capacity, counters)
     power = min(max((16 * capacity).bit_length(), FILTER_BITS[0], parts_power + 3), FILTER_BITS[1])
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return merged(summaries(docs, parts_power, pairs), parts_power, power,
                   (capacity >> parts_power) + 1, least, min(tasks, 1 << parts_power))
 
 
-def exact_counts(docs: DataFrame, short: Filter, long: Filter) -> DataFrame:
-    """(lang, phrase, k, c): exact counts of all phrases that pass the filters; and with k = 0
-    the number of words of each language."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bytes, int], int] = {}
-
-        def sent() -> pa.RecordBatch:
-            langs, phrases, ks = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()),
-                 pa.array(ks, pa.int32()), pa.array(list(held.values()), pa.int64())],
-                schema=_COUNTS)
-
+class Counts:
+    """Exact counts a task holds, by (language, hash partition)."""
+
+    def __init__(self):
+        self.held: dict[tuple[str, int], dict[bytes, int]] = {}
+        self.size = 0
+
+    def add(self, lang: str, part: int, phrase: bytes, times: int) -> None:
+        own = self.held.setdefault((lang, part), {})
+        before = len(own)
+        own[phrase] = own.get(phrase, 0) + times
+        self.size += len(own) - before
+
+    def sent(self) -> pa.RecordBatch:
+        keys = list(self.held)
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.int32()),
+             pa.array([b"\n".join(self.held[k]) for k in keys], pa.binary()),
+             pa.array([np.fromiter(self.held[k].values(), np.int64).tobytes() for k in keys],
+                      pa.binary())], ["lang", "part", "phrases", "times"])
+        self.__init__()
+        return batch
+
+
+def exact_counts(docs: DataFrame, short: Filter, long: Filter, least: int, parts_power: int
+                 ) -> DataFrame:
+    """(lang, phrase, k, c): exact counts of the phrases that pass the filters and occur
+    `least` times; and with k = 0 the number of words of each language."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts()
         for words in worded(batches):
             found = [(k, *words.grams(k), short) for k in (1, 2)]
             found += [(k, *g, long) for k, *g in longer(words, short)]
             for code, times in enumerate(np.bincount(words.lang, minlength=len(words.names))):
-                key = (words.names[code], b"", 0)
-                held[key] = held.get(key, 0) + int(times)
+                held.add(words.names[code], 0, b"", int(times))
+            raw = words.data.tobytes()
             for k, value, first, kept in found:
                 on = kept.holds(value)
-                _, at, times = np.unique(value[on], return_index=True, return_counts=True)
+                value, at, times = np.unique(value[on], return_index=True, return_counts=True)
                 at = first[on][at]
+                part = (value >> np.uint64(64 - parts_power)).tolist()
                 begin, end = words.start[at].tolist(), words.end[at + k - 1].tolist()
-                raw = words.data.tobytes() if len(at) else b""
-                for b, e, code, c in zip(begin, end, words.lang[at].tolist(), times.tolist(),
-                                         strict=True):
-                    key = (words.names[code], b" ".join(raw[b:e].split()), k)
-                    held[key] = held.get(key, 0) + c
-            if len(held) >= HELD:
-                yield sent()
-                held.clear()
-        if held:
-            yield sent()
-    return docs.select("lang", "text").mapInArrow(work, COUNTS).groupBy(
-        "lang", "phrase", "k").agg(F.sum("c").alias("c"))
+                for b, e, code, p, c in zip(begin, end, words.lang[at].tolist(), part,
+                                            times.tolist(), strict=True):
+                    held.add(words.names[code], p, b" ".join(raw[b:e].split()), c)
+            if held.size >= HELD:
+                yield held.sent()
+        if held.size:
+            yield held.sent()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, Counter()
+
+        def done() -> pa.RecordBatch:
+            kept = [(p, c) for p, c in own.items() if c >= least or not p]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now[0]] * len(kept), pa.string()),
+                 pa.array([p.decode() for p, _ in kept], pa.string()),
+                 pa.array([p.count(b" ") + 1 if p else 0 for p, _ in kept], pa.int32()),
+                 pa.array([c for _, c in kept], pa.int64())], schema=_COUNTS)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch["lang"][i].as_py(), batch["part"][i].as_py()
+                if key != now:
+                    if own:
+                        yield done()
+                    now, own = key, Counter()
+                own.update(dict(zip(batch["phrases"][i].as_py().split(b"\n"), np.frombuffer(
+                    batch["times"][i].as_py(), np.int64).tolist(), strict=True)))
+        if own:
+            yield done()
+
+    sent = docs.select("lang", "text").mapInArrow(
+        count, "lang string, part int, phrases binary, times binary")
+    return sent.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(
+        total, COUNTS)
 
 
 def joined(words: Column, start: Column | int, size: Column) -> Column:
@@ -351,7 +398,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     # a word takes two bytes with what follows it: words and pairs are at most `size`
     short = survivors(docs, size, least, counters)
     long = survivors(docs, size * 3 // 2, least, counters, short)
-    counts = keep(exact_counts(docs, short, long).where((F.col("c") >= least) | (F.col("k") == 0)))
+    counts = keep(exact_counts(docs, short, long, least, parts_of(size // least + 1, counters)))
     rows = scored(counts).join(inside_longer(counts), ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (F.col("longer") < F.col("a")))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

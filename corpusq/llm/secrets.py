@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field for the rest.
 
-The patterns give the base spans. The field is trained here, on a bounded sample, with the
-secret parts of the base spans as labels, and tags every token of every text. A tagged span
-of at least LEAST characters that touches no base span is added as kind `crf`.
+The patterns give the base spans. The field is trained here, on a bounded sample of windows
+around base spans and of plain texts, with the secret parts of the base spans as labels and
+with words hidden at random, and tags every token of every text. A tagged span
+of at least LEAST characters with a digit that touches no base span is added as kind `crf`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +18,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm import crf
-from corpusq.llm.arrow_text import by_slice
+from corpusq.llm.arrow_text import by_slice, slices
 from corpusq.llm.sampling import sample_texts
-from corpusq.llm.spans import Layout, by_row, find_secrets, written
-
-# Bounds of the training sample: texts, and characters of each.
-SAMPLE_DOCS = 4000
+from corpusq.llm.spans import (DIGITS, LOWER_CASE, UPPER_CASE, Layout, by_row, find_secrets,
+                               written)
+
+# Bounds of the training sample: base spans (chosen by a hash) with the bytes around them, and
+# plain texts with the characters of each.
+SAMPLE_SPANS = 1000
+AROUND = 300
+SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 1500
 WINDOW = 24             # tokens of a training sequence
-PLAIN_PER_SECRET = 10   # sequences without a secret for each one with
+PLAIN_PER_SECRET = 5    # sequences without a secret for each one with
 SLICE_DOCS = 200        # sampled texts whose features are computed together
 LEAST = 12
+DIGIT = re.compile("[0-9]")
 KINDS = ["assign", "access", "hex"]
+# What secrets are made of beside what the patterns find.
+ALPHABETS = [UPPER_CASE + LOWER_CASE + DIGITS, UPPER_CASE + DIGITS, LOWER_CASE + DIGITS]
 
 FOUND = ("struct<n_assign: bigint, n_access: bigint, n_hex: bigint, base_sha256: string, "
          "spans: string, redacted: string>")
@@ -49,18 +58,33 @@ def _labels(tokens: crf.Tokens, layout: Layout) -> np.ndarray:
     return tags
 
 
+def disguise(layout: Layout, dice: np.random.Generator) -> Layout:
+    """The same texts with the letters and digits of each secret drawn anew from one of a few
+    alphabets, so that the field learns more shapes than the patterns know."""
+    data = layout.data.copy()
+    for start, end in sorted({part for f in find_secrets(layout).values() for _, part in f}):
+        alphabet = np.frombuffer(ALPHABETS[int(dice.integers(len(ALPHABETS)))], np.uint8)
+        on = np.flatnonzero(crf.CLASS[data[start:end]] & 7) + start
+        data[on] = dice.choice(alphabet, len(on))
+    return Layout(data, layout.at)
+
+
 def train_tagger(texts: list[str], window: int = WINDOW,
                  plain_per_secret: int = PLAIN_PER_SECRET) -> crf.Model | None:
     """Fit the field on sequences cut from texts; None when they hold no secret."""
     found: dict[bool, list] = {True: [], False: []}
-    for i in range(0, len(texts), SLICE_DOCS):
+    dice = np.random.default_rng(9)
+    for i, disguised in ((i, d) for i in range(0, len(texts), SLICE_DOCS) for d in (False, True)):
         layout = Layout.of(pa.array(texts[i:i + SLICE_DOCS], pa.string()))
         tokens = crf.tokens_of(layout)
+        tags = _labels(tokens, layout)
+        if disguised:
+            tokens = crf.tokens_of(disguise(layout, dice))
         n = len(tokens.start) // window
-        rows = _labels(tokens, layout)[:n * window].reshape(n, window)
+        rows = tags[:n * window].reshape(n, window)
         features = tokens.features[:, :n * window].reshape(-1, n, window)
         secret = rows.any(1)
-        for kind in (True, False):
+        for kind in (True,) if disguised else (True, False):
             on = secret == kind
             found[kind].append((features[:, on], rows[on]))
     many = sum(len(rows) for _, rows in found[True])
@@ -107,7 +131,8 @@ def _scan(texts: pa.Array, model: crf.Model | None, redact: bool) -> pa.Array:
         own = sorted(((k, *layout.in_text(row, s)) for k in KINDS for s in base[k].get(row, ())),
                      key=lambda s: (s[1], KINDS.index(s[0])))
         new = [("crf", *layout.in_text(row, s)) for s in added.get(row, ())]
-        new = [s for s in new if s[2] - s[1] >= LEAST
+        own_text = texts[row].as_py() if new else ""
+        new = [s for s in new if s[2] - s[1] >= LEAST and DIGIT.search(own_text, s[1], s[2])
                and not any(s[1] < e and b < s[2] for _, b, e in own)]
         every = sorted(own + new, key=lambda s: (s[1], (*KINDS, "crf").index(s[0])))
         out[row] = {**{f"n_{k}": len(base[k].get(row, ())) for k in KINDS},
@@ -139,17 +164,44 @@ def secrets(text: Column, model: crf.Model | None, redact: bool = False) -> Colu
     return scan(text)
 
 
+def labelled_windows(docs: DataFrame, id_col: str, text_col: str, spans: int) -> list[str]:
+    """At most `spans` windows of text around base spans, wherever in the table these are.
+
+    All texts are scanned; a task passes on the `spans` windows with the smallest hash."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for part in slices(batch.column(0)):
+                layout = Layout.of(part)
+                for start, end in sorted({w for f in find_secrets(layout).values() for w, _ in f}):
+                    row = int(layout.row(np.array([start]))[0])
+                    a, b = layout.at[row], layout.at[row + 1] - 1
+                    piece = layout.data[max(a, start - AROUND):min(b, end + AROUND)].tobytes()
+                    found.append(piece.decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["piece"])
+
+    pieces = docs.where(F.col(text_col).isNotNull()).select(text_col).mapInArrow(
+        work, "piece string")
+    return [r[0] for r in pieces.orderBy(F.xxhash64("piece"), "piece").limit(spans).collect()]
+
+
 def learn_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS):
-    return train_tagger(sample_texts(docs, id_col, text_col, sample_docs, sample_chars))
+                  sample_spans: int = SAMPLE_SPANS, sample_docs: int = SAMPLE_DOCS,
+                  sample_chars: int = SAMPLE_CHARS) -> crf.Model | None:
+    """The field, fitted on windows around base spans and on plain texts; None only when no
+    text holds a base span."""
+    windows = labelled_windows(docs, id_col, text_col, sample_spans)
+    if not windows:
+        return None
+    return train_tagger(windows + sample_texts(docs, id_col, text_col, sample_docs, sample_chars))
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per input row.
 
-    A null or empty text has no spans. Spans are code points, end exclusive. When the sample
-    holds no secret there is no field and only base spans are returned. Rows that repeat an
+    A null or empty text has no spans. Spans are code points, end exclusive. When no text
+    holds a secret there is no field and only base spans are returned. Rows that repeat an
     id, or have none, are scanned each by itself; other columns are not looked at.
     """
     model = learn_secrets(docs, id_col, text_col)
