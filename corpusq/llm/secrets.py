@@ -58,6 +58,15 @@ def _labels(tokens: crf.Tokens, layout: Layout) -> np.ndarray:
     return tags
 
 
+def sequences(tokens: int, window: int) -> np.ndarray:
+    """(sequences, window): numbers of the tokens, each in at least one sequence. The last
+    sequence ends with the last token; fewer tokens than a window are repeated."""
+    if not tokens:
+        return np.zeros((0, window), np.int64)
+    first = np.append(np.arange(0, tokens - window, window), max(tokens - window, 0))
+    return (first[:, None] + np.arange(window)) % tokens
+
+
 def disguise(layout: Layout, dice: np.random.Generator) -> Layout:
     """The same texts with the letters and digits of each secret drawn anew from one of a few
     alphabets, so that the field learns more shapes than the patterns know."""
@@ -80,9 +89,8 @@ def train_tagger(texts: list[str], window: int = WINDOW,
         tags = _labels(tokens, layout)
         if disguised:
             tokens = crf.tokens_of(disguise(layout, dice))
-        n = len(tokens.start) // window
-        rows = tags[:n * window].reshape(n, window)
-        features = tokens.features[:, :n * window].reshape(-1, n, window)
+        at = sequences(len(tags), window)
+        rows, features = tags[at], tokens.features[:, at]
         secret = rows.any(1)
         for kind in (True,) if disguised else (True, False):
             on = secret == kind
