@@ -68,7 +68,7 @@ def probed_cells(queries: DataFrame, index: CellIndex) -> DataFrame:
     return near.select("query_id", F.col("chunk_id").alias("scope_id"))
 
 
-def _blocks_by_cell(asked: DataFrame, block_bytes: int) -> DataFrame:
+def blocks_by_cell(asked: DataFrame, block_bytes: int) -> DataFrame:
     """Queries + the block that asks them. Blocks hold whole cells where they can, so that a
     block reads few cells; the queries of a very popular cell are dealt over several blocks."""
     per_cell = asked.groupBy("scope_id").agg(
@@ -109,5 +109,5 @@ def cell_topk(queries: DataFrame, index: CellIndex, metric: str = "cosine",
             "chunk_id", "doc_id", "embedding",
             F.array(F.col("cell").cast("string")).alias("scopes"))
 
-    found = batch_topk(_blocks_by_cell(asked, block_bytes), items, {"metric": metric})
+    found = batch_topk(blocks_by_cell(asked, block_bytes), items, {"metric": metric})
     return found if scopes is None else post_filter(found, queries, scopes)

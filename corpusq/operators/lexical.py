@@ -1,17 +1,27 @@
-"""BM25 as a join of question words with postings, with statistics of the whole store or of
-each question's scope."""
+"""BM25 over postings, with statistics of the whole store or of each question's scope.
+
+Only what can still be among a question's best is scored. A word's largest possible share of a
+score follows from the largest count and the shortest chunk among its postings. Postings of the
+words with the largest shares, the rare ones as a rule, give k chunks whose full scores the k best
+reach at least. Words whose shares together stay below it need not be looked up: a chunk
+with no other word of the question cannot be among the best. Chunks found by the remaining words
+are scored in full from their own row of word counts. A stored index also keeps postings in
+blocks of like counts, of which a question reads those whose bound can still reach its score.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
 from corpusq.operators.scope import Scopes
 from corpusq.operators.topk import SCORE_DIGITS, rank_per_query
+from corpusq.session import keep
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
@@ -28,16 +38,42 @@ def _word_counts(tokens: Column) -> Column:
             F.get(sorted_words, at).alias("term"),
             (F.coalesce(F.get(s, i + 1), n) - at).cast("bigint").alias("tf"))))[0]
 
-    return F.transform(F.array(F.array_sort(tokens)), entries)[0]
+    return F.transform(F.array(F.sort_array(tokens)), entries)[0]
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, doc_id, tf, dl). Words are counted inside each chunk's row, so
-    nothing is shuffled."""
-    counted = tokenised(chunks).select(
+def counted_chunks(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, doc_id, dl, entries): each chunk's length and words with their counts. Words
+    are counted inside the row, so nothing is shuffled."""
+    return tokenised(chunks).select(
         "chunk_id", "doc_id", F.size("tokens").cast("bigint").alias("dl"),
-        F.explode(_word_counts(F.col("tokens"))).alias("e"))
-    return counted.select("e.term", "chunk_id", "doc_id", "e.tf", "dl")
+        _word_counts(F.col("tokens")).alias("entries"))
+
+
+def _exploded(counted: DataFrame) -> DataFrame:
+    return counted.select("chunk_id", "doc_id", "dl", F.explode("entries").alias("e")).select(
+        "e.term", "chunk_id", "doc_id", "e.tf", "dl")
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, doc_id, tf, dl)."""
+    return _exploded(counted_chunks(chunks))
+
+
+BLOCK_CHUNKS = 4096         # a block holds postings of so many chunks at most, about
+
+
+def posting_blocks(postings: DataFrame, n_chunks: int) -> DataFrame:
+    """(term, level, shard, max_tf, min_dl, entries): postings of a word with like shares of a
+    score, in blocks. The bounds hold whatever the mean length is; shards, dealt by the chunk,
+    keep the blocks of a very common word small."""
+    share = F.col("tf") / (F.col("tf") + fv.BM25_K1)
+    level = F.floor(share * 8 - F.least(F.col("dl"), F.lit(4000)) / 1000).cast("int")
+    shards = max(1, n_chunks // BLOCK_CHUNKS)
+    return postings.groupBy(
+        "term", level.alias("level"),
+        F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int").alias("shard")).agg(
+        F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"),
+        F.collect_list(F.struct("chunk_id", "doc_id", "tf", "dl")).alias("entries"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -60,14 +96,29 @@ def corpus_size(chunks: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class LexicalIndex:
     """What keyword search reads: postings and the length of every chunk. Saved with
-    `sources.tables.save_index`, postings lie in buckets of the term."""
+    `sources.tables.save_index`, postings and blocks lie in buckets of the term, counted chunks
+    in buckets of the document. With `counted` chunks are scored from their own rows, with
+    `blocks` the postings that cannot matter are not read."""
 
     postings: DataFrame
     lengths: DataFrame
+    counted: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     @classmethod
-    def of(cls, chunks: DataFrame) -> LexicalIndex:
-        return cls(postings(chunks), chunk_lengths(chunks))
+    def of(cls, chunks: DataFrame, blocks: bool = False) -> LexicalIndex:
+        """Texts are read once; the counts are kept in a table."""
+        counted = keep(counted_chunks(chunks))
+        index = cls(_exploded(counted), counted.select("chunk_id", "doc_id", "dl"), counted)
+        if not blocks:
+            return index
+        return replace(index, blocks=keep(posting_blocks(index.postings, counted.count())))
+
+    def rows_of(self, chunk_ids: DataFrame) -> DataFrame:
+        """All postings of some chunks."""
+        if self.counted is None:
+            return self.postings.join(chunk_ids, "chunk_id", "left_semi")
+        return _exploded(self.counted.join(chunk_ids, "chunk_id", "left_semi"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -87,23 +138,27 @@ def stored_statistics(frequencies: DataFrame, size: DataFrame) -> DataFrame:
 
 
 def store_statistics(held: DataFrame, lengths: DataFrame) -> DataFrame:
-    """The same for the words of `held` postings."""
+    """The same for the words of `held` postings, with the bounds max_tf and min_dl."""
     size = lengths.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("mean_length"))
-    return stored_statistics(
-        held.groupBy("term").agg(F.count(F.lit(1)).alias("df")), size)
+    found = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *_bounds())
+    return stored_statistics(found, size).join(found.drop("df"), "term")
+
 
+def _bounds() -> list[Column]:
+    return [F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl")]
 
-def scope_statistics(held: DataFrame, lengths: DataFrame, scope_docs: DataFrame) -> DataFrame:
-    """(scope_id, term, df, n_chunks, mean_length). Chunks are counted per document before
-    documents meet their scopes."""
-    per_doc = held.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    df = (per_doc.join(scope_docs, "doc_id").groupBy("scope_id", "term")
-          .agg(F.sum("n").alias("df")))
+
+def scope_statistics(held: DataFrame, lengths: DataFrame, scope_docs: DataFrame,
+                     asked: DataFrame) -> DataFrame:
+    """(scope_id, term, df, n_chunks, mean_length, max_tf, min_dl) for the words (scope_id,
+    term) that are asked in each scope. Sums are made inside tasks before anything moves."""
+    found = (held.join(scope_docs, "doc_id").join(asked, ["scope_id", "term"], "left_semi")
+             .groupBy("scope_id", "term").agg(F.count(F.lit(1)).alias("df"), *_bounds()))
     doc_size = lengths.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"),
                                              F.sum("dl").alias("total"))
     sizes = (doc_size.join(scope_docs, "doc_id").groupBy("scope_id")
              .agg(F.sum("n").alias("n_chunks"), (F.sum("total") / F.sum("n")).alias("mean_length")))
-    return df.join(sizes, "scope_id")
+    return found.join(sizes, "scope_id")
 
 
 def _score(qtf: Column, tf: Column, dl: Column, df: Column, n: Column, mean: Column) -> Column:
@@ -112,6 +167,16 @@ def _score(qtf: Column, tf: Column, dl: Column, df: Column, n: Column, mean: Col
     return qtf * idf * tf * (fv.BM25_K1 + 1) / (tf + damp)
 
 
+def _share(tf: str = "tf", dl: str = "dl") -> Column:
+    return _score(F.col("qtf"), F.col(tf), F.col(dl), F.col("df"), F.col("n_chunks"),
+                  F.col("mean_length"))
+
+
+SEED_ROWS = 2000        # postings of a question's weightiest words that set its least score
+SPARED = 0.4            # part of that score the words that are not looked up may add up to
+SLACK = 2e-6            # scores are compared after rounding to SCORE_DIGITS
+
+
 def bm25_topk(queries: DataFrame, chunks: DataFrame | LexicalIndex, scopes: Scopes | None = None,
               statistics: DataFrame | None = None) -> DataFrame:
     """Best chunks per question by BM25; only chunks sharing a word with it.
@@ -121,33 +186,111 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | LexicalIndex, scopes: Scop
     and of a saved one only the asked words' buckets (see `sources.tables.load_index`).
     Statistics come from the filtered set; `statistics` replaces them by those of the whole
     store (see stored_statistics). Which side of a join is broadcast, and the splitting of
-    frequent words, is left to AQE.
+    frequent words, is left to AQE. Short tables of words, bounds and candidates are written
+    while the plan is built.
     """
     index = chunks if isinstance(chunks, LexicalIndex) else LexicalIndex.of(chunks)
-    terms = query_terms(queries)
+    weighed = keep(weighed_terms(queries, index, scopes, statistics))
+    places = scopes.docs if scopes is not None else None
+    found = keep(candidates(weighed, index, places))
+    return rank_per_query(full_scores(found, weighed, index), None, F.col("top_k")).drop("top_k")
+
+
+def full_scores(found: DataFrame, weighed: DataFrame, index: LexicalIndex) -> DataFrame:
+    """(query_id, top_k, chunk_id, doc_id, score) of the given (query_id, chunk_id, doc_id)."""
+    rows = index.rows_of(found.select("chunk_id").distinct())
+    return (rows.join(found, ["chunk_id", "doc_id"])
+            .join(weighed.drop("scope_id"), ["query_id", "term"])
+            .groupBy("query_id", "top_k", "chunk_id", "doc_id")
+            .agg(F.round(F.sum(_share()), SCORE_DIGITS).alias("score")))
+
+
+def weighed_terms(queries: DataFrame, index: LexicalIndex, scopes: Scopes | None,
+                  statistics: DataFrame | None) -> DataFrame:
+    """(query_id, scope_id, top_k, term, qtf, df, n_chunks, mean_length, bound): the words of
+    every question that stand in chunks it may see; `bound` is the most a chunk can get for it."""
+    terms = keep(query_terms(queries).join(queries.select("query_id", "top_k"), "query_id"))
     held = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
-    own = scopes is not None and statistics is None
+    known = None
+    if statistics is not None:
+        known = statistics.join(held.groupBy("term").agg(*_bounds()), "term")
     parts = []
     if not (scopes is not None and scopes.all_scoped):
-        free = terms.where(F.col("scope_id").isNull()).drop("scope_id")
-        stats = statistics if statistics is not None else store_statistics(held, index.lengths)
-        parts.append(_joined(free.join(stats, "term"), held))
+        free = terms.where(F.col("scope_id").isNull())
+        parts.append(free.join(known if known is not None else store_statistics(
+            held, index.lengths), "term"))
     if scopes is not None:
         scoped = terms.where(F.col("scope_id").isNotNull())
-        weighed = (scoped.join(scope_statistics(held, index.lengths, scopes.docs),
-                               ["scope_id", "term"]) if own else scoped.join(statistics, "term"))
-        # a document's scopes meet its postings first, then the questions of those scopes
-        seen = held.join(scopes.docs, "doc_id")
-        parts.append(_joined(weighed, seen, ["scope_id", "term"]))
-    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    wanted = scored.join(queries.select("query_id", "top_k"), "query_id")
-    return rank_per_query(wanted, None, F.col("top_k")).drop("top_k")
-
-
-def _joined(weighed: DataFrame, held: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """(query_id, chunk_id, doc_id, score). The shares of one chunk lie together in a task,
-    so most sums are done before the shuffle."""
-    part = _score(F.col("qtf"), F.col("tf"), F.col("dl"), F.col("df"), F.col("n_chunks"),
-                  F.col("mean_length"))
-    return (held.join(weighed, on or ["term"]).groupBy("query_id", "chunk_id", "doc_id")
-            .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score")))
+        if known is not None:
+            parts.append(scoped.join(known, "term"))
+        else:
+            asked = scoped.select("scope_id", "term").distinct()
+            parts.append(scoped.join(scope_statistics(held, index.lengths, scopes.docs, asked),
+                                     ["scope_id", "term"]))
+    columns = ["query_id", "scope_id", "top_k", "term", "qtf", "df", "n_chunks", "mean_length"]
+    weighed = [p.select(*columns, _share("max_tf", "min_dl").alias("bound")) for p in parts]
+    return weighed[0] if len(weighed) == 1 else weighed[0].union(weighed[1])
+
+
+def _looked_up(weighed: DataFrame, index: LexicalIndex, places: DataFrame | None) -> DataFrame:
+    """(query_id, top_k, chunk_id, doc_id, share, ...) of the given words' postings that a
+    question may see. With `least` and `others` (the bounds of its other words together) what
+    cannot reach `least` is left out, whole blocks at once where there are blocks."""
+    pruned = "least" in weighed.columns
+    if index.blocks is None:
+        rows = index.postings.join(weighed, "term")
+    else:
+        rows = index.blocks.join(weighed, "term")
+        if pruned:
+            rows = rows.where(_share("max_tf", "min_dl") + F.col("others") >= F.col("least") - SLACK)
+        rows = rows.select(*weighed.columns, F.explode("entries").alias("e")).select(
+            *weighed.columns, "e.*")
+    rows = rows.withColumn("share", _share())
+    if pruned:
+        rows = rows.where(F.col("share") + F.col("others") >= F.col("least") - SLACK)
+    if places is None:
+        return rows
+    inside = places.select("scope_id", "doc_id")
+    free = rows.where(F.col("scope_id").isNull())
+    return rows.join(inside, ["scope_id", "doc_id"], "left_semi").select(*rows.columns).union(
+        free.select(*rows.columns))
+
+
+def essential_terms(weighed: DataFrame, index: LexicalIndex, places: DataFrame | None
+                    ) -> DataFrame:
+    """The words that have to be looked up, with `least` (a score that a question's best k
+    reach; null if fewer chunks are known), `others` and `rest`, the bounds of the words of the
+    question that need not be."""
+    down = W.partitionBy("query_id").orderBy(F.desc("bound"), "term").rowsBetween(
+        W.unboundedPreceding, -1)
+    up = W.partitionBy("query_id").orderBy("bound", F.desc("term")).rowsBetween(
+        W.unboundedPreceding, 0)
+    every = W.partitionBy("query_id")
+    seeds = weighed.withColumn("before", F.coalesce(F.sum("df").over(down), F.lit(0))).where(
+        F.col("before") < SEED_ROWS).drop("before")
+    most = weighed.agg(F.max("top_k")).first()[0] or 1
+    partial = _looked_up(seeds, index, places).groupBy(
+        "query_id", "top_k", "chunk_id", "doc_id").agg(F.sum("share").alias("score"))
+    first = keep(rank_per_query(partial, most, F.col("top_k")).select(
+        "query_id", "chunk_id", "doc_id"))
+    least = (full_scores(first, weighed, index).groupBy("query_id", "top_k")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+             .where("n = top_k").select("query_id", "least"))
+    ranked = weighed.join(least, "query_id", "left").withColumns({
+        "up_to": F.sum("bound").over(up), "total": F.sum("bound").over(every)})
+    needed = F.col("least").isNull() | (F.col("up_to") >= F.col("least") * SPARED - SLACK)
+    return ranked.withColumn("needed", needed).withColumn(
+        "rest", F.sum(F.when(~F.col("needed"), F.col("bound")).otherwise(0.0)).over(every)).where(
+        "needed").select(*weighed.columns, F.coalesce("least", F.lit(0.0)).alias("least"),
+                         (F.col("total") - F.col("bound")).alias("others"), "rest")
+
+
+def candidates(weighed: DataFrame, index: LexicalIndex, places: DataFrame | None = None
+               ) -> DataFrame:
+    """(query_id, chunk_id, doc_id): all chunks that may be among the best of a question."""
+    essential = keep(essential_terms(weighed, index, places))
+    return (_looked_up(essential, index, places)
+            .groupBy("query_id", "chunk_id", "doc_id", "least", "rest")
+            .agg(F.sum("share").alias("part"))
+            .where(F.col("part") + F.col("rest") >= F.col("least") - SLACK)
+            .select("query_id", "chunk_id", "doc_id"))

@@ -34,15 +34,20 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 class DenseScorer:
-    """Cosine, dot product or negative Euclidean distance."""
+    """Cosine, dot product or negative Euclidean distance. With `decode`, items come as codes,
+    from which it makes approximate unit vectors."""
 
-    def __init__(self, queries: pa.Table, metric: str):
-        self.metric = metric
+    def __init__(self, queries: pa.Table, metric: str, decode=None):
+        self.metric, self.decode = metric, decode
         self.q = _matrix(queries["vector"])
         if metric == "cosine":
             self.q = _unit(self.q)
 
     def load(self, batch) -> None:
+        if self.decode is not None:
+            codes = np.frombuffer(b"".join(batch["codes"].to_pylist()), np.uint8)
+            self.x = self.decode(np.asarray(batch["cell"]), codes.reshape(batch.num_rows, -1))
+            return
         self.x = _matrix(batch["embedding"])
         if self.metric == "cosine":
             self.x = _unit(self.x)
