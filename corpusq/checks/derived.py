@@ -105,31 +105,29 @@ class Tables:
                                            lambda j: (i * j + j).cast("string")))
             .when(i % 4 == 1, F.array().cast("array<string>")).alias("doc_ids"))
 
+    def _vector_of(self, rows: DataFrame, number) -> DataFrame:
+        """Rows + the given vector whose number is `number` modulo how many there are."""
+        n = self.embeddings.count()
+        return rows.withColumn("vec_id", F.pmod(number, F.lit(n))).join(
+            self.embeddings.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
     @property
     def passage_store(self) -> DataFrame:
-        """Documents that have a vector, each as one passage."""
-        name = F.concat("source", F.lit("_"), "doc_id", F.lit(".txt"))
-        return self.docs.join(self.vectors.select("doc_id"), "doc_id", "left_semi").select(
-            F.col("doc_id").alias("chunk_id"), "doc_id", F.lit(0).alias("chunk_index"),
-            F.lit(None).cast("int").alias("page"), name.alias("source_file"),
-            F.col("text").alias("content"))
+        """Every chunk of every document."""
+        return self.chunks
 
     @property
     def passage_vectors(self) -> DataFrame:
-        return self.vectors.join(self.docs.select("doc_id"), "doc_id", "left_semi").select(
-            "chunk_id", "doc_id", "embedding")
+        """A given vector for every chunk; chunks may share one."""
+        number = F.col("doc_id").cast("bigint") * 31 + F.col("chunk_index")
+        return self._vector_of(self.chunks, number).select("chunk_id", "doc_id", "embedding")
 
     @property
     def passage_queries(self) -> DataFrame:
-        """Each of those documents asks with its first sentence and its vector."""
-        d = F.col("doc_id").cast("int")
-        return (self.docs.join(self.vectors.select("doc_id", "embedding"), "doc_id").select(
-            F.col("doc_id").alias("query_id"),
-            F.regexp_extract("text", r"^\s*([^.\n]*)", 1).alias("question"),
-            F.col("embedding").alias("vector"), (d % 20 + 1).alias("top_k"),
-            F.col("source").alias("user_id"),
-            F.when(d % 3 == 1, F.col("lang")).alias("collection"),
-            F.lit(None).cast("array<string>").alias("doc_ids")))
+        """Every benchmark item asks with its text, a vector, an owner, and partly with a
+        collection or an id list."""
+        return self._vector_of(self.scoped_queries, F.col("query_id").cast("bigint")
+                               ).withColumnRenamed("embedding", "vector")
 
     @property
     def messages(self) -> DataFrame:
@@ -190,12 +188,11 @@ CTES = {
         CASE item_id % 3 WHEN 1 THEN 'en' END AS collection,
         CASE item_id % 4 WHEN 0 THEN list_transform(range(0, 10),
             lambda j: CAST(item_id * j + j AS VARCHAR)) END AS doc_ids FROM benchmark""",
-    "passages": """SELECT d.doc_id AS chunk_id, d.doc_id, d.source || '_' || d.doc_id || '.txt' AS source_file,
-        d.source, d.lang, d.text AS content, v.e FROM docs d JOIN vectors v ON v.doc_id = d.doc_id""",
-    "passage_queries": """SELECT doc_id AS query_id,
-        regexp_extract(content, '^\\s*([^.\\n]*)', 1) AS question, e AS v,
-        CAST(doc_id AS BIGINT) % 20 + 1 AS top_k, source AS user_id,
-        CASE CAST(doc_id AS BIGINT) % 3 WHEN 1 THEN lang END AS collection FROM passages""",
+    "passages": """SELECT c.chunk_id, c.doc_id, c.source_file, c.source, c.content, v.e FROM chunks c
+        JOIN vectors v ON CAST(v.doc_id AS BIGINT) = (CAST(c.doc_id AS BIGINT) * 31 + c.chunk_index)
+        % (SELECT count(*) FROM vectors)""",
+    "passage_queries": """SELECT q.*, v.e AS v FROM scoped_queries q JOIN vectors v
+        ON CAST(v.doc_id AS BIGINT) = CAST(q.query_id AS BIGINT) % (SELECT count(*) FROM vectors)""",
     "valid_passage_queries": """SELECT * FROM passage_queries
         WHERE length(question) BETWEEN 1 AND 2000""",
     "messages": """SELECT conv_id * 100000 + turn AS id, CAST(conv_id AS VARCHAR) AS session_id,
@@ -211,8 +208,9 @@ CTES = {
 
 NEEDS = {
     "chunk_starts": ["docs"], "chunks": ["docs", "chunk_starts"],
-    "passages": ["docs", "vectors"], "passage_queries": ["docs", "vectors", "passages"],
-    "valid_passage_queries": ["docs", "vectors", "passages", "passage_queries"],
+    "passages": ["docs", "chunk_starts", "chunks", "vectors"],
+    "passage_queries": ["vectors", "scoped_queries"],
+    "valid_passage_queries": ["vectors", "scoped_queries", "passage_queries"],
     "chat_messages": ["messages"],
 }
 

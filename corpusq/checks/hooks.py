@@ -86,12 +86,12 @@ def _(t):
 
 @check("s10_ingest_unreadable", """SELECT CASE WHEN lang = 'es' THEN 400 END AS error_code, count(*) AS uploads FROM (
     SELECT lang, row_number() OVER (PARTITION BY source, CASE WHEN lang = 'es' THEN CAST(doc_id AS VARCHAR) ELSE sha256(text) END
-    ORDER BY doc_id) AS r FROM documents WHERE lang <> 'de') WHERE r = 1 GROUP BY 1""")
+    ORDER BY doc_id) AS r FROM documents) WHERE r = 1 GROUP BY 1""")
 def _(t):
     """Documents nobody can read are rejected; with the copies, all uploads are accounted for."""
-    small = t.documents.where("lang <> 'de'")
-    up = uploads_of(small, t.day0).withColumn("n_bytes", F.lit(1)).join(
-        small.select(F.col("doc_id").cast("string").alias("upload_id"), "lang"), "upload_id")
+    up = uploads_of(t.documents, t.day0).withColumns({
+        "n_bytes": F.lit(1), "filename": F.concat("upload_id", F.lit(".txt"))}).join(
+        t.documents.select(F.col("doc_id").cast("string").alias("upload_id"), "lang"), "upload_id")
     up = up.withColumn("pages", F.when(F.col("lang") != "es", F.col("pages"))).drop("lang")
     out = ingest(up, t.spark.createDataFrame([], REGISTRY), splitter="recursive")
     none = F.lit(None).cast("int")
@@ -106,7 +106,7 @@ def _(t):
     'Src' || CAST(item_id % 20 AS VARCHAR) AS display_name, unnest(CASE item_id % 3 WHEN 0 THEN ['x', 'y'] WHEN 1 THEN ['single']
     ELSE ['other'] END) AS collection FROM benchmark""")
 def _(t):
-    """The benchmark items as the documents of one legacy JSON registry."""
+    """The benchmark items as the documents of legacy JSON registries."""
     folder = _folder(t)
     i = F.col("item_id")
     entry = F.struct(
@@ -115,8 +115,11 @@ def _(t):
             F.concat(F.lit("src"), (i % 20).cast("string")).alias("user_id"),
             F.when(i % 3 == 0, F.array(F.lit("x"), F.lit("y"), F.lit("x"))).alias("collections"),
             F.when(i % 3 == 1, F.lit("single")).alias("collection")).alias("value"))
-    t.benchmark.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("documents"))).alias("value")
-                    ).coalesce(1).write.text(folder)
+    # one registry of some hundred entries for each bucket of items
+    buckets = 1 + t.benchmark.count() // 500
+    t.benchmark.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(buckets)).alias("bucket")).agg(
+        F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("documents"))).alias("value")
+    ).write.partitionBy("bucket").text(folder)
     empty = {n: t.spark.createDataFrame([], s) for n, s in tables.TABLES.items()}
     out = tables.import_legacy_registry(t.spark, None, folder, empty["users"], empty["registry"],
                                         empty["document_collections"], t.day0)
@@ -238,12 +241,12 @@ def _(t):
 
 
 @check("e5_score_table", sql("""SELECT query_id, chunk_id, score, r AS rank FROM (SELECT query_id, chunk_id, s AS score, row_number() OVER (
-    PARTITION BY query_id ORDER BY s DESC, rank, chunk_id) AS r FROM (SELECT *, (CAST(chunk_id AS BIGINT) % 7) / 8.0 AS s FROM vec3))
+    PARTITION BY query_id ORDER BY s DESC, rank, chunk_id) AS r FROM (SELECT *, (CAST(split_part(chunk_id, '_', 1) AS BIGINT) % 7) / 8.0 AS s FROM vec3))
     WHERE r <= 4""", *_PASSAGE_CTES, vec3=_PRE.replace("r <= top_k", "r <= 3 * top_k")))
 def _(t):
     """A table of scores re-ranks the candidates."""
     plain = retrieve(t.passage_queries, _store(t), EngineConfig(max_top_k=60, rerank_enabled=True, rerank_top_n=60))
-    score = (F.col("chunk_id").cast("bigint") % 7) / F.lit(8.0)
+    score = (F.substring_index("chunk_id", "_", 1).cast("bigint") % 7) / F.lit(8.0)
     scores = plain.select("query_id", "chunk_id", score.alias("score"))
     return retrieve(t.passage_queries, _store(t), EngineConfig(rerank_enabled=True), scores).select(
         "query_id", "chunk_id", "score", "rank")

@@ -110,14 +110,14 @@ def _(t):
     return t.nation.select("n_nationkey", text.capitalize_name(name).alias("display_name"))
 
 
-@check("p10_slugify_labels", """SELECT doc_id, array_to_string(list_filter([replace(trim(lower(source)), ' ', '-'),
-    replace(replace(replace(lower(substr(text, 1, 40)), ' ', '-'), chr(34), ''), chr(39), ''), repeat('y', 49) || lang],
-    lambda x: length(x) BETWEEN 1 AND 50), '|') AS labels
-    FROM (SELECT doc_id, source, lang, regexp_replace(substr(text, 1, 40), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text
-    FROM documents)""")
+@check("p10_slugify_labels", """SELECT doc_id, array_to_string(list_filter(list_concat([replace(trim(lower(source)), ' ', '-'),
+    repeat('y', 49) || lang], list_transform(string_split(text, chr(10)), lambda x: replace(replace(replace(lower(
+    regexp_replace(x, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), ' ', '-'), chr(34), ''), chr(39), ''))),
+    lambda x: length(x) BETWEEN 1 AND 50), '|') AS labels FROM documents""")
 def _(t):
-    raw = F.array(F.concat(F.lit("  "), F.upper("source"), F.lit(" ")), F.substring("text", 1, 40),
-                  F.concat(F.repeat(F.lit("y"), F.lit(49)), "lang"), F.lit(" "))
+    """All lines of every text as raw labels."""
+    raw = F.concat(F.array(F.concat(F.lit("  "), F.upper("source"), F.lit(" ")),
+                           F.concat(F.repeat(F.lit("y"), F.lit(49)), "lang")), F.split("text", "\n"), F.array(F.lit(" ")))
     return t.documents.select("doc_id", F.array_join(text.slugify_labels(raw), "|").alias("labels"))
 
 

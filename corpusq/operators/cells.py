@@ -23,11 +23,17 @@ MAX_CELLS = 4096   # size bound of the centroid table and of the list of probed
 
 @dataclass(frozen=True)
 class CellIndex:
-    """`rows`: chunk_id, doc_id, embedding, cell. `probes`: cells a query looks into."""
+    """`rows`: chunk_id, doc_id, embedding, cell. `probes`: cells a query looks into, by default
+    three quarters of all: vectors need not have clusters, and what lies in an unprobed cell is
+    missed. See `operators.quantised` for a bound on that."""
 
     rows: DataFrame
     model: KMeansModel
-    probes: int = 8
+    probes: int | None = None
+
+    @property
+    def looked_into(self) -> int:
+        return self.probes or max(1, self.model.getK() * 3 // 4)
 
 
 def _unit(vectors: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def probed_cells(queries: DataFrame, index: CellIndex) -> DataFrame:
         [(str(i), str(i), [float(x) for x in c])
          for i, c in enumerate(index.model.clusterCenters())],
         "chunk_id string, doc_id string, embedding array<double>")
-    near = vector_topk(queries.select("query_id", "vector", F.lit(index.probes).alias("top_k")),
+    near = vector_topk(queries.select("query_id", "vector", F.lit(index.looked_into).alias("top_k")),
                        centres)
     return near.select("query_id", F.col("chunk_id").alias("scope_id"))
 

@@ -11,11 +11,16 @@ blocks of like counts, of which a question reads those whose bound can still rea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from corpusq import fixed_values as fv
 from corpusq.functions.text import words
@@ -28,17 +33,24 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_id", words(F.col("content")).alias("tokens"))
 
 
-def _word_counts(tokens: Column) -> Column:
-    """array<struct<term, tf>> of a chunk's words: stretches of equal words once sorted."""
-    def entries(sorted_words: Column) -> Column:
-        n = F.size(sorted_words)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & (
-            (i == 0) | (F.get(sorted_words, i) != F.get(sorted_words, i - 1))))
-        return F.transform(F.array(starts), lambda s: F.transform(s, lambda at, i: F.struct(
-            F.get(sorted_words, at).alias("term"),
-            (F.coalesce(F.get(s, i + 1), n) - at).cast("bigint").alias("tf"))))[0]
+_ENTRIES = T.ArrayType(T.StructType().add("term", T.StringType()).add("tf", T.LongType()))
 
-    return F.transform(F.array(F.sort_array(tokens)), entries)[0]
+
+@F.arrow_udf(_ENTRIES)
+def _word_counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Words of each row's list with their counts; whole batches at a time, no row loop."""
+    for tokens in batches:
+        tokens = tokens.cast(pa.large_list(pa.string()))
+        coded = pc.dictionary_encode(tokens.flatten())
+        many = max(len(coded.dictionary), 1)
+        key = (np.asarray(pc.list_parent_indices(tokens)) * many
+               + np.asarray(coded.indices).astype(np.int64))
+        key, times = np.unique(key, return_counts=True)
+        at = np.searchsorted(key, np.arange(len(tokens) + 1) * many)
+        entries = pa.StructArray.from_arrays(
+            [coded.dictionary.take(pa.array(key % many)), pa.array(times, pa.int64())],
+            ["term", "tf"])
+        yield pa.ListArray.from_arrays(pa.array(at, pa.int32()), entries)
 
 
 def counted_chunks(chunks: DataFrame) -> DataFrame:
@@ -173,7 +185,8 @@ def _share(tf: str = "tf", dl: str = "dl") -> Column:
 
 
 SEED_ROWS = 2000        # postings of a question's weightiest words that set its least score
-SPARED = 0.4            # part of that score the words that are not looked up may add up to
+SPARED = 0.5            # part of that score the words that are not looked up may add up to
+ROW_WORDS = 200         # words of a chunk's own row, about
 SLACK = 2e-6            # scores are compared after rounding to SCORE_DIGITS
 
 
@@ -192,13 +205,27 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | LexicalIndex, scopes: Scop
     index = chunks if isinstance(chunks, LexicalIndex) else LexicalIndex.of(chunks)
     weighed = keep(weighed_terms(queries, index, scopes, statistics))
     places = scopes.docs if scopes is not None else None
-    found = keep(candidates(weighed, index, places))
-    return rank_per_query(full_scores(found, weighed, index), None, F.col("top_k")).drop("top_k")
+    essential = keep(essential_terms(weighed, index, places))
+    found = keep(candidates(essential, index, places))
+    spared = weighed.join(essential.select("query_id", "term"), ["query_id", "term"], "left_anti")
+    # the other words' shares: from their postings, or from the chunks' own rows if that is less
+    unread = spared.agg(F.sum("df")).first()[0] or 0
+    if index.counted is not None and found.count() * ROW_WORDS < unread:
+        scored = full_scores(found, weighed, index)
+    else:
+        rest = _looked_up(spared, index, None).join(
+            found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+        scored = (found.select("query_id", "top_k", "chunk_id", "doc_id", "share")
+                  .union(rest.select("query_id", "top_k", "chunk_id", "doc_id", "share"))
+                  .groupBy("query_id", "top_k", "chunk_id", "doc_id")
+                  .agg(F.round(F.sum("share"), SCORE_DIGITS).alias("score")))
+    return rank_per_query(scored, None, F.col("top_k")).drop("top_k")
 
 
 def full_scores(found: DataFrame, weighed: DataFrame, index: LexicalIndex) -> DataFrame:
     """(query_id, top_k, chunk_id, doc_id, score) of the given (query_id, chunk_id, doc_id)."""
     rows = index.rows_of(found.select("chunk_id").distinct())
+    found = found.select("query_id", "chunk_id", "doc_id")
     return (rows.join(found, ["chunk_id", "doc_id"])
             .join(weighed.drop("scope_id"), ["query_id", "term"])
             .groupBy("query_id", "top_k", "chunk_id", "doc_id")
@@ -285,12 +312,12 @@ def essential_terms(weighed: DataFrame, index: LexicalIndex, places: DataFrame |
                          (F.col("total") - F.col("bound")).alias("others"), "rest")
 
 
-def candidates(weighed: DataFrame, index: LexicalIndex, places: DataFrame | None = None
+def candidates(essential: DataFrame, index: LexicalIndex, places: DataFrame | None = None
                ) -> DataFrame:
-    """(query_id, chunk_id, doc_id): all chunks that may be among the best of a question."""
-    essential = keep(essential_terms(weighed, index, places))
+    """(query_id, top_k, chunk_id, doc_id, share): all chunks that may be among the best of a
+    question, with what they get for its essential words."""
     return (_looked_up(essential, index, places)
-            .groupBy("query_id", "chunk_id", "doc_id", "least", "rest")
-            .agg(F.sum("share").alias("part"))
-            .where(F.col("part") + F.col("rest") >= F.col("least") - SLACK)
-            .select("query_id", "chunk_id", "doc_id"))
+            .groupBy("query_id", "top_k", "chunk_id", "doc_id", "least", "rest")
+            .agg(F.sum("share").alias("share"))
+            .where(F.col("share") + F.col("rest") >= F.col("least") - SLACK)
+            .drop("least", "rest"))

@@ -16,6 +16,7 @@ from corpusq.functions import validate
 from corpusq.operators import context, fusion
 from corpusq.operators.cells import CellIndex, cell_topk
 from corpusq.operators.lexical import LexicalIndex, bm25_topk
+from corpusq.operators.quantised import QuantisedIndex, quantised_topk
 from corpusq.operators.scope import resolve_scope
 from corpusq.operators.vector import vector_topk
 from corpusq.session import keep
@@ -30,7 +31,7 @@ class Store:
     vectors: DataFrame
     registry: DataFrame
     collections: DataFrame
-    cells: CellIndex | None = None
+    cells: CellIndex | QuantisedIndex | None = None
     words: LexicalIndex | None = None
 
 
@@ -46,12 +47,17 @@ def retrieve(queries: DataFrame, store: Store, config: EngineConfig = EngineConf
     """
     if config.search == "ann" and store.cells is None:
         raise ValueError("approximate search needs a store with cells")
+    coded = isinstance(store.cells, QuantisedIndex)
+    if config.search == "ann" and coded and config.metric != "cosine":
+        raise ValueError("codes are searched by cosine only")
     valid = validate.accepted(validate.check_queries(queries, config))
     scopes = resolve_scope(valid, store.registry, store.collections, config).kept()
     factor = fv.RERANK_OVERFETCH if config.rerank_enabled else 1
     # every step below reads the queries again
     asked = keep(scopes.queries.withColumn("top_k", (F.col("top_k") * factor).cast("int")))
-    if config.search == "ann":
+    if config.search == "ann" and coded:
+        hits = quantised_topk(asked, store.cells, scopes)
+    elif config.search == "ann":
         hits = cell_topk(asked, store.cells, config.metric, scopes)
     else:
         hits = vector_topk(asked, store.vectors, config.metric, scopes, config.filter_mode)
