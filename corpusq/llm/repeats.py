@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusq.llm.arrow_text import slices, utf8
-from corpusq.llm.phrases import Filter
+from corpusq.llm.phrases import SUMMARY, Filter, parted
+from corpusq.llm.phrases import merged as several
 from corpusq.llm.shingles import constants, mix, powers
 from corpusq.session import cut_lineage, keep
 
@@ -44,6 +45,9 @@ GRAM = 16
 CORE = WIDTH - REACH + 1        # bytes after a sample that every string with it holds
 RANGE_ROWS = 50_000             # suffixes sorted in one task
 FILTER_BITS = 18, 28
+# At edges of ranges: lengths of beginnings compared first, hash partitions of these, counters.
+GRID = 2, 4, 8, 16, 32, 48
+EDGE_PARTS, EDGE_KEYS = 5, 1 << 20
 
 BASES = constants(31, 2)
 BYTES = constants(32, 512).reshape(2, 256)
@@ -263,10 +267,77 @@ def ranges(ordered: DataFrame) -> np.ndarray:
     return enter
 
 
-def merged(ordered: DataFrame, enter: np.ndarray, leaving: set[int]) -> DataFrame:
+def grouped(rows: np.ndarray, start: np.ndarray, value: np.ndarray, weight: np.ndarray
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered by (start, value), the group of each, and the weight of every group."""
+    order = rows[np.lexsort((value[rows], start[rows]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (start[order][1:] != start[order][:-1]) | (value[order][1:] != value[order][:-1])
+    group = np.cumsum(new) - 1
+    return order, group, np.bincount(group, weight[order]).astype(np.int32)
+
+
+class Edges:
+    """The rows of one range whose core occurs in other ranges as well, and how their core's
+    run is called in all of them."""
+
+    def __init__(self, own: Suffixes, part: int, enter: np.ndarray, leaving: set[int]):
+        self.core = own.starts(CORE)
+        entered = enter[part, 0] >= 0
+        self.on = np.zeros(len(own.x), bool)
+        if entered:
+            self.on |= self.core == 0
+        if part in leaving:
+            self.on |= self.core == self.core[-1]
+        name = (part << 32) + self.core
+        self.name = np.where(self.core == 0, enter[part, 0], name) if entered else name
+
+    def keys(self, rows: np.ndarray, l: int, value: np.ndarray) -> np.ndarray:
+        """Stands for the core's run and the `l` bytes before the sample."""
+        return mix(value[rows] + mix(self.name[rows].astype(np.uint64) * np.uint64(REACH)
+                                     + np.uint64(l)))
+
+
+def heads(own: Suffixes) -> Iterator[np.ndarray]:
+    """Hash of the 0, 1, 2, ... bytes before each sample."""
+    head = np.zeros(len(own.x), np.uint64)
+    for l in range(REACH):
+        if l:
+            head = head + (own.left[:, REACH - l].astype(np.uint64) + np.uint64(1)) * LEFT[l]
+        yield mix(head)
+
+
+def shared_edges(ordered: DataFrame, enter: np.ndarray, leaving: set[int]) -> Filter:
+    """A filter of the edges' beginnings that several rows share, whatever their range: if
+    nothing else with that core has the same l bytes before it, no longer string repeats."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        part = next(b for b in held if b.num_rows)["part"][0].as_py()
+        own = Suffixes([b.drop_columns(["part"]) for b in held])
+        edges = Edges(own, part, enter, leaving)
+        found = [np.zeros(0, np.uint64)]
+        for l, value in enumerate(heads(own)):
+            rows = np.flatnonzero(edges.on & (own.x - own.lo >= l)) if l in GRID else []
+            if len(rows):
+                order, group, total = grouped(rows, edges.core, value, np.ones(len(own.x)))
+                one = order[np.append(True, np.diff(group) > 0)]
+                found.append(np.repeat(edges.keys(one, l, value), np.minimum(total, 2)))
+        value = np.concatenate(found)
+        if len(value):
+            yield parted(value, EDGE_PARTS)
+    tasks = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return several(ordered.mapInArrow(work, SUMMARY), EDGE_PARTS, FILTER_BITS[1] - 4,
+                   EDGE_KEYS, 2, min(tasks, 1 << EDGE_PARTS))
+
+
+def merged(ordered: DataFrame, enter: np.ndarray, leaving: set[int], shared: Filter
+           ) -> DataFrame:
     """What is known of the strings of units that are not `many`: starts lo to hi that repeat,
     or, where a run crosses ranges (cls is not null), the start lo = hi with the names that
-    decide it; such rows come from units that are `many` too (w = 2)."""
+    decide it, once for equal ones of a range. w = 2 says that the range has several of it, or
+    one that is `many`; w = 1 that all depends on the other ranges."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
         if not sum(b.num_rows for b in held):
@@ -274,43 +345,42 @@ def merged(ordered: DataFrame, enter: np.ndarray, leaving: set[int]) -> DataFram
         part = next(b for b in held if b.num_rows)["part"][0].as_py()
         own = Suffixes([b.drop_columns(["part"]) for b in held])
         n = len(own.x)
-        blocks = own.starts(CORE)
-        crosses = np.zeros(n, bool)
-        if enter[part, 0] >= 0:
-            crosses |= blocks == 0
-        if part in leaving:
-            crosses |= blocks == blocks[-1]
+        edges = Edges(own, part, enter, leaving)
+        crosses, alive = edges.on, np.ones(n, bool)
         repeats = np.zeros((n, REACH), bool)
         weight = np.where(own.many, 2, 1)
-        head = np.zeros(n, np.uint64)
-        for l in range(REACH):
-            if l:
-                head += (own.left[:, REACH - l].astype(np.uint64) + np.uint64(1)) * LEFT[l]
+        for l, value in enumerate(heads(own)):
+            if l in GRID:
+                at = np.flatnonzero(crosses & alive & (own.x - own.lo >= l))
+                alive[at] = shared.holds(edges.keys(at, l, value))
             on = (own.x - own.hi <= l) & (l <= own.x - own.lo)
             start = own.starts(WIDTH - l)
-            value = mix(head)
             inner = np.flatnonzero(on & ~crosses)
             if len(inner):
-                order = inner[np.lexsort((value[inner], start[inner]))]
-                new = np.ones(len(order), bool)
-                new[1:] = ((start[order][1:] != start[order][:-1])
-                           | (value[order][1:] != value[order][:-1]))
-                group = np.cumsum(new) - 1
-                repeats[order, l] = np.bincount(group, weight[order])[group] >= 2
-            outer = np.flatnonzero(on & crosses)
+                order, group, total = grouped(inner, start, value, weight)
+                repeats[order, l] = total[group] >= 2
+            # alone in its run: no other suffix agrees for as many bytes
+            first = start == np.arange(n)
+            alone = first & np.append(first[1:], False)
+            if enter[part, WIDTH - l - CORE] >= 0:
+                alone[0] = False
+            outer = np.flatnonzero(on & crosses & alive & ~alone)
             if len(outer):
-                name = (part << 32) + start[outer]
+                order, group, total = grouped(outer, start, value, weight)
+                repeats[order, l] = total[group] >= 2
+                one = order[np.append(True, np.diff(group) > 0)]
+                name = (part << 32) + start[one]
                 carried = enter[part, WIDTH - l - CORE]
                 if carried >= 0:
-                    name = np.where(start[outer] == 0, carried, name)
-                at = own.x[outer] - l
-                yield _found(own.tk1[outer], own.tk2[outer], at, at, name,
-                             np.full(len(outer), l, np.int32), value[outer].view(np.int64),
-                             weight[outer])
+                    name = np.where(start[one] == 0, carried, name)
+                at = own.x[one] - l
+                yield _found(own.tk1[one], own.tk2[one], at, at, name,
+                             np.full(len(one), l, np.int32), value[one].view(np.int64),
+                             np.minimum(total, 2))
         repeats &= ~own.many[:, None]
-        edges = np.zeros((n, REACH + 2), np.int8)
-        edges[:, 1:-1] = repeats
-        turn = np.diff(edges, axis=1)
+        marked = np.zeros((n, REACH + 2), np.int8)
+        marked[:, 1:-1] = repeats
+        turn = np.diff(marked, axis=1)
         row, first = np.nonzero(turn == 1)
         _, after = np.nonzero(turn == -1)
         yield _found(own.tk1[row], own.tk2[row], own.x[row] - after + 1, own.x[row] - first)
@@ -352,7 +422,7 @@ def repeated_starts(texts: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     entered = np.flatnonzero(enter[:, 0] >= 0).tolist()
     present = sorted(r[0] for r in ordered.select("part").distinct().collect())
     leaving = {a for a, b in zip(present, present[1:]) if b in entered}
-    found = keep(merged(ordered, enter, leaving))
+    found = keep(merged(ordered, enter, leaving, shared_edges(ordered, enter, leaving)))
     sure = found.where("cls is null").select("tk1", "tk2", "lo", "hi")
     crossing = found.where("cls is not null")
     again = crossing.groupBy("cls", "len", "head").agg(F.sum("w").alias("n")).where(
