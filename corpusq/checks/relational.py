@@ -1,5 +1,7 @@
 """Registry, memberships, users, scopes, mutations, duplicates, ingestion."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusq.checks.base import check, sql_list
@@ -10,6 +12,8 @@ from corpusq.operators import dedup, mutations, registry as reg
 from corpusq.operators.scope import resolve_scope, scope_sizes
 from corpusq.plans.ingest import ingest
 from corpusq.schemas import REGISTRY
+from corpusq.session import shared_folder
+from corpusq.sources import buckets
 
 _ISO = "strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST(uploaded_second AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00'"
 _LISTS = "SELECT doc_id, string_agg(collection, '|' ORDER BY collection) AS names FROM collections GROUP BY doc_id"
@@ -390,6 +394,27 @@ def _(t):
     return mutations.replace_collections(t.collections, t.registry, updates.union(unknown))
 
 
+@check("m2_bucket_table", sql("""SELECT 'old' AS version, doc_id, filename FROM registry UNION ALL
+    SELECT 'new', doc_id, CASE WHEN doc_id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 1) THEN 'checked' ELSE filename END
+    FROM registry WHERE doc_id NOT IN (FROM gone) UNION ALL SELECT 'few', CAST(count(*) AS VARCHAR), 'buckets' FROM (SELECT 1)""",
+    "registry", gone=_TOXIC))
+def _(t):
+    """Deleting and renaming documents in a table kept by buckets: the old version still reads
+    the same, and a change of one document writes one bucket."""
+    folder = f"{shared_folder(t.spark)}/registry-{uuid.uuid4().hex}"
+    first = buckets.create(t.registry, folder, buckets=64)
+    gone = t.labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+    good = t.labels.where("quality = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
+    second = first.delete(gone)
+    held = second.rows()
+    third = second.upsert(held.join(good, "doc_id", "left_semi").withColumn("filename", F.lit("checked")))
+    last = third.upsert(third.rows().orderBy("doc_id").limit(1))
+    moved = [b for b in last.folders if last.folders[b] != third.folders.get(b)]
+    few = t.spark.createDataFrame([("few", str(len(moved)), "buckets")], "version string, doc_id string, filename string")
+    return buckets.load(t.spark, folder, 0).rows().select(F.lit("old").alias("version"), "doc_id", "filename").union(
+        buckets.load(t.spark, folder).rows().select(F.lit("new"), "doc_id", "filename")).union(few)
+
+
 @check("m4_merge_metadata", sql("""SELECT chunk_id, CASE WHEN l.doc_id IS NULL THEN source ELSE 'q' || CAST(quality AS VARCHAR)
     END AS source, coalesce(CAST(toxic AS VARCHAR), '') AS toxic FROM chunks c LEFT JOIN labels l
     ON CAST(l.doc_id AS VARCHAR) = c.doc_id""", "chunks"))
