@@ -101,6 +101,14 @@ def load_index(spark: SparkSession, path: str, name: str,
     return df.drop("bucket")
 
 
+def save_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int = 64) -> DataFrame:
+    """A table of the warehouse, hashed and sorted by `keys` when written: joins and groups on
+    them then take it where it lies. Returns it as read back."""
+    (df.repartition(buckets, *keys).write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 # --- legacy registry -----------------------------------------------------------------------
 
 _LEGACY_USERS = "users map<string, struct<display_name: string>>"

@@ -78,3 +78,32 @@ def test_old_folders_go(spark, tmp_path, registry):
     assert buckets.load(spark, table.root).rows().count() == 400
     with pytest.raises(FileNotFoundError):
         buckets.load(spark, table.root, 0)
+
+
+def test_a_bucketed_registry_is_joined_where_it_lies(spark, registry):
+    """Nothing above the scan of the registry is shuffled; the batch alone moves."""
+    from corpusq.operators.dedup import duplicate_probe
+    from corpusq.sources.tables import save_bucketed
+    spark.sql("DROP TABLE IF EXISTS probed_registry")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")               # as for a registry and batch of any size
+    try:
+        stored = save_bucketed(registry, "probed_registry", ["user_id", "file_hash"], 4)
+        asked = registry.where("chunk_count = 2").select("doc_id", "user_id", "file_hash")
+        found = duplicate_probe(asked, stored)
+        assert content(found.select("doc_id", "existing_filename")) == content(
+            registry.where("chunk_count = 2").select("doc_id", F.col("filename").alias("existing_filename")))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        above = plan.split("Bucketed: true")[0].splitlines()
+        depth = above[-1].index("FileScan")
+        path = []
+        for line in reversed(above[:-1]):         # the scan's ancestors, by indentation
+            at = len(line) - len(line.lstrip(" :+-*"))
+            if at < depth:
+                path.append(line)
+                depth = at
+        assert path and not any("Exchange" in line for line in path)
+    finally:
+        spark.conf.set(threshold, before)
+        spark.sql("DROP TABLE IF EXISTS probed_registry")
