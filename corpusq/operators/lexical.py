@@ -187,11 +187,12 @@ def _share(tf: str = "tf", dl: str = "dl") -> Column:
 SEED_ROWS = 2000        # postings of a question's weightiest words that set its least score
 SPARED = 0.5            # part of that score the words that are not looked up may add up to
 ROW_WORDS = 200         # words of a chunk's own row, about
+PRUNE_FROM = 50_000_000 # postings of all questions' words together from which pruning pays
 SLACK = 2e-6            # scores are compared after rounding to SCORE_DIGITS
 
 
 def bm25_topk(queries: DataFrame, chunks: DataFrame | LexicalIndex, scopes: Scopes | None = None,
-              statistics: DataFrame | None = None) -> DataFrame:
+              statistics: DataFrame | None = None, prune_from: int = PRUNE_FROM) -> DataFrame:
     """Best chunks per question by BM25; only chunks sharing a word with it.
 
     `queries`: query_id, question, top_k and, with `scopes`, scope_id. Every question gets as
@@ -200,36 +201,50 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame | LexicalIndex, scopes: Scop
     Statistics come from the filtered set; `statistics` replaces them by those of the whole
     store (see stored_statistics). Which side of a join is broadcast, and the splitting of
     frequent words, is left to AQE. Short tables of words, bounds and candidates are written
-    while the plan is built.
+    while the plan is built. With fewer than `prune_from` postings to add up, over all
+    questions, each of them is looked up: finding out which ones can be spared costs more.
     """
     index = chunks if isinstance(chunks, LexicalIndex) else LexicalIndex.of(chunks)
     weighed = keep(weighed_terms(queries, index, scopes, statistics))
     places = scopes.docs if scopes is not None else None
+    work = weighed.agg(F.sum("df").alias("rows"), F.max("top_k").alias("most")).first()
+    if (work["rows"] or 0) < prune_from:
+        scored = _summed(_looked_up(weighed, index, places))
+    else:
+        scored = _pruned(weighed, index, places)
+    best = rank_per_query(scored, work["most"], F.col("top_k")).drop("top_k")
+    return best.join(index.lengths.select("chunk_id", "doc_id"), "chunk_id").select(
+        "query_id", "chunk_id", "doc_id", "score", "rank")
+
+
+def _summed(shares: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, top_k, score). The shares of one chunk lie together in a task, so
+    most sums are done before the shuffle."""
+    return shares.groupBy("query_id", "chunk_id").agg(
+        F.max("top_k").alias("top_k"), F.round(F.sum("share"), SCORE_DIGITS).alias("score"))
+
+
+def _pruned(weighed: DataFrame, index: LexicalIndex, places: DataFrame | None) -> DataFrame:
+    """The same for all chunks that may be among the best of a question."""
     essential = keep(essential_terms(weighed, index, places))
     found = keep(candidates(essential, index, places))
     spared = weighed.join(essential.select("query_id", "term"), ["query_id", "term"], "left_anti")
     # the other words' shares: from their postings, or from the chunks' own rows if that is less
     unread = spared.agg(F.sum("df")).first()[0] or 0
     if index.counted is not None and found.count() * ROW_WORDS < unread:
-        scored = full_scores(found, weighed, index)
-    else:
-        rest = _looked_up(spared, index, None).join(
-            found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-        scored = (found.select("query_id", "top_k", "chunk_id", "doc_id", "share")
-                  .union(rest.select("query_id", "top_k", "chunk_id", "doc_id", "share"))
-                  .groupBy("query_id", "top_k", "chunk_id", "doc_id")
-                  .agg(F.round(F.sum("share"), SCORE_DIGITS).alias("score")))
-    return rank_per_query(scored, None, F.col("top_k")).drop("top_k")
+        return full_scores(found, weighed, index)
+    rest = _looked_up(spared, index, None).join(
+        found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    columns = ["query_id", "chunk_id", "top_k", "share"]
+    return _summed(found.select(*columns).union(rest.select(*columns)))
 
 
 def full_scores(found: DataFrame, weighed: DataFrame, index: LexicalIndex) -> DataFrame:
-    """(query_id, top_k, chunk_id, doc_id, score) of the given (query_id, chunk_id, doc_id)."""
+    """(query_id, chunk_id, top_k, score) of the given (query_id, chunk_id)."""
     rows = index.rows_of(found.select("chunk_id").distinct())
-    found = found.select("query_id", "chunk_id", "doc_id")
-    return (rows.join(found, ["chunk_id", "doc_id"])
-            .join(weighed.drop("scope_id"), ["query_id", "term"])
-            .groupBy("query_id", "top_k", "chunk_id", "doc_id")
-            .agg(F.round(F.sum(_share()), SCORE_DIGITS).alias("score")))
+    met = rows.join(found.select("query_id", "chunk_id"), "chunk_id").join(
+        weighed.drop("scope_id"), ["query_id", "term"])
+    return _summed(met.withColumn("share", _share()))
 
 
 def weighed_terms(queries: DataFrame, index: LexicalIndex, scopes: Scopes | None,
@@ -296,10 +311,8 @@ def essential_terms(weighed: DataFrame, index: LexicalIndex, places: DataFrame |
     seeds = weighed.withColumn("before", F.coalesce(F.sum("df").over(down), F.lit(0))).where(
         F.col("before") < SEED_ROWS).drop("before")
     most = weighed.agg(F.max("top_k")).first()[0] or 1
-    partial = _looked_up(seeds, index, places).groupBy(
-        "query_id", "top_k", "chunk_id", "doc_id").agg(F.sum("share").alias("score"))
-    first = keep(rank_per_query(partial, most, F.col("top_k")).select(
-        "query_id", "chunk_id", "doc_id"))
+    partial = _summed(_looked_up(seeds, index, places))
+    first = keep(rank_per_query(partial, most, F.col("top_k")).select("query_id", "chunk_id"))
     least = (full_scores(first, weighed, index).groupBy("query_id", "top_k")
              .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
              .where("n = top_k").select("query_id", "least"))
@@ -314,10 +327,9 @@ def essential_terms(weighed: DataFrame, index: LexicalIndex, places: DataFrame |
 
 def candidates(essential: DataFrame, index: LexicalIndex, places: DataFrame | None = None
                ) -> DataFrame:
-    """(query_id, top_k, chunk_id, doc_id, share): all chunks that may be among the best of a
-    question, with what they get for its essential words."""
-    return (_looked_up(essential, index, places)
-            .groupBy("query_id", "top_k", "chunk_id", "doc_id", "least", "rest")
-            .agg(F.sum("share").alias("share"))
-            .where(F.col("share") + F.col("rest") >= F.col("least") - SLACK)
-            .drop("least", "rest"))
+    """(query_id, chunk_id, top_k, share): all chunks that may be among the best of a question,
+    with what they get for its essential words."""
+    return (_looked_up(essential, index, places).groupBy("query_id", "chunk_id").agg(
+        F.max("top_k").alias("top_k"), F.max("least").alias("least"), F.max("rest").alias("rest"),
+        F.sum("share").alias("share"))
+        .where(F.col("share") + F.col("rest") >= F.col("least") - SLACK).drop("least", "rest"))

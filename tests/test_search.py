@@ -251,3 +251,57 @@ def test_rerank(spark):
     text = spark.createDataFrame([("q", "a", "The cat sat", "a CAT the"), ("q", "b", "", "x")],
                                  "query_id string, chunk_id string, question string, content string")
     assert [r.score for r in fusion.overlap_scores(text).orderBy("chunk_id").collect()] == [0.666667, 0.0]
+
+
+@pytest.fixture(scope="module")
+def worded(spark):
+    """600 chunks; every question has a stop word that stands in nearly all of them."""
+    dice = random.Random(11)
+    rare = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(600):
+        words = ["the"] * dice.randint(0, 6) + ["of"] * dice.randint(0, 3) + dice.choices(rare, k=dice.randint(1, 30))
+        dice.shuffle(words)
+        rows.append((f"c{i}", f"d{i % 40}", " ".join(words)))
+    rows += [(f"e{i}", "d1", "the same text again w7 w8") for i in range(60)]      # ties
+    asked = [(f"q{i}", " ".join(["the", "of", *dice.choices(rare, k=4)]), i % 9 + 1) for i in range(30)]
+    asked += [("stop", "the of the", 5), ("tied", "w7 w8 text", 12), ("none", "unheard", 3), ("one", "w9", 4)]
+    return (spark.createDataFrame(rows, "chunk_id string, doc_id string, content string"),
+            spark.createDataFrame(asked, "query_id string, question string, top_k int"))
+
+
+@pytest.mark.parametrize("spared", [0.2, 0.5, 1.0])
+def test_pruning_loses_nothing(worded, monkeypatch, spared):
+    """The same hits as without pruning, with and without blocks and the chunks' own rows."""
+    chunks, asked = worded
+    monkeypatch.setattr(lexical, "SPARED", spared)
+    monkeypatch.setattr(lexical, "SEED_ROWS", 40)
+    index = lexical.LexicalIndex.of(chunks, blocks=True)
+    want = ranked(lexical.bm25_topk(asked, index))
+    assert len(want["stop"]) == 5 and "none" not in want
+    for kept in (index, lexical.LexicalIndex(index.postings, index.lengths),
+                 lexical.LexicalIndex(index.postings, index.lengths, index.counted)):
+        assert ranked(lexical.bm25_topk(asked, kept, prune_from=0)) == want
+
+
+def test_pruning_reads_few_postings(worded, monkeypatch):
+    """With a stop word in each question, below 30 % of the postings are looked up."""
+    chunks, asked = worded
+    monkeypatch.setattr(lexical, "SEED_ROWS", 40)
+    asked = asked.where("query_id like 'q%' and top_k <= 3")
+    index = lexical.LexicalIndex.of(chunks)
+    weighed = lexical.weighed_terms(asked, index, None, None)
+    essential = lexical.essential_terms(weighed, index, None)
+    read, every = (d.agg(F.sum("df")).first()[0] for d in (essential, weighed))
+    assert read < 0.3 * every
+
+
+def test_pruning_inside_scopes(spark, worded, monkeypatch):
+    chunks, asked = worded
+    monkeypatch.setattr(lexical, "SEED_ROWS", 40)
+    asked = asked.withColumn("scope_id", F.when(F.col("top_k") % 3 > 0, F.concat(F.lit("s"), F.col("top_k") % 3)))
+    docs = spark.createDataFrame([(f"s{s}", f"d{i}") for s in (1, 2) for i in range(0, 40, s)],
+                                 "scope_id string, doc_id string")
+    s = Scopes(asked, docs)
+    want = ranked(lexical.bm25_topk(asked, chunks, s))
+    assert ranked(lexical.bm25_topk(asked, chunks, s, prune_from=0)) == want
