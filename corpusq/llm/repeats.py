@@ -128,10 +128,16 @@ def repeated_cores(texts: DataFrame) -> Filter:
 
     cores = keep(texts.select("text").mapInArrow(work, "core bigint").groupBy("core").agg(
         F.count(F.lit(1)).alias("c")).where("c > 1").select("core"))
-    power = min(max((32 * cores.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    return hash_filter(cores)
+
+
+def hash_filter(hashes: DataFrame) -> Filter:
+    """A filter, of bounded size, of a written table of one column of hashes."""
+    hashed = F.col(hashes.columns[0])
+    power = min(max((32 * hashes.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     # numbers from 1 on fill buckets from 1 on, each of 32768 bits
-    bit = F.shiftrightunsigned("core", 64 - power) + 1
-    chunks = cores.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
+    bit = F.shiftrightunsigned(hashed, 64 - power) + 1
+    chunks = hashes.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     held = np.zeros(((1 << power) // 32768, 4096), np.uint8)
     for r in chunks:
@@ -139,6 +145,15 @@ def repeated_cores(texts: DataFrame) -> Filter:
     return Filter(held.reshape(-1), power)
 
 
+def may_hold(keys: Filter, hashed: Column) -> Column:
+    """Whether a hash may be one of the filter's: true for all that are."""
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(keys.holds(batch.to_numpy().view(np.uint64)))
+    return holds(hashed)
+
+
 def candidate_units(texts: DataFrame, cores: Filter) -> DataFrame:
     """Units whose core may repeat, with 128 bits for the whole unit and its place in it."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,6 +186,8 @@ def suffixes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         F.collect_list(F.struct("many", "x", "lo", "hi")).alias("list")))
     if (lists.agg(F.sum(F.size("list"))).first()[0] or 0) <= BROADCAST_UNITS:
         lists = F.broadcast(lists)          # texts stay where they are
+    else:                                   # those that hold none of the units do
+        texts = texts.where(may_hold(hash_filter(lists.select("tk1")), F.col("tk1")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()                    # copies of a text hold the same units
@@ -407,8 +424,9 @@ def repeated_starts(texts: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame
     names = keep(cands.groupBy("b1", "b2").agg(
         F.count(F.lit(1)).alias("c"),
         F.min(F.struct("tk1", "tk2", "x", "lo", "hi", "core")).alias("u")))
+    # equal places of equal texts are equal units, so that no exchange is needed to meet again
     whole = cands.join(names.where("c > 1").select("b1", "b2"), ["b1", "b2"], "left_semi").select(
-        "tk1", "tk2", "lo", "hi").distinct()
+        "b1", "b2", "tk1", "tk2", "lo", "hi").distinct().drop("b1", "b2")
     single = names.where("c = 1").select("u.*", F.lit(False).alias("many"))
     others = names.where("c > 1").select("u.*", F.lit(True).alias("many")).join(
         single.select("core").distinct(), "core", "left_semi")
@@ -497,8 +515,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.octet_length("text") >= WIDTH), range_rows)
     spans = keep(found.groupBy("tk1", "tk2").agg(
         F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    rows = docs.join(spans, ["tk1", "tk2"], "left").select(
-        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"),
-        without(F.col("text"), F.col("spans"), texts_too).alias("r"))
+    # only texts that may have a span move to where the spans are
+    on = may_hold(hash_filter(spans.select("tk1")), F.col("tk1"))
+    size = F.octet_length("text").cast("bigint").alias("n_bytes")
+    rows = docs.where(on).join(spans, ["tk1", "tk2"], "left").select(
+        "doc_id", size, without(F.col("text"), F.col("spans"), texts_too).alias("r"))
+    data = F.col("text").cast("binary")
+    whole = docs.where(~on).select(
+        "doc_id", size, F.lit(0).cast("bigint").alias("n_removed"),
+        F.lit(0).cast("bigint").alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"),
+        *([data.alias("kept")] if texts_too else []))
     return rows.select("doc_id", "n_bytes", "r.n_removed", "r.n_spans", "r.kept_sha256",
-                       *(["r.kept"] if texts_too else []))
+                       *(["r.kept"] if texts_too else [])).union(whole)
