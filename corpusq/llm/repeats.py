@@ -48,8 +48,6 @@ FILTER_BITS = 18, 28
 # At edges of ranges: lengths of beginnings compared first, hash partitions of these, counters.
 GRID = 2, 4, 8, 16, 32, 48
 EDGE_PARTS, EDGE_KEYS = 5, 1 << 20
-# Units sent to every executor at most (some 40 bytes each); beyond, texts are shuffled.
-BROADCAST_UNITS = 1_000_000
 
 BASES = constants(31, 2)
 BYTES = constants(32, 512).reshape(2, 256)
@@ -184,10 +182,8 @@ def suffixes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes around the samples of the wanted units (many, tk1, tk2, x, lo, hi)."""
     lists = keep(wanted.groupBy("tk1", "tk2").agg(
         F.collect_list(F.struct("many", "x", "lo", "hi")).alias("list")))
-    if (lists.agg(F.sum(F.size("list"))).first()[0] or 0) <= BROADCAST_UNITS:
-        lists = F.broadcast(lists)          # texts stay where they are
-    else:                                   # those that hold none of the units do
-        texts = texts.where(may_hold(hash_filter(lists.select("tk1")), F.col("tk1")))
+    # texts that hold none of the units stay where they are
+    texts = texts.where(may_hold(hash_filter(lists.select("tk1")), F.col("tk1")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()                    # copies of a text hold the same units

@@ -7,7 +7,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusq.llm import repeats
 from corpusq.llm.repeats import REACH, WIDTH, Prints, remove_repeats, units
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -49,12 +48,6 @@ def test_many_ranges(documents):
     check(documents, range_rows=7)
 
 
-def test_texts_moved_to_their_units(documents, monkeypatch):
-    """Many units: their lists are not sent to every executor."""
-    monkeypatch.setattr(repeats, "BROADCAST_UNITS", 0)
-    check(documents)
-
-
 def test_odd_rows(odd):
     check(odd)
 
