@@ -134,10 +134,10 @@ def uploads_from_files(files: DataFrame, user_id: str | None = None) -> DataFram
         F.col("modified_at").alias("uploaded_at"))
 
 
-def build_vectors(chunks: DataFrame, dims: int = 256, model=None) -> DataFrame:
-    """(chunk_id, doc_id, embedding, norm) of chunks; see embed_column for `model`."""
+def build_vectors(chunks: DataFrame, dims: int = 256, model=None, idf=None) -> DataFrame:
+    """(chunk_id, doc_id, embedding, norm) of chunks; see embed_column for `model` and `idf`."""
     embedded = embed_column(chunks.select("chunk_id", "doc_id", "content"), "content",
-                            dims=dims, model=model)
+                            dims=dims, model=model, idf=idf)
     square = F.aggregate("embedding", F.lit(0.0),
                          lambda s, x: s + x.cast("double") * x.cast("double"))
     return embedded.select("chunk_id", "doc_id", "embedding", F.sqrt(square).alias("norm"))
