@@ -149,8 +149,7 @@ def _work_folder(spark) -> str:
 def _(t):
     """All events as a stream; the last state of each session."""
     folder = _work_folder(t.spark)
-    source = (t.spark.readStream.schema(t.events.schema)
-              .option("pathGlobFilter", "events.parquet").parquet(t.folder))
+    source = t.stream("events")
     log = source.select(F.col("user_id").cast("string").alias("session_id"),
                         F.col("ts").cast("timestamp").alias("ts"),
                         F.col("event_id").alias("id"), F.col("event_type").alias("content"))
@@ -172,8 +171,7 @@ def _(t):
 def _(t):
     """Documents arriving as a stream of uploads; the chunks that were stored."""
     folder = _work_folder(t.spark)
-    source = (t.spark.readStream.schema(t.documents.schema)
-              .option("pathGlobFilter", "documents.parquet").parquet(t.folder))
+    source = t.stream("documents")
     ingest_batches(uploads_of(source, t.day0), lambda batch: batch, f"{folder}/out",
                    f"{folder}/checkpoint", splitter="fixed", available_now=True).awaitTermination()
     return chunk_columns(t.spark.read.parquet(f"{folder}/out/chunks"))
@@ -184,8 +182,7 @@ def _(t):
 def _(t):
     """Events as uploads: each (user, content) once inside a horizon longer than the data."""
     folder = _work_folder(t.spark)
-    source = (t.spark.readStream.schema(t.events.schema)
-              .option("pathGlobFilter", "events.parquet").parquet(t.folder))
+    source = t.stream("events")
     uploads = source.select(
         F.col("event_id").cast("string").alias("doc_id"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"),

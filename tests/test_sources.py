@@ -247,3 +247,19 @@ def test_chat_memory_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     want = {r.session_id: [m.id for m in r.memory] for r in final_memory(df, ["content"], 6, 30).collect()}
     assert {s: v for s, v in seen.items() if v} == {s: want[s] for s in seen if seen[s]} and seen["hot"]
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    """The registered streams give the same for a table that is a folder of files."""
+    import shutil
+
+    from corpusq.checks import chatting  # noqa: F401 (register)
+    from corpusq.checks.base import QUERIES
+    given = "/root/testdata/sf0.001"
+    shutil.copytree(given, tmp_path / "t")
+    for name in ("documents", "events"):
+        (tmp_path / "t" / f"{name}.parquet").unlink()
+        spark.read.parquet(f"{given}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / "t" / f"{name}.parquet"))
+    for name in ("x1_ingest_stream", "x2_dedup_stream", "x3_chat_memory_stream"):
+        one, many = (sorted(map(tuple, QUERIES[name](spark, str(f)).collect())) for f in (given, tmp_path / "t"))
+        assert one and one == many, name
