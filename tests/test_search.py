@@ -305,3 +305,32 @@ def test_pruning_inside_scopes(spark, worded, monkeypatch):
     s = Scopes(asked, docs)
     want = ranked(lexical.bm25_topk(asked, chunks, s))
     assert ranked(lexical.bm25_topk(asked, chunks, s, prune_from=0)) == want
+
+
+def test_a_first_look_loses_nothing_and_no_pairs_are_shuffled(spark, worded, monkeypatch):
+    """Many blocks of questions, with and without a least score known beforehand, give the same
+    hits; sums of (question, chunk) are made where the chunk lies."""
+    chunks, asked = worded
+    want = ranked(lexical.bm25_topk(asked, chunks))
+    found = lexical.bm25_topk(asked, chunks)
+    assert "hashpartitioning(query_id" in plan_text(found)
+    for part in plan_text(found).split("hashpartitioning(")[1:]:
+        keys = part.split(", [plan_id")[0]
+        assert not ("query_id" in keys and "chunk_id" in keys)
+    monkeypatch.setattr(lexical, "SLOTS", 3)
+    monkeypatch.setattr(lexical, "LOOK_FROM", 0)
+    monkeypatch.setattr(lexical, "LOOK", 3)
+    assert ranked(lexical.bm25_topk(asked, chunks)) == want
+    index = lexical.LexicalIndex(lexical.postings(chunks), lexical.chunk_lengths(chunks))
+    assert ranked(lexical.bm25_topk(asked, index)) == want
+
+
+def test_chunks_that_share_a_word_are_counted_without_pairs(worded):
+    """More questions than one block has bits for; as many rows as chunks and blocks, not pairs."""
+    chunks, asked = worded
+    many = asked.union(asked.select(F.concat(F.lit("again "), "query_id"), "question", "top_k")).union(
+        asked.select(F.concat(F.lit("more "), "query_id"), "question", "top_k"))
+    text = {r.chunk_id: set(r.content.split()) for r in chunks.collect()}
+    want = {r.query_id: sum(bool(set(r.question.split()) & w) for w in text.values()) for r in many.collect()}
+    got = {r.query_id: r.chunks for r in lexical.sharing_chunks(many, lexical.postings(chunks)).collect()}
+    assert got == {q: n for q, n in want.items() if n}
