@@ -95,3 +95,16 @@ def test_explode_pages_keeps_pageless(spark):
     got = sorted((r.doc_id, r.page, r.content) for r in chunking.explode_pages(df).collect() if r.doc_id == "a")
     assert got == [("a", 0, "x"), ("a", 1, "y")]
     assert chunking.explode_pages(df).where("doc_id = 'b' AND page IS NULL").count() == 1
+
+
+def test_text_without_marks_is_cut_without_a_span_for_each_character():
+    import time
+
+    from corpusq.functions.chunking import _pack, _windows, split_spans
+    for n in (1, 2, 5, 9, 10, 11, 12, 29, 30, 31, 100):
+        for size, overlap in ((2, 1), (10, 0), (10, 3), (10, 9)):
+            assert list(_windows(0, n, size, overlap)) == list(_pack([(i, i + 1) for i in range(n)], size, overlap))
+    text = "x" * 3_000_000
+    began = time.process_time()
+    spans = split_spans(text, 1000, 200)
+    assert time.process_time() - began < 0.5 and len(spans) == 3750
