@@ -334,3 +334,28 @@ def test_chunks_that_share_a_word_are_counted_without_pairs(worded):
     want = {r.query_id: sum(bool(set(r.question.split()) & w) for w in text.values()) for r in many.collect()}
     got = {r.query_id: r.chunks for r in lexical.sharing_chunks(many, lexical.postings(chunks)).collect()}
     assert got == {q: n for q, n in want.items() if n}
+
+
+def test_scoring_holds_few_scores_at_once():
+    """One block of 3,000 queries over 2,000 items: below 80 MB, and the true hits."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from corpusq.operators.scoring import make_block
+    rng = np.random.default_rng(1)
+    q, x = rng.standard_normal((3000, 16)), rng.standard_normal((2000, 16))
+    asked = pa.table({"query_id": [f"q{i}" for i in range(3000)], "vector": pa.array(list(q)),
+                      "fetch_k": pa.array([i % 5 + 1 for i in range(3000)], pa.int32())})
+    block = make_block(asked, {"metric": "dot"})
+    ids = [f"c{i:04d}" for i in range(2000)]
+    tracemalloc.start()
+    block.add(pa.record_batch({"chunk_id": ids, "doc_id": ids, "embedding": pa.array(list(x))}))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6
+    got = {}
+    for r in block.result().to_pylist():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    want = np.argsort(-np.round(q @ x.T, 6), axis=1, kind="stable")
+    assert got == {f"q{i}": [ids[j] for j in want[i, :i % 5 + 1]] for i in range(3000)}
