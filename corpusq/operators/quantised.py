@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from corpusq import fixed_values as fv
 from corpusq.operators.batch_topk import BLOCK_BYTES, batch_topk
-from corpusq.operators.cells import MAX_CELLS, blocks_by_cell
+from corpusq.operators.cells import MAX_CELLS, asked_by_query, cells_of
 from corpusq.operators.scope import Scopes
 from corpusq.operators.topk import SCORE_DIGITS, rank_per_query
 from corpusq.operators.vector import post_filter, query_columns
@@ -179,16 +179,15 @@ def probes(queries: DataFrame, books: Codebooks, first: int, kth: DataFrame | No
     return asked.mapInArrow(work, "query_id string, scope_id string")
 
 
-def _searched(asked: DataFrame, index: QuantisedIndex, block_bytes: int) -> DataFrame:
+def _searched(wide: DataFrame, probed: DataFrame, index: QuantisedIndex, block_bytes: int
+              ) -> DataFrame:
     """Best by code in the probed cells: (query_id, chunk_id, doc_id)."""
     def items(block: pa.Table) -> DataFrame:
-        cells = [int(c) for c in block["scope_id"].unique().to_pylist()]
-        return index.rows.where(F.col("cell").isin(cells)).select(
-            "chunk_id", "doc_id", "cell", "codes",
-            F.array(F.col("cell").cast("string")).alias("scopes"))
+        return index.rows.where(F.col("cell").isin(cells_of(block))).select(
+            "chunk_id", "doc_id", "cell", "codes")
 
     options = {"metric": "cosine", "decode": index.books.decode}
-    return batch_topk(blocks_by_cell(asked, block_bytes), items, options).select(
+    return batch_topk(asked_by_query(wide, probed, block_bytes), items, options).select(
         "query_id", "chunk_id", "doc_id")
 
 
@@ -218,14 +217,14 @@ def quantised_topk(queries: DataFrame, index: QuantisedIndex, scopes: Scopes | N
     factor = 1 if scopes is None else fv.POST_FILTER_OVERFETCH
     wanted = keep(query_columns(queries, factor))
     wide = wanted.withColumn("fetch_k", F.col("fetch_k") * rescored)
-    near = keep(_exact(_searched(keep(wide.join(probes(wide, index.books, first), "query_id")),
-                                 index, block_bytes), wanted, index.vectors))
+    near = keep(_exact(_searched(wide, probes(wide, index.books, first), index, block_bytes),
+                       wanted, index.vectors))
     sized = near.join(wanted.select("query_id", "fetch_k"), "query_id")
     kth = (rank_per_query(sized, None, F.col("fetch_k")).groupBy("query_id", "fetch_k")
            .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
            .where("n = fetch_k").select("query_id", "kth"))
-    more = keep(wide.join(probes(wide, index.books, first, kth), "query_id"))
-    far = _exact(_searched(more, index, block_bytes), wanted, index.vectors)
+    far = _exact(_searched(wide, probes(wide, index.books, first, kth), index, block_bytes),
+                 wanted, index.vectors)
     every = near.union(far).join(wanted.select("query_id", "fetch_k"), "query_id")
     found = rank_per_query(every, None, F.col("fetch_k")).drop("fetch_k")
     return found if scopes is None else post_filter(found, queries, scopes)

@@ -80,3 +80,13 @@ def test_odd_vectors(spark):
     got = [(r.chunk_id, r.score) for r in quantised.quantised_topk(q, index).orderBy("rank").collect()]
     assert got == [("b", 1.0), ("a", 0.0), ("e", -1.0)]
     assert quantised.quantised_topk(q.limit(0), index).collect() == []
+
+
+def test_a_query_is_sent_once_however_many_cells_it_probes(spark):
+    from corpusq.operators import cells
+    x = vectors_of("clusters")[:300]
+    t, q = table(spark, x), asked(spark, x[:20], 3)
+    books = quantised.fit(t, cells=16, codes=16)
+    wide = vector.query_columns(q)
+    sent = cells.asked_by_query(wide, quantised.probes(wide, books, 12), 10_000).collect()
+    assert len(sent) == 20 and all(len(set(r.cells)) == 12 for r in sent) and len({r.block for r in sent}) > 1
