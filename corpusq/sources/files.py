@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,13 +15,51 @@ from corpusq import fixed_values as fv
 from corpusq.functions.text import (file_suffix, html_to_text, markdown_to_text,
                                     stored_doc_id)
 
+# Files that `land_files` puts into one folder: more folders than Spark lists on the driver
+# are listed by a job.
+FOLDER_FILES = 1000
+
+
+def land_files(rows: DataFrame, folder: str) -> list[str]:
+    """Write rows (name STRING, content BINARY) as one file each; returns the folders written.
+
+    Tasks write the files themselves, as an upload does: Spark's writers make a folder, a
+    checksum and a rename for every file. A task that runs again writes to folders of its
+    own, and only those of the attempt that counts are returned. Rows that repeat a name lie
+    in different folders. A null content is an empty file. `folder` is one that Spark and
+    pyarrow can open: local, hdfs, s3, gs.
+    """
+    path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    conf = rows.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    uri = path.getFileSystem(conf).makeQualified(path).toUri().toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(uri)
+        made, held = [], set()
+        for batch in batches:
+            for name, content in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not made or len(held) == FOLDER_FILES or name in held:
+                    made.append(uuid.uuid4().hex)
+                    store.create_dir(f"{root}/{made[-1]}")
+                    held = set()
+                held.add(name)
+                with store.open_output_stream(f"{root}/{made[-1]}/{name}", compression=None) as out:
+                    out.write(content or b"")
+        yield pa.RecordBatch.from_pydict({"folder": pa.array(made, pa.string())})
+
+    store, root = fs.FileSystem.from_uri(uri)
+    store.create_dir(root)
+    written = rows.select("name", "content").mapInArrow(write, "folder string").collect()
+    return [f"{folder}/{r.folder}" for r in written] or [folder]
+
 
 def _named(df: DataFrame) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return df.withColumn("filename", name).withColumn("file_type", file_suffix(name))
 
 
-def scan_files(spark: SparkSession, path: str, keep_unsupported: bool = False) -> DataFrame:
+def scan_files(spark: SparkSession, path: str | list[str],
+               keep_unsupported: bool = False) -> DataFrame:
     """(path, filename, file_type, n_bytes, modified_at, content BINARY), recursively.
 
     Bytes are read only where `content` is used downstream.
@@ -31,7 +72,7 @@ def scan_files(spark: SparkSession, path: str, keep_unsupported: bool = False) -
         F.col("file_type").isin(fv.SUPPORTED_SUFFIXES))
 
 
-def load_text(spark: SparkSession, path: str) -> DataFrame:
+def load_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per text file: (path, filename, file_type, content)."""
     raw = (spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
            .select(F.input_file_name().alias("path"), F.col("value").alias("content")))

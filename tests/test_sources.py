@@ -37,6 +37,36 @@ def test_scan(spark, landing, rows):
     assert text.filename == "a.txt" and text.content.startswith("Hello é\n\nworld")
 
 
+def test_landed_files(spark, tmp_path, rows):
+    """One file for each row, in few folders, odd names of the folder and repeated names included."""
+    n = 2 * files.FOLDER_FILES + 5
+    df = spark.range(n, numPartitions=1).selectExpr(
+        "concat(if(id = 7, 6, id), '.txt') AS name", "if(id = 3, NULL, cast(concat('é', id) AS binary)) AS content")
+    for folder in (str(tmp_path / "a b%20"), f"file://{tmp_path}/c"):
+        found = files.land_files(df, folder)
+        assert len(found) == 3
+        got = rows(files.scan_files(spark, found), "filename", "content")
+        assert len(got) == n - 1                          # Spark's readers pass over empty files
+        assert [bytes(c).decode() for f, c in got if f == "6.txt"] == ["é6", "é7"]
+        assert files.load_text(spark, found).where("content LIKE 'é%'").count() == n - 1
+        none = files.land_files(df.limit(0), f"{folder}-none")
+        assert files.scan_files(spark, none).count() == files.load_text(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("name", ["s1_scan_files", "s2_load_text"])
+def test_documents_as_files(spark, tmp_path, rows, monkeypatch, name):
+    """Repeated, null and negative ids keep a file each; there is no folder for each document."""
+    from corpusq.checks import hooks
+    from corpusq.checks.base import QUERIES
+    data = [(i, f"text {i}\nmore\n") for i in [*range(300), 5, 5, -4, None, None]]
+    spark.createDataFrame(data, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "t" / "documents.parquet"))
+    monkeypatch.setattr(hooks, "_folder", lambda t: str(tmp_path / "landed"))
+    got = rows(QUERIES[name](spark, str(tmp_path / "t")), "doc_id", "n_bytes" if name == "s1_scan_files" else "hash")
+    assert got == sorted([(None if i is None else str(i), len(t) + 1 if name == "s1_scan_files" else
+                           hashlib.sha256(f"{t}\n".encode()).hexdigest()) for i, t in data], key=repr)
+    assert len([p for p in (tmp_path / "landed").rglob("*") if p.is_dir()]) < 30
+
+
 def test_extract(spark, landing):
     scanned = files.scan_files(spark, str(landing))
     plain = {r.filename: r.pages for r in files.extract_text(scanned).collect()}
