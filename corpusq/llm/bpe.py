@@ -29,7 +29,11 @@ from corpusq.llm.arrow_text import by_slice
 MEMO = 250_000
 WIDTHS = (6, 10, 16, 28)  # fragments up to these lengths are merged side by side
 
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+SIDE_BY_SIDE = 20_000    # as many at a time
+NEWLINE = ord("\n")
+LINE_END = b"\xff" * 4    # no id, and as ids are below 2 ** 24 no part of two
+
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|\n|[^\p{White_Space}\p{L}\p{N}]+")
 SPACES = regex.compile(r"\p{White_Space}+")
 # str.split() takes these four for white space, Unicode's property does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -91,8 +95,12 @@ class WordCodec:
         self.rank_of_key = np.argsort(keys)
         self.keys = keys[self.rank_of_key]
         self.made = np.array([self.ids[a + b] for a, b in self.ranks], np.int64)
+        letters = self.letters.values()
+        self.cuts = np.array([[(a, b) not in self.joins for b in letters] for a in letters])
+        self.symbols = np.array([self.ids[a] for a in letters], np.int64)
+        self.last_symbols = np.array([self.ids[a + self.end] for a in letters], np.int64)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": LINE_END}
 
     def _joins(self) -> set[tuple[str, str]]:
         """Pairs of byte letters that are neighbours inside some token; all others cut."""
@@ -115,14 +123,12 @@ class WordCodec:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0),
                         self.rank_of_key[at], len(self.keys))
 
-    def _merge_side_by_side(self, rows: list[list[int]], width: int) -> list[np.ndarray]:
-        """Merge many short fragments at once: in every round each fragment does its merge
-        of lowest rank, leftmost among equals."""
-        size = np.array([len(r) for r in rows])
-        parts = np.full((len(rows), width), -1, np.int64)
-        parts[np.arange(width) < size[:, None]] = [i for r in rows for i in r]
+    def _merge_side_by_side(self, parts: np.ndarray) -> None:
+        """Merge many short fragments (rows of ids, then -1) at once and in place: in every
+        round each fragment does its merge of lowest rank, leftmost among equals."""
+        width = parts.shape[1]
         ranks = self._ranks(parts[:, :-1], parts[:, 1:])
-        going = np.arange(len(rows))
+        going = np.arange(len(parts))
         column = np.arange(width)
         while True:
             at = ranks[going].argmin(1)
@@ -145,47 +151,58 @@ class WordCodec:
             shifted[line, after] = self._ranks(held[line, after], held[line, after + 1])
             shifted[line, before] = self._ranks(held[line, before], held[line, before + 1])
             parts[going], ranks[going] = held, shifted
-        return [p[p >= 0] for p in parts]
-
-    def _encode_fragments(self, fragments: list[tuple[str, bool]]) -> dict:
-        """Ids of each fragment (letters, whether it ends its word)."""
-        out, groups = {}, {w: [] for w in WIDTHS}
-        for letters, last in fragments:
-            width = next((w for w in WIDTHS if len(letters) <= w), None)
-            symbols = list(letters)
-            if last:
-                symbols[-1] += self.end
-            if width:
-                groups[width].append(((letters, last), [self.ids[x] for x in symbols]))
-            else:
-                ids = [self.ids[m] for m in merge(symbols, self.ranks)]
-                out[letters, last] = np.array(ids, "<u4").tobytes()
-        for width, members in groups.items():
-            if members:
-                done = self._merge_side_by_side([m[1] for m in members], width)
-                out.update((m[0], d.astype("<u4").tobytes())
-                           for m, d in zip(members, done, strict=True))
-        return out
-
-    def _learn(self, raws: set[str]) -> None:
-        """Encode stretches without white space. Lower-casing is per character, so a final
-        sigma stays a plain one."""
-        words = {raw: WORDS.findall(unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower())
-                 for raw in raws}
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. All pieces lie one after the other as bytes; fragments start
+        where a piece does and where two neighbours are no pair of a token."""
+        data = np.frombuffer("\n".join([*pieces, ""]).encode(), np.uint8)
+        ends = np.flatnonzero(data == NEWLINE)
+        data, ends = data[data != NEWLINE], ends - np.arange(len(ends))
+        begins = np.append(0, ends[:-1])
+        starts = np.zeros(len(data), bool)
+        starts[1:] = self.cuts[data[:-1], data[1:]]
+        starts[begins] = True
+        symbols = self.symbols[data]
+        symbols[ends - 1] = self.last_symbols[data[ends - 1]]
+        start = np.flatnonzero(starts)
+        size = np.diff(start, append=len(data))
+        # ids of fragment i are put at the place of its first byte; those merged away are -1
+        ids = np.full(len(data), -1, np.int64)
+        ids[start[size == 1]] = symbols[start[size == 1]]
+        least = 1
+        for width in WIDTHS:
+            these = np.flatnonzero((size > least) & (size <= width))
+            least = width
+            column = np.arange(width)
+            for part in np.split(these, range(SIDE_BY_SIDE, len(these), SIDE_BY_SIDE)):
+                inside = column < size[part, None]
+                at = (start[part, None] + column)[inside]
+                rows = np.full(inside.shape, -1, np.int64)
+                rows[inside] = symbols[at]
+                self._merge_side_by_side(rows)
+                ids[at] = rows[inside]
+        for i in np.flatnonzero(size > least).tolist():
+            a, n = start[i], size[i]
+            merged = merge([self.tokens[x] for x in symbols[a:a + n].tolist()], self.ranks)
+            ids[a:a + len(merged)] = [self.ids[m] for m in merged]
+        left = np.append(0, np.cumsum(ids >= 0))
+        blob = ids[ids >= 0].astype("<u4").tobytes()
+        return [blob[a:b] for a, b in zip((4 * left[begins]).tolist(), (4 * left[ends]).tolist(),
+                                          strict=True)]
+
+    def _learn(self, raws: list[str]) -> None:
+        """Encode stretches without white space, all in one text with a line for each.
+        Lower-casing is per character, so a final sigma stays a plain one."""
+        text = "\n".join([*raws, ""])
+        found = WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         if len(self.pieces) > MEMO:
-            self.pieces.clear()
+            self.pieces = {"\n": LINE_END}
         pieces = self.pieces
-        cut = {}
-        for piece in {p for found in words.values() for p in found}:
-            if piece not in pieces:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-                parts = self.fragments_of(letters)
-                cut[piece] = [(p, False) for p in parts[:-1]] + [(parts[-1], True)]
-        ids = self._encode_fragments(list({f for parts in cut.values() for f in parts}))
-        for piece, parts in cut.items():
-            pieces[piece] = b"".join([ids[f] for f in parts])
-        for raw, found in words.items():
-            self.words[raw] = b"".join([pieces[p] for p in found])
+        fresh = list(set(found).difference(pieces))
+        if fresh:
+            pieces.update(zip(fresh, self._encode_pieces(fresh), strict=True))
+        lines = b"".join(map(pieces.__getitem__, found)).split(LINE_END)
+        self.words.update(zip(raws, lines[:-1], strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -196,10 +213,10 @@ class WordCodec:
                           p.split() if not SEPARATORS.search(p) else SPACES.split(p)
                           for n, p in enumerate(parts)])
         if len(self.words) > MEMO:
-            self.words.clear()
+            self.words = {}
         known = self.words
         fresh = set().union(*[words for parts in split for words in parts[::2]])
-        self._learn(fresh.difference(known))
+        self._learn(list(fresh.difference(known)))
         return [b"".join([np.uint32(self.added[p]).tobytes() if n % 2 else
                           b"".join(map(known.__getitem__, p)) for n, p in enumerate(parts)])
                 for parts in split]

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import struct
+import sys
+from collections import Counter
 
 import public_tokenizers
 import pyarrow as pa
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpusq.llm import bpe
 from corpusq.llm.bpe import bpe_round_trip, codec, decode, encode
 from corpusq.llm.token_fst import CHUNK, count_tokens, transducer
 
@@ -42,6 +45,28 @@ def test_encode_and_decode_as_library(texts):
         assert coder.decode(ids) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_small_memos_and_groups(texts, monkeypatch):
+    """Forgetting words and merging few fragments at a time changes nothing."""
+    want = codec(WORD).encode_all(texts)
+    monkeypatch.setattr(bpe, "MEMO", 5)
+    monkeypatch.setattr(bpe, "SIDE_BY_SIDE", 3)
+    coder = bpe.WordCodec(WORD)
+    assert [i for t in range(0, len(texts), 100) for i in coder.encode_all(texts[t:t + 100])] == want
+
+
+def test_new_words_are_learned_together():
+    """Less than one call for each new word, however many fragments it has."""
+    dice = random.Random(11)
+    words = ["".join(dice.choice("abcdeqxz'-7éß日") for _ in range(dice.randint(1, 40))) for _ in range(20_000)]
+    coder, calls = bpe.WordCodec(WORD), Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        coder.encode_all([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < len(words), calls
+
+
 def test_fragments_join_to_the_word(texts):
     coder = codec(WORD)
     for letters in ("hello", "qzxqzj", "aaaaaaaa"):
