@@ -90,3 +90,37 @@ def test_a_query_is_sent_once_however_many_cells_it_probes(spark):
     wide = vector.query_columns(q)
     sent = cells.asked_by_query(wide, quantised.probes(wide, books, 12), 10_000).collect()
     assert len(sent) == 20 and all(len(set(r.cells)) == 12 for r in sent) and len({r.block for r in sent}) > 1
+
+
+@pytest.mark.parametrize("kind", ["near copies", "noise"])
+def test_the_rows_of_exact_search(spark, kind):
+    """Also where more near copies than could be rescored lie closer than codes tell apart."""
+    dice = np.random.default_rng(5)
+    x = vectors_of("noise")[:1500]
+    if kind == "near copies":
+        x = np.repeat(x[:15], 100, axis=0) + 1e-4 * dice.standard_normal((1500, 32)).astype("float32")
+        x[200:260] = x[200]
+    t, q = table(spark, x), asked(spark, x[::25], 7)
+    index = quantised.quantise(t, quantised.fit(t, cells=32, codes=32, sample=800))
+    rows = lambda d: sorted(map(tuple, d.select("query_id", "chunk_id", "score", "rank").collect()))
+    scored = spark.sparkContext.accumulator(0)
+    got = rows(quantised.quantised_topk(q, index, first=4, counted=scored))
+    assert got == rows(vector.vector_topk(q, t)) and len(got) == 420
+    assert 420 <= scored.value < 60 * 1500
+
+
+def test_a_second_look_returns_what_reaches_the_floor():
+    """Tasks return the wanted hits of a query, not k each; scored exactly is little more."""
+    import pyarrow as pa
+    from corpusq.operators.scoring import make_block
+    x = vectors_of("noise").astype("float64")
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    s = np.sort(x[:50] @ x.T, axis=1)
+    ids = pa.array([f"c{i}" for i in range(len(x))])
+    items = pa.record_batch([ids, ids, pa.array(list(x))], ["chunk_id", "doc_id", "embedding"])
+    block = make_block(pa.table({
+        "query_id": ids[:50], "fetch_k": pa.array([10] * 50, pa.int32()), "vector": list(x[:50]),
+        "floor": pa.array(np.round(s[:, -3], 6))}), {"metric": "cosine"})
+    for a in range(0, 6000, 1000):
+        block.add(items.slice(a, 1000))
+    assert block.result().num_rows == 150 and block.scorer.exact_pairs < 200
