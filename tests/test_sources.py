@@ -67,6 +67,32 @@ def test_documents_as_files(spark, tmp_path, rows, monkeypatch, name):
     assert len([p for p in (tmp_path / "landed").rglob("*") if p.is_dir()]) < 30
 
 
+def test_files_are_listed_by_tasks(spark, tmp_path, rows):
+    """The driver holds no list of files; folders in folders, hidden, empty, packed and single
+    files and patterns are taken as Spark's own sources take them."""
+    import gzip
+    deep = tmp_path / "x y%20" / "_k=1" / "sub"
+    (tmp_path / "_hidden").mkdir()
+    deep.mkdir(parents=True)
+    for place in (tmp_path / "a.txt", tmp_path / ".b.txt", tmp_path / "_hidden" / "c.txt", deep / "d é.txt", deep / "_e.txt"):
+        place.write_text(place.name)
+    (deep / "empty.txt").write_text("")
+    (deep / "z.gz").write_bytes(gzip.compress(b"packed"))
+    for path in (f"file://{tmp_path}", [f"{tmp_path}/a.txt", f"{tmp_path}/x*"]):
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        got = files.scan_files(spark, path, keep_unsupported=True)
+        assert rows(got, "path", "n_bytes", "modified_at", "content") == rows(
+            own, "path", "length", "modificationTime", "content") and got.count() == 3
+        text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+        assert rows(files.load_text(spark, path), "content") == rows(text, "value")
+        listed = files.scan_files(spark, path, content=False)
+        assert "content" not in listed.columns and rows(listed, "filename") == [("a.txt",), ("d é.txt",)]
+        for df in (got, listed, files.load_text(spark, path)):
+            assert not any("a.txt" in f or "z.gz" in f for f in df.inputFiles())
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        files.scan_files(spark, str(tmp_path / "none"))
+
+
 def test_extract(spark, landing):
     scanned = files.scan_files(spark, str(landing))
     plain = {r.filename: r.pages for r in files.extract_text(scanned).collect()}
